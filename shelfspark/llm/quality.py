@@ -29,7 +29,7 @@ WIDTH, STEP, CHUNK = 8, 4, 1024
 DIMS, FILTERS = 6, 16
 #: At most so many labelled rows of each class are learned from.
 ROWS_0, ROWS_1 = 1200, 1800
-EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 5
+STEPS, BATCH, RATE, SEED = 500, 64, 0.01, 5
 #: Learned from: rows outside this fold.
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -87,13 +87,13 @@ class Network:
         return 1 / (1 + np.exp(-odds.astype(np.float64)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> Network:
+def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = SEED, steps: int = STEPS) -> Network:
     """Adam on the weighted log loss. Only the winning window of each chunk and filter gets a gradient."""
     net, rng = Network(seed), np.random.default_rng(seed)
     parts = [chunks(t) for t in texts]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     step = 0
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(1, -(-len(texts) // BATCH)))):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             picked = order[at : at + BATCH]
@@ -130,7 +130,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int =
     return net
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", rows: tuple[int, int] = (ROWS_0, ROWS_1), epochs: int = EPOCHS) -> Network:
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", rows: tuple[int, int] = (ROWS_0, ROWS_1), steps: int = STEPS) -> Network:
     """Fit on at most `rows` labelled documents of class 0 and 1, outside the held-out fold: those whose ids hash lowest.
 
     Only ids of that bounded sample are broadcast; texts stay on the executors, and the driver gets the weights alone.
@@ -144,7 +144,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", text:
 
     def fit_sample(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "label", "body"])
-        net = fit([b.encode("utf-8", "replace") for b in part["body"]], part["label"].to_numpy(), np.where(part["label"] == 1, share[1], share[0]), epochs=epochs)
+        net = fit([b.encode("utf-8", "replace") for b in part["body"]], part["label"].to_numpy(), np.where(part["label"] == 1, share[1], share[0]), steps=steps)
         return pd.DataFrame({"weights": [pickle.dumps([p.tobytes() for p in net.parameters()])]})
 
     got = texts.groupBy(F.lit(0).alias("one")).applyInPandas(fit_sample, "weights binary").collect()
