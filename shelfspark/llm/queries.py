@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, lsm, mixing, quality, simhash, topk
+from shelfspark.llm import bpe, katz, lsm, mixing, quality, simhash, topk
 from shelfspark.llm.common import fold, materialise
 
 
@@ -75,6 +75,10 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS k
 """
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -103,6 +107,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mix": op3_mix,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_katz": op5_katz,
     "op7_quality": op7_quality,
     "op10_topk": op10_topk,
 }
