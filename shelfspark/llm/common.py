@@ -14,6 +14,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: The words of a text are the maximal runs of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_tables: list[tuple[SparkSession, str]] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -37,6 +38,15 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write `df` to the shared warehouse in buckets of `key`: later groupings by it read the buckets without a shuffle."""
+    spark = df.sparkSession
+    name = f"shelfspark_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch files behind a materialised frame that nothing reads any more."""
     names = {f.split("/t-")[-1].split("/")[0] for f in df.inputFiles() if "/t-" in f}
@@ -53,6 +63,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
+    for spark, name in _tables:
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for spark, path in _written:
         if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
             continue

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, katz, lsm, mixing, quality, simhash, topk
+from shelfspark.llm import bpe, katz, lines, lsm, mixing, quality, simhash, topk
 from shelfspark.llm.common import fold, materialise
 
 
@@ -86,6 +86,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(_table(spark, sf_dir, "embeddings")))
 
@@ -109,6 +113,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_katz": op5_katz,
     "op7_quality": op7_quality,
+    "op9_lines": op9_lines,
     "op10_topk": op10_topk,
 }
 
