@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 #: A worker keeps at most so many encoded chunks and pairs of tokens; a cache is emptied beyond, which changes no result.
 CACHE_ENTRIES = 600_000
 NEVER = 1 << 62
+#: ASCII white space next to a space.
+BESIDE_SPACE = ["  ", *[x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (" " + c, c + " ")]]
 
 
 class Vocabulary:
@@ -191,15 +194,21 @@ class TextEncoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
+        #: Chunks that have been encoded, and those that follow a single space, without it.
         self.chunks: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}
+        self.rare = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
         space = regex.compile(r"\s")
         self.blank = frozenset(c for c in map(chr, range(0x3100)) if space.match(c))
 
+    def plain(self, text: str) -> bool:
+        """Whether every space stands between two characters that aren't white space."""
+        if text[0] == " " or text[-1] == " " or any(x in text for x in BESIDE_SPACE):
+            return False
+        return text.isascii() or not self.rare(text)
+
     def split(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        blank = self.blank
-        if all(p and p[0] not in blank and p[-1] not in blank for p in parts):
-            return [parts[0], *[" " + p for p in parts[1:]]]
+        parts, blank = text.split(" "), self.blank
         chunks, held, open_end = [], parts[0], not parts[0] or parts[0][-1] in blank
         for p in parts[1:]:
             if open_end or not p or p[0] in blank:
@@ -210,24 +219,36 @@ class TextEncoder:
             open_end = not p or p[-1] in blank
         return [*chunks, held]
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str, keep: bool = True) -> bytes:
         pieces = self.find(chunk)
         if len(pieces) == 1:
             out = np.array(self.vocabulary.encode_piece(chunk.encode("utf-8", "replace")), dtype=np.int32).tobytes()
         else:  # a piece by itself is encoded as it is within the chunk
             out = b"".join([self.chunks.get(p) or self._chunk(p) for p in pieces])
-        if len(chunk) <= 64:
+        if keep and len(chunk) <= 64:
             if len(self.chunks) >= CACHE_ENTRIES:
                 self.chunks.clear()
             self.chunks[chunk] = out
         return out
 
+    def _after_space(self, word: str) -> bytes:
+        out = self.chunks.get(" " + word) or self._chunk(" " + word, keep=False)
+        if len(word) <= 64:
+            if len(self.after_space) >= CACHE_ENTRIES:
+                self.after_space.clear()
+            self.after_space[word] = out
+        return out
+
     def encode(self, text: str | None) -> bytes:
         """The ids as 32-bit integers."""
         if not text:
             return b""
         get, make = self.chunks.get, self._chunk
-        return b"".join([get(c) or make(c) for c in self.split(text)])
+        if not self.plain(text):
+            return b"".join([get(c) or make(c) for c in self.split(text)])
+        first, *rest = text.split(" ")
+        after, make_after = self.after_space.get, self._after_space
+        return (get(first) or make(first)) + b"".join([after(c) or make_after(c) for c in rest])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -290,12 +311,11 @@ def decode_documents(df: DataFrame, vocabulary_path: str, pattern: str, ids: str
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 lists = batch.column(batch.schema.get_field_index(ids))
-                decoded = []
-                for i in range(len(lists)):
-                    tokens = lists[i].values.to_pylist() if lists[i].is_valid else []
-                    if None in tokens:
-                        raise ValueError("a list of token ids holds a null")
-                    decoded.append(coder.decode(tokens))
+                if lists.flatten().null_count:
+                    raise ValueError("a list of token ids holds a null")
+                cuts = np.cumsum([0, *[n or 0 for n in pc.list_value_length(lists).to_pylist()]])
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                decoded = [coder.decode(flat[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(decoded, pa.binary())], names=[*keep, out])
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, _with(df.select(*[F.col(f"`{c}`") for c in keep]), out, T.BinaryType()))
