@@ -35,8 +35,8 @@ def measure(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def targets(measured: DataFrame, source: str, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """One row a source: source, source_size, target. Targets fill up by weight to `share` of all words; none exceeds
-    `most` times its source. The level that all uncapped sources share follows from the sources in the order in which
-    they reach their caps."""
+    `most` times its source. With the first k sources, in the order in which they reach their caps, held at their caps, the
+    others share a level; it rises as long as the next source is above its cap, so the greatest level is the final one."""
     sizes = measured.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -48,9 +48,9 @@ def targets(measured: DataFrame, source: str, weights: tuple[int, ...], share: f
         ranked.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0)))
         .withColumn("rest", F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("level", (F.lit(share) * F.sum("source_size").over(all_rows) - F.col("full")) / F.col("rest"))
-        .withColumn("reached", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(all_rows))
+        .withColumn("reached", F.max("level").over(all_rows))
     )
-    return level.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("reached") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
+    return level.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("reached") * F.col("weight")).alias("target"))
 
 
 def allocate(measured: DataFrame, doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -64,7 +64,7 @@ def allocate(measured: DataFrame, doc_id: str = "doc_id", source: str = "source"
     sums = rows.groupBy(F.col(f"`{source}`").alias("in_source"), slice_of.alias("slice")).agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("in_source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     cut = sums.withColumn("after", F.sum("words").over(upto)).join(plan, F.col("in_source").eqNullSafe(F.col("source")))
-    cut = cut.filter((F.col("after") - F.col("words") <= F.col("missing")) & (F.col("missing") < F.col("after")))
+    cut = cut.filter((F.col("missing") > 0) & (F.col("after") - F.col("words") <= F.col("missing")) & (F.col("missing") < F.col("after")))
     cut = cut.select("in_source", F.col("slice").alias("cut_slice"), (F.col("after") - F.col("words")).alias("cut_words"))
     plan = plan.join(cut, F.col("in_source").eqNullSafe(F.col("source")), "left")
     plan = materialise(plan.select(F.col("source").alias("__source"), "source_size", "target", F.col("whole").alias("__whole"), F.col("missing").alias("__missing"), F.col("cut_slice").alias("__cut"), F.col("cut_words").alias("__cut_words")))

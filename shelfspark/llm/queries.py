@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, katz, lines, lsm, mixing, quality, simhash, topk
+from shelfspark.llm import bpe, chat, katz, licenses, lines, lsm, mixing, quality, simhash, topk
 from shelfspark.llm.common import fold, materialise
 
 
@@ -45,8 +45,8 @@ ordered AS (
     sum(source_size) OVER () AS all_words
   FROM named WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (CAST(1.5 AS DOUBLE) * CAST(all_words AS DOUBLE) - CAST(full_before AS DOUBLE)) / CAST(rest AS DOUBLE) AS level FROM ordered),
-reached AS (SELECT *, min(CASE WHEN level <= cap / weight THEN level END) OVER () AS reach FROM levels),
-plan AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(reach * weight, CAST(cap AS DOUBLE))) AS target FROM reached),
+reached AS (SELECT *, max(level) OVER () AS reach FROM levels),
+plan AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), reach * weight) AS target FROM reached),
 parts AS (
   SELECT source, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole
   FROM plan),
@@ -79,6 +79,11 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select("doc_id", F.size("licenses").alias("n_finds"), F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",").alias("found"), "licenses")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -86,6 +91,44 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+#: The conversations hold no tool calls, so turns stand for them: a user's turn calls the tool "reply" and needs the user's
+#: turn before it; the assistant's next turn is the result.
+REPLY = {"reply": {"type": "object", "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer"}}, "required": ["prompt", "turn"], "additionalProperties": False}}
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").withColumn("turn", F.col("turn").cast("long"))
+    name = lambda turn: F.concat(F.lit("turn-"), turn.cast("string"))
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
+    calls = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("position"), name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+    results = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("position"), name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return chat.link_calls(calls, results, REPLY)
+
+
+OP8_SQL = r"""
+WITH turns AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
+calls AS (SELECT * FROM turns WHERE role = 'user'),
+answers AS (
+  SELECT c.conv_id, c.turn, min(r.text) AS result, count(r.turn) > 0 AS linked
+  FROM calls c LEFT JOIN turns r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant' GROUP BY ALL),
+linked AS (
+  SELECT c.conv_id, c.turn, 'turn-' || c.turn AS call_id, CASE WHEN a.linked THEN 'linked' ELSE 'pending' END AS status, c.text, a.result
+  FROM calls c JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn),
+orphans AS (
+  SELECT r.conv_id, r.turn, 'turn-' || (r.turn - 1) AS call_id, r.text AS result FROM turns r
+  WHERE r.role = 'assistant' AND NOT EXISTS (FROM calls c WHERE c.conv_id = r.conv_id AND c.turn = r.turn - 1))
+SELECT conv_id, turn AS order_key, CAST(0 AS INTEGER) AS order_step, turn AS "position", call_id, status, CAST(NULL AS VARCHAR) AS error,
+  '{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"depends_on":['
+  || CASE WHEN turn >= 2 THEN '"turn-' || (turn - 2) || '"' ELSE '' END || '],"id":"' || call_id || '","name":"reply","result":'
+  || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS message
+FROM linked
+UNION ALL
+SELECT conv_id, turn, CAST(0 AS INTEGER), turn, call_id, 'orphan', CAST(NULL AS VARCHAR),
+  '{"id":"' || call_id || '","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"orphan"}'
+FROM orphans
+"""
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -112,9 +155,11 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_katz": op5_katz,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
+    "op8_chat": op8_chat,
     "op9_lines": op9_lines,
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL = {"op3_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op10_topk": OP10_SQL}
+ORACLE_SQL = {"op3_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL, "op10_topk": OP10_SQL}

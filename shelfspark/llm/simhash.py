@@ -137,13 +137,27 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     return rows.join(classes(rows, radius), "simhash").select("doc_id", "simhash", "component_id")
 
 
-def classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, simhash), a written table, to (simhash, component_id), one row a fingerprint."""
+def classes(rows: DataFrame, radius: int = RADIUS, name: str = "component_id") -> DataFrame:
+    """Rows (doc_id, simhash), a written table, to (simhash, component_id), one row a fingerprint; with name "root" to
+    (simhash, root), the smallest fingerprint of the class."""
     distinct = materialise(rows.groupBy("simhash").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("simhash"), radius))
     named = distinct.join(roots, distinct["simhash"] == roots["node"], "left").select("simhash", "least", F.coalesce("root", "simhash").alias("root"))
+    if name == "root":
+        return named.select("simhash", "root")
     named = materialise(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(least, "root").select("simhash", "component_id")
 
 
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of `df` without those whose class holds a row with a smaller id (of equal ids, an earlier row)."""
+    rows = materialise(add_fingerprints(df, text, "__simhash")).withColumn("__row", F.monotonically_increasing_id())
+    named = classes(rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("__simhash").alias("simhash")), radius, "root")
+    slim = rows.select("__simhash", "__row", F.struct(F.col(f"`{doc_id}`").isNull().alias("unknown"), F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("row")).alias("place"))
+    within = materialise(slim.join(named, F.col("__simhash") == F.col("simhash")).select("__row", "root", "place"))
+    stays = within.groupBy("root").agg(F.min("place").alias("first"))
+    gone = within.join(stays, "root").filter(F.col("__row") != F.col("first.row")).select("__row")
+    return rows.join(gone, "__row", "left_anti").drop("__row", "__simhash")
