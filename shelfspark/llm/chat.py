@@ -118,7 +118,7 @@ def topological(calls: DataFrame) -> DataFrame:
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Calls (conv_id, position, call_id, name, arguments, depends_on) and results (conv_id, position, call_id, content) to
     rows conv_id, order_key, order_step, position, call_id, status, error, message (canonical JSON)."""
-    calls = materialise(calls.filter("conv_id is not null and call_id is not null").select("conv_id", "position", "call_id", "name", "arguments", "depends_on").distinct())
+    calls = materialise(calls.filter("conv_id is not null and call_id is not null").select("conv_id", "position", "call_id", "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")).distinct())
     content = F.struct("name", "arguments", F.array_sort("depends_on").alias("depends_on"))
     by_id = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("position", content.alias("c"))).alias("best"), F.count("*").alias("number"))
     first = materialise(by_id.select("conv_id", "call_id", F.col("best.position").alias("position"), F.col("best.c.name").alias("name"), F.col("best.c.arguments").alias("arguments"), F.col("best.c.depends_on").alias("depends_on"), "number"))

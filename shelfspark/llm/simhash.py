@@ -70,7 +70,7 @@ def add_fingerprints(df: DataFrame, text: str = "text", out: str = "simhash", wo
 
 def _blocks(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of similar quarter counts: rows, fingerprints, least and greatest count of each quarter."""
-    quarters = np.bitwise_count(prints.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    quarters = np.bitwise_count(np.ascontiguousarray(prints).view(np.uint16).reshape(-1, 4)).astype(np.int16)
     order = np.lexsort(quarters.T[::-1])
     cuts = range(0, len(order), BLOCK_ROWS)
     return [(o, prints[o], quarters[o].min(axis=0), quarters[o].max(axis=0)) for o in (order[c : c + BLOCK_ROWS] for c in cuts)]
