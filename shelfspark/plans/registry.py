@@ -17,23 +17,24 @@ class Registry:
     """A folder with models/kind=K/trained_at=T (Parquet) and reports/kind=K/trained_at=T (JSON). The latest is the
     greatest trained_at; frames that were loaded are kept until a later one exists."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, models: str | None = None, reports: str | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.folders = {"models": models or f"{self.root}/models", "reports": reports or f"{self.root}/reports"}
         self.held: dict[str, tuple[str, DataFrame]] = {}
 
     def save(self, kind: str, table: DataFrame, trained_at: str) -> str:
-        path = f"{self.root}/models/kind={kind}/trained_at={trained_at}"
+        path = f"{self.folders['models']}/kind={kind}/trained_at={trained_at}"
         table.write.mode("errorifexists").parquet(path)
         return path
 
     def report(self, kind: str, trained_at: str, **values) -> str:
-        path = f"{self.root}/reports/kind={kind}/trained_at={trained_at}"
+        path = f"{self.folders['reports']}/kind={kind}/trained_at={trained_at}"
         self.spark.createDataFrame([values]).coalesce(1).write.mode("errorifexists").json(path)
         return path
 
     def _times(self, folder: str, kind: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}/kind={kind}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folders[folder]}/kind={kind}")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return sorted(s.getPath().getName().removeprefix("trained_at=") for s in fs.listStatus(path)) if fs.exists(path) else []
 
@@ -42,14 +43,14 @@ class Registry:
         if not times:
             raise FileNotFoundError(f"no artifact of kind {kind} in {self.root}")
         if self.held.get(kind, ("",))[0] != times[-1]:
-            self.held[kind] = times[-1], self.spark.read.parquet(f"{self.root}/models/kind={kind}/trained_at={times[-1]}").cache()
+            self.held[kind] = times[-1], self.spark.read.parquet(f"{self.folders['models']}/kind={kind}/trained_at={times[-1]}").cache()
         return self.held[kind][1]
 
     def latest_report(self, kind: str) -> dict:
         times = self._times("reports", kind)
         if not times:
             raise FileNotFoundError(f"no report of kind {kind} in {self.root}")
-        return self.spark.read.json(f"{self.root}/reports/kind={kind}/trained_at={times[-1]}").first().asDict(recursive=True)
+        return self.spark.read.json(f"{self.folders['reports']}/kind={kind}/trained_at={times[-1]}").first().asDict(recursive=True)
 
     def has(self, kind: str) -> bool:
         try:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from shelfspark.plans import api
+from shelfspark.plans import api, config
 from shelfspark.plans.registry import Registry
 from shelfspark.sources import readers, retail
 from shelfspark.streaming.weekly import weekly_demand
@@ -90,6 +90,11 @@ def test_unknown_products(service):
     assert api.health() == {"status": "ok"}
 
 
+def test_folders():
+    assert config.folders("/b", {}) == config.Folders("/b/data", "/b/artifacts", "/b/artifacts/models", "/b/artifacts/reports")
+    assert config.folders("/b", {"ARTIFACTS_DIR": "/a", "REPORTS_DIR": "/r"}) == config.Folders("/b/data", "/a", "/a/models", "/r")
+
+
 def test_later_artifacts_replace_earlier_ones(spark, tmp_path):
     store = Registry(spark, f"file://{tmp_path}")
     store.save("k", spark.range(1), "20250101_000000")
