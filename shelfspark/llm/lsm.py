@@ -8,8 +8,8 @@ merged run; rows of digests that occur more than once are hits, whose bytes are
 stays, and texts that differ in spite of equal digests are grouped by their bytes.
 
 Edge cases: a null text counts as empty; texts of white space alone equal the empty text; null ids are larger than all
-others; repeated rows are copies of each other; an empty table gives an empty result; input columns pass through, and those
-with the name of a result are replaced.
+others; repeated rows are copies of each other; an empty table gives an empty result; of the input's columns only the id is
+in the result, so names can't clash.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import SPACES, materialise, parallelism
@@ -150,12 +150,11 @@ class DigestIndex:
 
 
 def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, index: DigestIndex | None = None) -> DataFrame:
-    """`df` with keep_id, group_size, kept and text_sha256; dropped rows too.
+    """One row for each of `df`, dropped ones too: the id, keep_id, group_size, kept and text_sha256.
 
     Of rows that repeat both the id and the number of code points of the row that stays, one is kept.
     """
-    new = ["keep_id", "group_size", "kept", "text_sha256"]
-    base = df.drop(*new)
+    base = df
     body = normalised(F.col(f"`{text}`"))
     keyed = base.select(F.col(f"`{doc_id}`").alias("doc_id"), digest(body).alias("digest"), F.length(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).cast("long").alias("points"), F.sha2(body.cast("binary"), 256).alias("text_sha256"))
     slim = materialise(keyed.withColumn("row", F.monotonically_increasing_id()))
@@ -170,7 +169,6 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", diges
     # Bytes are compared; what differs in spite of its digest is grouped by its bytes.
     differs = materialise(hits.join(stays, "digest").filter(F.col("body") != F.col("kept_body")).select("digest").distinct())
     odd = hits.join(F.broadcast(differs) if len(differs.limit(1001).collect()) <= 1000 else differs, "digest", "left_semi")
-    order = (-F.col("points"), F.col("doc_id").asc_nulls_last())
     by_bytes = odd.groupBy("digest", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "body").agg(F.min(F.struct((-F.col("points")).alias("fewer"), F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("best"), F.count("*").alias("copies"))
     exact = by_bytes.select("digest", "text_sha256", (-F.col("best.fewer")).alias("points"), F.col("best.doc_id").alias("best_id"), "copies")
     plain = index.run.join(differs, "digest", "left_anti").select("digest", F.lit(None).cast("string").alias("text_sha256"), "points", F.col("doc_id").alias("best_id"), "copies")

@@ -9,8 +9,8 @@ spanning forest of its links, which keeps all components and is no larger than i
 
 Edge cases: a null or empty text has no words and fingerprint zero; texts with fewer words than a shingle are one
 shingle; equal texts, repeated rows and ties share their fingerprint and class; rows with a null id belong to classes but
-never name one, unless all ids of a class are null (component_id null); other columns pass through, and those with the
-name of a result are replaced.
+never name one, unless all ids of a class are null (component_id null). keep_one returns all columns unchanged;
+near_duplicates returns its own columns alone.
 """
 
 from __future__ import annotations
