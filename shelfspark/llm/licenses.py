@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ class Scanner:
         finds: list[list] = [[] for _ in docs]
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
         first = np.cumsum(lengths) - lengths
-        hashes = np.fromiter((h for d in docs for h in map(self.cache.__getitem__, d)), dtype=np.uint64, count=int(lengths.sum()))
+        hashes = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(docs)), dtype=np.uint64, count=int(lengths.sum()))
         for width, steps in self.groups.items():
             shingles = shingle_hashes(hashes, width)
             if not len(shingles):
