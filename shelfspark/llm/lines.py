@@ -28,19 +28,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import bucketed, materialise, parallelism
-from shelfspark.llm.packed import pack, split_by, spread, unpack
+from shelfspark.llm.packed import distinct, pack, ranked, split_by, spread, unpack
 
 MIN_WORDS = 5
 #: Least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
 #: Candidates of a line within a word's postings in the first round.
 FIRST_FEW = 2
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
+#: Hash values of the filter for the second round.
+SPOTS = 1 << 21
 OTHER = np.uint64(0x5851F42D4C957F2D)
 
 BLOCK = "block long, rows binary, hashes binary, tokens binary, sizes binary, set_a binary, set_b binary, set_key binary, set_at binary, line_set binary, line_at binary"
@@ -79,7 +81,7 @@ def build_blocks(df: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
             key, at = np.array(keys, dtype=np.uint64), np.array(at, dtype=np.uint64)
             line = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
-            pairs = np.unique(line << np.uint64(32) | np.frombuffer(flat, dtype=np.uint32).astype(np.uint64)) if len(flat) else np.zeros(0, dtype=np.uint64)
+            pairs = distinct(line << np.uint64(32) | np.frombuffer(flat, dtype=np.uint32).astype(np.uint64)) if len(flat) else np.zeros(0, dtype=np.uint64)
             line, token = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
             start = np.flatnonzero(np.diff(line, prepend=-1))
             sizes = np.diff(np.append(start, len(line)))
@@ -122,30 +124,54 @@ def _u64(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint64)
 
 
-class Lines:
-    """The distinct lines of a block, their words ordered by rarity."""
+READY = "block long, words binary, counts binary, is_first binary"
+LONG = 96  # words from which on a line has 128 parity bits rather than 64
+
+
+def prepare(blocks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
+    """Blocks with the answers in the order of the block: global numbers of its words, in how many lines they are, and
+    whether the block's lines are the first with their sets."""
 
-    def __init__(self, row: pd.Series, answers: pd.DataFrame, parts: int):
+    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        row = left.iloc[0]
         hashes = _u64(row["hashes"])
-        self.numbers, counts = np.zeros(len(hashes), dtype=np.uint64), np.zeros(len(hashes), dtype=np.int64)
-        by_part = {(k, p): (a, b) for k, p, a, b in zip(answers["kind"], answers["part"], answers["first"], answers["second"], strict=True)}
+        numbers, counts = np.zeros(len(hashes), dtype=np.uint64), np.zeros(len(hashes), dtype=np.int64)
+        by_part = {(k, p): (x, y) for k, p, x, y in zip(right["kind"], right["part"], right["first"], right["second"], strict=True)}
         for p, at in split_by((spread(hashes) % np.uint64(parts)).astype(np.int64)):
-            self.numbers[at], counts[at] = unpack(by_part[0, p][0]), unpack(by_part[0, p][1])
-        self.sizes = unpack(row["sizes"]).astype(np.int64)
-        self.first = np.zeros(len(self.sizes), dtype=bool)
+            numbers[at], counts[at] = unpack(by_part[0, p][0]), unpack(by_part[0, p][1])
+        sizes = unpack(row["sizes"]).astype(np.int64)
+        first = np.zeros(len(sizes), dtype=bool)
         for p, at in split_by((spread(_u64(row["set_a"])) % np.uint64(parts)).astype(np.int64)):
-            self.first[at] = unpack(by_part[1, p][0]).astype(bool)
-        self.key, self.at = _u64(row["set_key"]), _u64(row["set_at"])
-        tokens, line = unpack(row["tokens"]).astype(np.int64), np.repeat(np.arange(len(self.sizes)), self.sizes)
-        rank = np.empty(len(hashes), dtype=np.int64)
-        by_rarity = np.lexsort((hashes, counts))
-        rank[by_rarity] = np.arange(len(hashes))
-        keys = np.sort(line << 32 | rank[tokens])
-        self.line, self.tokens = keys >> 32, by_rarity[keys & 0xFFFFFFFF]
-        self.start = np.cumsum(self.sizes) - self.sizes
-        self.parity = np.bitwise_xor.reduceat(np.uint64(1) << (spread(hashes[self.tokens]) & np.uint64(63)), self.start) if len(self.start) else np.zeros(0, dtype=np.uint64)
-        self.counts = counts
-        self.active = unpack(by_part[2, 0][0]).astype(np.int64) if (2, 0) in by_part else None
+            first[at] = unpack(by_part[1, p][0]).astype(bool)
+        return pd.DataFrame([[int(row["block"]), pack(numbers), pack(counts), pack(first)]], columns=[c.split()[0] for c in READY.split(", ")])
+
+    needed = blocks.select("block", "hashes", "sizes", "set_a")
+    ready = bucketed(needed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join, READY), "block")
+    return blocks.select("block", "tokens", "sizes", "set_key", "set_at").join(ready, "block")
+
+
+class Lines:
+    """The distinct lines of a prepared block."""
+
+    def __init__(self, row):
+        self.block, self.numbers, self.counts = int(row.block), unpack(row.words), unpack(row.counts)
+        self.tokens, self.sizes, self.first = unpack(row.tokens).astype(np.int64), unpack(row.sizes).astype(np.int64), unpack(row.is_first).astype(bool)
+        self.key, self.at = _u64(row.set_key), _u64(row.set_at)
+        self.line, self.start = np.repeat(np.arange(len(self.sizes)), self.sizes), np.cumsum(self.sizes) - self.sizes
+
+    def by_rarity(self) -> Lines:
+        """Order the words of each line by count, then number, which is the same order in all blocks; and hash them to
+        parity bits: `parity` has 64 of them, and `high`, of long lines alone, the upper half if they were 128."""
+        order = np.lexsort((self.numbers, self.counts))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.tokens = order[np.sort(self.line << 32 | rank[self.tokens]) & 0xFFFFFFFF]
+        mixed = spread(self.numbers)
+        bits = np.uint64(1) << (mixed & np.uint64(63))
+        upper = np.where(mixed & np.uint64(64), bits, np.uint64(0))
+        fold = lambda x: np.bitwise_xor.reduceat(x[self.tokens], self.start) if len(self.start) else np.zeros(0, dtype=np.uint64)
+        self.parity, self.high = fold(bits), np.where(self.sizes >= LONG, fold(upper), np.uint64(0))
+        return self
 
     def postings(self) -> np.ndarray:
         """Positions of the words under which lines are posted: the prefix, without words that one line alone has."""
@@ -153,6 +179,22 @@ class Lines:
         prefix = self.sizes - _ceil(self.sizes * NUM, DEN) + 1
         return np.flatnonzero((position < prefix[self.line]) & self.first[self.line] & (self.counts[self.tokens] > 1))
 
+    def spots(self, at: np.ndarray) -> np.ndarray:
+        """Hash values of the words at these positions, for the filter of the second round."""
+        return (spread(self.numbers[self.tokens[at]] ^ OTHER) % np.uint64(SPOTS)).astype(np.int64)
+
+    def packed(self, at: np.ndarray, active: np.ndarray, parts: int) -> pd.DataFrame:
+        number, line = self.numbers[self.tokens[at]], self.line[at]
+        out = []
+        for p, own in split_by((spread(number) % np.uint64(parts)).astype(np.int64)):
+            n = line[own]
+            held = [number[own], n, at[own] - self.start[n], self.sizes[n], self.key[n], self.at[n], active[n]]
+            out.append((p, self.block, *map(pack, held), self.parity[n].tobytes(), pack(self.high[n])))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in POSTED.split(", ")])
+
+
+POSTED = "part int, block long, token binary, line binary, position binary, size binary, key binary, at binary, active binary, parity binary, high binary"
+
 
 def _ask(parts: int):
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,10 +216,10 @@ def _merge(parts: int):
         kind, part = key
         if kind == 0:
             hashes = [_u64(x) for x in frame["first"]]
-            distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            counts = np.bincount(place, weights=np.concatenate([unpack(x) for x in frame["second"]]).astype(np.float64), minlength=len(distinct)).astype(np.int64)
-            rank = np.empty(len(distinct), dtype=np.int64)
-            rank[np.lexsort((distinct, -counts))] = np.arange(len(distinct))
+            names, place = ranked(np.concatenate(hashes))
+            counts = np.bincount(place, weights=np.concatenate([unpack(x) for x in frame["second"]]).astype(np.float64), minlength=len(names)).astype(np.int64)
+            rank = np.empty(len(names), dtype=np.int64)
+            rank[np.lexsort((names, -counts))] = np.arange(len(names))
             cuts = np.cumsum([len(h) for h in hashes])[:-1]
             out = [(b, 0, part, pack(rank[at] * parts + part), pack(counts[at])) for b, at in zip(frame["block"], np.split(place, cuts), strict=True)]
         else:
@@ -196,7 +238,7 @@ def _merge(parts: int):
     return merge
 
 
-def candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray, parity: np.ndarray, active: np.ndarray, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray, parity: np.ndarray, high: np.ndarray, active: np.ndarray, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings in the order of (token, line order) to pairs (later, earlier) that pass the filters, and which of the
     later ones have got `few` pairs before all earlier postings were seen."""
     start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, dtype=np.int64)
@@ -210,7 +252,8 @@ def candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray, parity
         both = size[late] + size[early]
         need = _ceil(NUM * both, NUM + DEN)
         fits = (np.minimum(size[late] - position[late], size[early] - position[early]) >= need) & (DEN * size[late] >= NUM * size[early]) & (DEN * size[early] >= NUM * size[late])
-        fits &= np.bitwise_count(parity[late] ^ parity[early]) <= both - 2 * need
+        low, up = parity[late] ^ parity[early], np.where(np.minimum(size[late], size[early]) >= LONG, high[late] ^ high[early], np.uint64(0))
+        fits &= np.bitwise_count(low ^ up).astype(np.int64) + np.bitwise_count(up) <= both - 2 * need
         found_y.append(late[fits])
         found_x.append(early[fits])
         got[late[fits]] += 1
@@ -225,87 +268,120 @@ def candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray, parity
     return np.concatenate(found_y), np.concatenate(found_x), more
 
 
-def _find(blocks: DataFrame, answers: DataFrame, parts: int, few: int | None) -> DataFrame:
-    """Candidate pairs: later line (block y, number), earlier line (block x, number), and whether y may have more."""
+def _met(ready: DataFrame, open_: DataFrame) -> Broadcast:
+    """Which of SPOTS hash values the posted words of the open lines have: a filter of fixed size for all postings."""
 
-    def post(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        lines = Lines(left.iloc[0], right, parts)
+    slices = 64
+
+    def mark(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"slice": [], "bits": []})
+        lines = Lines(left.iloc[0]).by_rarity()
         at = lines.postings()
-        number, line = lines.numbers[lines.tokens[at]], lines.line[at]
-        active = np.ones(len(lines.sizes), dtype=np.int64)
-        if few is None:
-            active[:] = 0
-            if lines.active is not None:
-                active[lines.active] = 1
-        out = []
-        for p, own in split_by((spread(number) % np.uint64(parts)).astype(np.int64)):
-            n = line[own]
-            packed = [number[own], n, (at[own] - lines.start[n]), lines.sizes[n], lines.key[n], lines.at[n], active[n]]
-            out.append((p, int(left["block"].iloc[0]), *map(pack, packed), lines.parity[n].tobytes()))
-        return pd.DataFrame(out, columns=["part", "block", "token", "line", "position", "size", "key", "at", "active", "parity"])
+        held = np.zeros(SPOTS, dtype=bool)
+        held[lines.spots(at[np.isin(lines.line[at], right["line"].to_numpy())])] = True
+        return pd.DataFrame({"slice": range(slices), "bits": [pack(x) for x in np.packbits(held).reshape(slices, -1)]})
+
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([unpack(x).astype(np.uint8) for x in frame["bits"]])
+        return pd.DataFrame({"slice": [key[0]], "bits": [bits.tobytes()]})
+
+    marks = ready.groupBy("block").cogroup(open_.groupBy("block")).applyInPandas(mark, "slice int, bits binary")
+    parts = {r["slice"]: r["bits"] for r in marks.groupBy("slice").applyInPandas(merge, "slice int, bits binary").collect()}
+    held = b"".join(bytes(parts[k]) for k in range(slices))
+    return ready.sparkSession.sparkContext.broadcast(np.unpackbits(np.frombuffer(held, dtype=np.uint8)).astype(bool))
+
+
+def _find(ready: DataFrame, parts: int, open_: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs: later line (y_block, y), earlier line (x_block, x), and whether y may have more. In the first round
+    the earliest FIRST_FEW of each line; with open lines, all of theirs."""
+    if open_ is None:
+
+        def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for row in frame.itertuples():
+                    lines = Lines(row).by_rarity()
+                    yield lines.packed(lines.postings(), np.ones(len(lines.sizes), dtype=np.int64), parts)
+
+        posted = ready.mapInPandas(post, POSTED)
+    else:
+        met = _met(ready, open_)
+
+        def post_open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            lines = Lines(left.iloc[0]).by_rarity()
+            at = lines.postings()
+            active = np.zeros(len(lines.sizes), dtype=np.int64)
+            active[right["line"].to_numpy()] = 1
+            return lines.packed(at[met.value[lines.spots(at)]], active, parts)
+
+        posted = ready.groupBy("block").cogroup(open_.groupBy("block")).applyInPandas(post_open, POSTED)
+    few = FIRST_FEW if open_ is None else None
 
     def pair(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         token, line, position, size, key_, at, active = (np.concatenate([unpack(x) for x in frame[c]]) for c in ("token", "line", "position", "size", "key", "at", "active"))
+        high = np.concatenate([unpack(x) for x in frame["high"]])
         parity = np.concatenate([_u64(x) for x in frame["parity"]])
         block = np.repeat(frame["block"].to_numpy(), [len(x) // 8 for x in frame["parity"]])
         order = np.lexsort((at, block, key_, token))
-        y, x, more = candidates(token[order], size[order].astype(np.int64), position[order].astype(np.int64), parity[order], active[order].astype(bool), few)
+        y, x, more = candidates(token[order], size[order].astype(np.int64), position[order].astype(np.int64), parity[order], high[order], active[order].astype(bool), few)
         y_, x_ = order[y], order[x]
-        return pd.DataFrame({"y_block": block[y_], "y": line[y_].astype(np.int64), "x_block": block[x_], "x": line[x_].astype(np.int64), "more": more[y]})
+        x_key = (key_[x_] ^ np.uint64(1 << 63)).view(np.int64)
+        return pd.DataFrame({"y_block": block[y_], "y": line[y_].astype(np.int64), "x_key": x_key, "x_block": block[x_], "x_at": at[x_].astype(np.int64), "x": line[x_].astype(np.int64), "more": more[y]})
 
-    needed = blocks.select("block", "hashes", "tokens", "sizes", "set_a", "set_key", "set_at")
-    posted = needed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(post, "part int, block long, token binary, line binary, position binary, size binary, key binary, at binary, active binary, parity binary")
-    pairs = posted.groupBy("part").applyInPandas(pair, "y_block long, y long, x_block long, x long, more boolean")
-    return materialise(pairs.groupBy("y_block", "y", "x_block", "x").agg(F.max("more").alias("more")))
+    pairs = posted.groupBy("part").applyInPandas(pair, "y_block long, y long, x_key long, x_block long, x_at long, x long, more boolean")
+    once = pairs.groupBy("y_block", "y", "x_key", "x_block", "x_at", "x").agg(F.max("more").alias("more"))
+    if few is not None:
+        w = Window.partitionBy("y_block", "y")
+        once = once.withColumns({"n": F.row_number().over(w.orderBy("x_key", "x_block", "x_at")), "more": F.max("more").over(w) | (F.count("*").over(w) > few)}).filter(F.col("n") <= few)
+    return materialise(once.select("y_block", "y", "x_block", "x", "more"))
 
 
-def _verify(blocks: DataFrame, answers: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """Lines (block, line) of which a candidate has the similarity."""
-    needed = blocks.select("block", "hashes", "tokens", "sizes", "set_a", "set_key", "set_at")
-    words = answers.withColumn("x_block", F.lit(None).cast("long")).withColumn("lines", F.lit(None).cast("array<struct<x:long,y:long>>"))
+def _verify(ready: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Lines (block, line) of which a candidate has the similarity. The later line's block sends its words to the earlier
+    line's block, once for each such block."""
 
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        asked = right[right["kind"] == 9]
-        if not len(asked):
-            return pd.DataFrame({c: [] for c in ("block", "kind", "part", "first", "second", "y_block")})
-        lines = Lines(left.iloc[0], right[right["kind"] < 9], parts)
-        numbers = lines.numbers[lines.tokens]
         out = []
-        for x_block, wanted in zip(asked["x_block"], asked["lines"], strict=True):
-            x, y = np.array([w["x"] for w in wanted], dtype=np.int64), np.array([w["y"] for w in wanted], dtype=np.int64)
-            sizes = lines.sizes[y]
-            at = np.repeat(lines.start[y] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            out.append((int(x_block), 9, 0, pack(np.concatenate((x, y, sizes))), pack(numbers[at]), int(left["block"].iloc[0])))
-        return pd.DataFrame(out, columns=["block", "kind", "part", "first", "second", "y_block"])
-
-    by_block = pairs.withColumn("deal", (F.col("y") % 64)).groupBy("y_block", "x_block", "deal").agg(F.collect_list(F.struct("x", "y")).alias("lines"))
-    to_y = by_block.select(F.col("y_block").alias("block"), F.lit(9).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("first"), F.lit(None).cast("binary").alias("second"), "x_block", "lines")
-    sent = needed.groupBy("block").cogroup(words.unionByName(to_y).groupBy("block")).applyInPandas(send, MESSAGE + ", y_block long")
+        if len(right):
+            lines = Lines(left.iloc[0])
+            numbers = lines.numbers[lines.tokens]
+            for x_block, asked in right.groupby("x_block"):
+                once, place = ranked(asked["y"].to_numpy())
+                sizes = lines.sizes[once]
+                at = np.repeat(lines.start[once] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+                held = [np.array([len(once)]), once, sizes, asked["x"].to_numpy(), place]
+                out.append((int(x_block), lines.block, pack(np.concatenate(held)), pack(numbers[at])))
+        return pd.DataFrame(out, columns=["block", "y_block", "asked", "words"])
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        asked = right[right["kind"] == 9]
-        if not len(asked):
+        if not len(right):
             return pd.DataFrame({"block": [], "line": []})
-        lines = Lines(left.iloc[0], right[right["kind"] < 9], parts)
+        lines = Lines(left.iloc[0])
         by_number = np.argsort(lines.numbers)
         sorted_numbers = lines.numbers[by_number]
         held = np.sort(lines.line * len(by_number) + lines.tokens)
         blocks_, found = [], []
-        for y_block, first, second in zip(asked["y_block"], asked["first"], asked["second"], strict=True):
-            x, y, sizes = unpack(first).astype(np.int64).reshape(3, -1)
-            numbers = unpack(second)
+        for y_block, first, second in zip(right["y_block"], right["asked"], right["words"], strict=True):
+            message = unpack(first).astype(np.int64)
+            n = int(message[0])
+            y, y_sizes = message[1 : n + 1], message[n + 1 : 2 * n + 1]
+            x, place = message[2 * n + 1 :].reshape(2, -1)
+            sizes = y_sizes[place]
+            own = np.repeat((np.cumsum(y_sizes) - y_sizes)[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            numbers = unpack(second)[own]
             at = np.minimum(np.searchsorted(sorted_numbers, numbers), len(sorted_numbers) - 1)
             known = sorted_numbers[at] == numbers
             keys = np.repeat(x, sizes) * len(by_number) + by_number[at]
             where = np.minimum(np.searchsorted(held, keys), len(held) - 1)
             shared = np.add.reduceat((known & (held[where] == keys)).astype(np.int64), np.cumsum(sizes) - sizes)
             hit = (NUM + DEN) * shared >= NUM * (sizes + lines.sizes[x])
-            found.append(np.unique(y[hit]))
+            found.append(distinct(y[place[hit]]))
             blocks_.append(np.full(len(found[-1]), y_block))
         return pd.DataFrame({"block": np.concatenate(blocks_), "line": np.concatenate(found)})
 
-    both = answers.withColumn("y_block", F.lit(None).cast("long")).unionByName(sent)
-    return materialise(needed.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(check, "block long, line long").distinct())
+    to_y = pairs.select(F.col("y_block").alias("block"), "y", "x_block", "x")
+    sent = ready.groupBy("block").cogroup(to_y.groupBy("block")).applyInPandas(send, "block long, y_block long, asked binary, words binary")
+    return materialise(ready.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(check, "block long, line long").distinct())
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -314,32 +390,22 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     parts = parallelism(df.sparkSession)
     blocks = build_blocks(df, doc_id, text, block_bytes)
     asked = blocks.select("block", "hashes", "tokens", "set_a", "set_b", "set_key", "set_at").mapInPandas(_ask(parts), MESSAGE)
-    answers = materialise(asked.groupBy("kind", "part").applyInPandas(_merge(parts), MESSAGE))
-    pairs = _find(blocks, answers, parts, FIRST_FEW)
-    found = _verify(blocks, answers, pairs, parts)
+    ready = prepare(blocks, asked.groupBy("kind", "part").applyInPandas(_merge(parts), MESSAGE), parts)
+    pairs = _find(ready, parts)
+    found = _verify(ready, pairs)
     open_ = pairs.filter("more").select(F.col("y_block").alias("block"), F.col("y").alias("line")).distinct()
     open_ = materialise(open_.join(found, ["block", "line"], "left_anti"))
     if open_.limit(1).collect():
+        found = found.unionByName(_verify(ready, _find(ready, parts, open_)))
 
-        def mark(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"block": [key[0]], "kind": [2], "part": [0], "first": [pack(frame["line"].to_numpy())], "second": [None]})
-
-        active = answers.unionByName(open_.groupBy("block").applyInPandas(mark, MESSAGE))
-        found = found.unionByName(_verify(blocks, answers, _find(blocks, active, parts, None), parts)).distinct()
+    text_at, names = df.columns.index(text), [*df.columns, "removed_lines"]
 
-    id_at, text_at = df.columns.index(doc_id), df.columns.index(text)
-    names = [*df.columns, "removed_lines"]
-
-    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        near = right.loc[right["kind"] == 3, "part"].to_numpy().astype(np.int64)
-        answers_ = right[right["kind"] == 1]
-        set_a, line_set, line_at, set_at = _u64(row["set_a"]), unpack(row["line_set"]).astype(np.int64), _u64(row["line_at"]), _u64(row["set_at"])
-        stays = np.zeros(len(set_a), dtype=bool)
-        by_part = dict(zip(answers_["part"], answers_["first"], strict=True))
-        for p, at in split_by((spread(set_a) % np.uint64(parts)).astype(np.int64)):
-            stays[at] = unpack(by_part[p]).astype(bool)
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = {c: left.column(c)[0].as_py() for c in left.column_names}
+        near = np.array([x for x in right.column("line").to_pylist() if x is not None], dtype=np.int64)
+        stays = unpack(next(x for x in right.column("first").to_pylist() if x is not None)).astype(bool)
         stays[near] = False
+        line_set, line_at, set_at = unpack(row["line_set"]).astype(np.int64), _u64(row["line_at"]), _u64(row["set_at"])
         gone = ~(stays[line_set] & (line_at == set_at[line_set]))
         by_row: dict[int, set[int]] = defaultdict(set)
         for x in line_at[gone].tolist():
@@ -352,11 +418,6 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block
         table = table.append_column("removed_lines", pa.array([len(by_row.get(r, ())) for r in range(len(texts))], pa.int64()))
         return table.select(names)
 
-    def finish_arrow(left: pa.Table, right: pa.Table) -> pa.Table:
-        return finish(left.to_pandas(), right.to_pandas())
-
-    assert id_at >= 0
-    near = found.select("block", F.lit(3).alias("kind"), F.col("line").cast("int").alias("part"), F.lit(None).cast("binary").alias("first"), F.lit(None).cast("binary").alias("second"))
-    firsts = answers.filter("kind = 1").unionByName(near)
+    marks = ready.select(F.col("block").alias("block"), F.col("is_first").alias("first"), F.lit(None).cast("long").alias("line")).unionByName(found.select("block", F.lit(None).cast("binary").alias("first"), "line"))
     schema = df.withColumn("removed_lines", F.lit(0).cast("long")).schema
-    return blocks.select("block", "rows", "set_a", "set_at", "line_set", "line_at").groupBy("block").cogroup(firsts.groupBy("block")).applyInArrow(finish_arrow, schema)
+    return blocks.select("block", "rows", "set_at", "line_set", "line_at").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(finish, schema)

@@ -41,3 +41,20 @@ def split_by(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(part, kind="stable")
     at = np.flatnonzero(np.diff(part[order], prepend=-1))
     return [(int(part[o[0]]), o) for o in np.split(order, at[1:])] if len(order) else []
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by sorting."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))] if len(values) else values
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values, and for each value the place of its equal among them."""
+    order = np.argsort(values)
+    sorted_ = values[order]
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = sorted_[1:] != sorted_[:-1]
+    place = np.empty(len(values), dtype=np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    return sorted_[fresh], place
