@@ -40,7 +40,7 @@ MIN_WORDS = 5
 NUM, DEN = 4, 5
 #: Candidates of a line within a word's postings in the first round.
 FIRST_FEW = 2
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 20_000_000
 #: Hash values of the filter for the second round.
 SPOTS = 1 << 21
 OTHER = np.uint64(0x5851F42D4C957F2D)
