@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A worker keeps at most so many encoded chunks and pairs of tokens; a cache is emptied beyond, which changes no result.
-CACHE_ENTRIES = 600_000
+#: A task keeps at most so many encoded chunks and pairs of tokens; a cache is emptied beyond, which changes no result.
+CACHE_ENTRIES = 300_000
 NEVER = 1 << 62
 #: ASCII white space next to a space.
 BESIDE_SPACE = ["  ", *[x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (" " + c, c + " ")]]
@@ -250,8 +250,15 @@ class TextEncoder:
         after, make_after = self.after_space.get, self._after_space
         return (get(first) or make(first)) + b"".join([after(c) or make_after(c) for c in rest])
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+    def forget(self) -> None:
+        """Empty the caches: a worker that waits for other tasks keeps the vocabulary alone."""
+        self.chunks.clear()
+        self.after_space.clear()
+        self.vocabulary.known.clear()
+
+
+def decode(ids: list[int], bytes_of: list[bytes]) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, ids))
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -270,6 +277,16 @@ def encoder(data: bytes, pattern: str) -> TextEncoder:
     return TextEncoder(Vocabulary(parse_ranks(data)), pattern)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(data: bytes) -> list[bytes]:
+    """The bytes of each token, by its id; ids that the file doesn't have stand for none."""
+    ranks = parse_ranks(data)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
@@ -296,17 +313,18 @@ def encode_documents(df: DataFrame, vocabulary_path: str, pattern: str, text: st
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i) for i in range(len(keep))] + [column.cast(arrow_out)], names=[*keep, out]
                 )
+        coder.forget()
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, _with(df.select(*[F.col(f"`{c}`") for c in keep]), out, T.ArrayType(T.IntegerType())))
 
 
-def decode_documents(df: DataFrame, vocabulary_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def decode_documents(df: DataFrame, vocabulary_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add `out` (binary), the bytes that the ids stand for; a null list decodes to no bytes. The ids pass through."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path))
     keep = [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(ranks.value, pattern)
+        bytes_of = token_bytes(ranks.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -315,7 +333,7 @@ def decode_documents(df: DataFrame, vocabulary_path: str, pattern: str, ids: str
                     raise ValueError("a list of token ids holds a null")
                 cuts = np.cumsum([0, *[n or 0 for n in pc.list_value_length(lists).to_pylist()]])
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
-                decoded = [coder.decode(flat[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                decoded = [decode(flat[a:b].tolist(), bytes_of) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(decoded, pa.binary())], names=[*keep, out])
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, _with(df.select(*[F.col(f"`{c}`") for c in keep]), out, T.BinaryType()))
