@@ -36,17 +36,23 @@ TILE_ROWS, BLOCK_ROWS = 16_384, 256
 COUNT_ROWS = 1 << 15
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, words_in_shingle: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z change case, only ASCII space splits
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     n = min(words_in_shingle, len(words))
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, words_in_shingle)
+    if not len(hashes):
+        return 0
     set_in = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), COUNT_ROWS):
         set_in += np.unpackbits(hashes[at : at + COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
