@@ -15,6 +15,7 @@ in the result, so names can't clash.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -130,12 +131,16 @@ class DigestIndex:
         self.memtable_rows, self.shards = memtable_rows, 0
         self.run: DataFrame | None = None
         self.filters: DataFrame | None = None
+        #: Of each batch that dedup_exact inserted: its rows, and the frame that its texts are read from.
+        self.batches: list[tuple[DataFrame, DataFrame]] = []
 
     def insert(self, rows: DataFrame) -> None:
         """Rows: digest, points, doc_id."""
         self.shards = self.shards or parallelism(rows.sparkSession)
         fresh = merge_runs(flush_memtables(rows, self.shards, self.memtable_rows))
         if self.run is not None:
+            if self.filters is None:
+                self.seal()
             probed = materialise(may_hold(fresh, self.filters))
             old = self.run
             maybe = probed.filter("maybe").drop("maybe")
@@ -152,7 +157,8 @@ class DigestIndex:
 def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, index: DigestIndex | None = None) -> DataFrame:
     """One row for each of `df`, dropped ones too: the id, keep_id, group_size, kept and text_sha256.
 
-    Of rows that repeat both the id and the number of code points of the row that stays, one is kept.
+    With an index, `df` is its next batch and is compared with all batches that were inserted through this function; what
+    is returned holds as of this batch. Frames of earlier batches are read again, so they must stay readable. Of rows that repeat both the id and the number of code points of the row that stays, one is kept.
     """
     base = df
     body = normalised(F.col(f"`{text}`"))
@@ -160,9 +166,15 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", diges
     slim = materialise(keyed.withColumn("row", F.monotonically_increasing_id()))
     index = index or DigestIndex()
     index.insert(slim)
+    earlier = index.batches[:]
     twice = index.run.filter("copies > 1").select("digest", F.col("points").alias("best_points"), F.col("doc_id").alias("best_id"))
     few = len(twice.select("best_points").limit(BROADCAST_DIGESTS + 1).collect()) <= BROADCAST_DIGESTS
     hits = base.select(F.col(f"`{doc_id}`").alias("doc_id"), digest(body).alias("digest"), F.length(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).cast("long").alias("points"), body.alias("body"))
+    index.batches.append((slim, hits))
+    if earlier:
+        asked = materialise(slim.select("digest").distinct())
+        past = reduce(DataFrame.unionByName, [x for x, _ in earlier]).join(asked, "digest", "left_semi")
+        hits = reduce(DataFrame.unionByName, [x for _, x in earlier], hits).join(asked, "digest", "left_semi")
     hits = hits.join(F.broadcast(twice) if few else twice, "digest")
     stays = hits.filter((F.col("points") == F.col("best_points")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
     stays = stays.groupBy("digest").agg(F.min("body").alias("kept_body"))
@@ -177,5 +189,10 @@ def dedup_exact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", diges
     best = (F.col("points") == F.col("best_points")) & F.col("doc_id").eqNullSafe(F.col("best_id"))
     # Several rows may have the id and length of the row that stays; the first of them is kept.
     firsts = found.filter(best).groupBy("digest", "text_sha256").agg(F.min("row").alias("first_row"))
-    out = found.join(firsts, ["digest", "text_sha256"])
-    return out.select(F.col("doc_id").alias(doc_id), F.col("best_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first_row")).alias("kept"), "text_sha256")
+    if earlier:
+        # Where an earlier batch has the row that stays, none of this batch is kept.
+        held = past.join(groups, "digest").filter((F.col("of_text").isNull() | (F.col("of_text") == F.col("text_sha256"))) & best)
+        firsts = firsts.join(held.select("digest", "text_sha256"), ["digest", "text_sha256"], "left_anti")
+    out = found.join(firsts, ["digest", "text_sha256"], "left")
+    kept = F.coalesce(F.col("row") == F.col("first_row"), F.lit(False))
+    return out.select(F.col("doc_id").alias(doc_id), F.col("best_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")

@@ -76,3 +76,25 @@ def test_repeats_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, " a", "y")], "doc_id long, text string, kept string")
     assert result(lsm.dedup_exact(df)) == brute_force([(1, "a"), (1, "a"), (2, " a")])
     assert lsm.dedup_exact(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_batches_equal_brute_force(spark, rows, weak):
+    digest = (lambda text: F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 2))) if weak else lsm.sha256
+    batches = [rows[::3], rows[1::3] + rows[:1], rows[2::3] + [(10_000, "a  b  \n "), *rows[:2]]]
+    index, so_far = lsm.DigestIndex(memtable_rows=10), []
+    for batch in batches:
+        got = result(lsm.dedup_exact(spark.createDataFrame(batch, "doc_id long, text string").repartition(2), digest=digest, index=index))
+        groups = {r[4]: (r[1], r[2]) for r in brute_force(so_far + batch)}
+        # The row that stays is kept in the first batch that has it.
+        want, done = [], set()
+        for i, t in sorted(batch, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)):
+            sha = hashlib.sha256(norm(t).encode()).hexdigest()
+            most = max(len(x or "") for _, x in so_far + batch if norm(x) == norm(t))
+            is_best = i == groups[sha][0] and len(t or "") == most
+            seen = any(j == i and len(x or "") == most and norm(x) == norm(t) for j, x in so_far)
+            want.append((i, *groups[sha], is_best and not seen and sha not in done, sha))
+            if is_best:
+                done.add(sha)
+        assert got == sorted(want, key=repr)
+        so_far += batch
