@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words (A-Z lower-cased, split at ASCII white space); lines of fewer than MIN_WORDS words are
-always kept. A line goes if an earlier line of any document, by (id, row, line number), has Jaccard similarity of at least
+A line is the set of its words (A-Z lower-cased, split at ASCII white space); lines of fewer than min_words words
+are always kept; the query and the pipeline join all lines that have a word. A line goes if an earlier line of any document, by (id, row, line number), has Jaccard similarity of at least
 4/5 with it.
 
 Lines with equal sets are merged first. The words of each distinct line are ordered by rarity over all lines. Two similar
@@ -53,7 +53,7 @@ def _ceil(a: np.ndarray, b: int) -> np.ndarray:
     return -(-a // b)
 
 
-def build_blocks(df: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def build_blocks(df: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows to blocks: the rows themselves, and the distinct lines as sets of local word numbers."""
     id_at, text_at = df.columns.index(doc_id), df.columns.index(text)
 
@@ -73,7 +73,7 @@ def build_blocks(df: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK
                 key = (1 << 64) - 1 if i is None else int(i) + (1 << 63)
                 for n, line in enumerate(t.encode("utf-8", "replace").lower().split(b"\n")):
                     found = line.split()
-                    if len(found) >= MIN_WORDS:
+                    if len(found) >= min_words:
                         flat.extend(map(words.__getitem__, found))
                         lengths.append(len(found))
                         keys.append(key)
@@ -384,11 +384,11 @@ def _verify(ready: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(ready.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(check, "block long, line long").distinct())
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
     """`df` with `text` without the removed lines, and removed_lines (long); a column of that name is replaced."""
     df = df.drop("removed_lines").withColumn(text, F.col(f"`{text}`").cast("string"))
     parts = parallelism(df.sparkSession)
-    blocks = build_blocks(df, doc_id, text, block_bytes)
+    blocks = build_blocks(df, doc_id, text, block_bytes, min_words)
     asked = blocks.select("block", "hashes", "tokens", "set_a", "set_b", "set_key", "set_at").mapInPandas(_ask(parts), MESSAGE)
     ready = prepare(blocks, asked.groupBy("kind", "part").applyInPandas(_merge(parts), MESSAGE), parts)
     pairs = _find(ready, parts)

@@ -130,7 +130,7 @@ FROM orphans
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

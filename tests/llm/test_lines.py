@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from shelfspark.llm import lines
+from shelfspark.llm import lines, queries
 
 
 def brute_force(rows):
@@ -70,3 +70,10 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
     assert got.columns == ["doc_id", "text", "block", "removed_lines"]
     assert sorted(((r.doc_id, r.text, r.block, r.removed_lines) for r in got.collect()), key=repr) == sorted([(None, "", "p", 1), (1, None, "q", 0), (2, "", "r", 0), (3, "a b c d e", "s", 0), (3, "", "s", 1), (4, long, "t", 1)], key=repr)
     assert lines.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_short_lines_of_the_query(spark, tmp_path):
+    made = [(1, "All rights reserved.\na b c d"), (2, "all  RIGHTS reserved.\n\nShare"), (3, "Share\n\na b c d e"), (4, "d c b\nb c d")]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(1, made[0][1], 0), (2, "\nShare", 1), (3, "", 2), (4, "d c b", 1)]
+    assert result(queries.op9_lines(spark, str(tmp_path))) == want
