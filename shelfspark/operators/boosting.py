@@ -1,8 +1,8 @@
 """Gradient boosting for quantiles, and scoring with the trees as a broadcast table.
 
 Each tree of depth 3 is fitted to the gradient of the quantile loss on binned features; its leaves are the quantiles of
-the residuals (Friedman 2001). Fitting uses at most MAX_ROWS rows, those that hash lowest, in one task for each quantile;
-scoring is a vectorised map over all rows.
+the residuals (Friedman 2001). Fitting uses all rows, in one task for each quantile, so it takes as long and as much
+memory as the table has rows; scoring is a vectorised map over all rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS, BINS, DEPTH, RATE = 20_000, 64, 3, 0.05
+BINS, DEPTH, RATE = 64, 3, 0.05
 ALPHAS = (0.1, 0.5, 0.9)
 DEMAND_TREES, PRICE_TREES = 300, 400
 NODES = 2**DEPTH - 1
@@ -63,11 +63,10 @@ def fit_trees(x: np.ndarray, y: np.ndarray, alpha: float, trees: int, rate: floa
     return start, found
 
 
-def fit(rows: DataFrame, features: list[str], target: str, trees: int, key: tuple[str, ...] = ("product_id", "week"), alphas: tuple[float, ...] = ALPHAS, max_rows: int = MAX_ROWS) -> DataFrame:
+def fit(rows: DataFrame, features: list[str], target: str, trees: int, key: tuple[str, ...] = ("product_id", "week"), alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """Training rows to a table of trees (alpha, tree, feature, threshold, value); tree -1 holds the first guess."""
     wanted = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("y"), F.xxhash64(*key).alias("h")).na.drop()
-    sample = wanted.orderBy("h", "y").limit(max_rows)
-    per_alpha = sample.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
+    per_alpha = wanted.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
 
     def train(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "y"])

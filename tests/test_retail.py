@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.operators import anomaly, boosting, features, isolation, optimize, rules
@@ -209,3 +210,12 @@ def test_explained_scores(spark):
     assert "Variation du prix" in got[1][0].detail
     assert "statut non OK" in got[1][1].detail
     assert got[2] == []
+
+
+def test_boosting_fits_all_rows(spark):
+    rows = spark.range(30_000).selectExpr("id AS product_id", "0 AS week", "id % 10 AS f")
+    order = Window.orderBy(F.xxhash64("product_id", "week"))
+    # Only rows beyond the first 20,000 by hash have a quantity: a fit to part of them starts at 0.
+    rows = rows.withColumn("qty", (F.row_number().over(order) > 20_000).cast("double"))
+    model = boosting.fit(rows, ["f"], "qty", 1, alphas=(0.9,))
+    assert boosting.ensembles(model)[0.9].start == 1.0
