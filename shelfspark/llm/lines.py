@@ -1,38 +1,41 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its words (A-Z lower-cased, split at ASCII white space); lines of fewer than min_words words
-are always kept; the query and the pipeline join all lines that have a word. A line goes if an earlier line of any document, by (id, row, line number), has Jaccard similarity of at least
-4/5 with it.
-
-Lines with equal sets are merged first. The words of each distinct line are ordered by rarity over all lines. Two similar
-lines share a word among the first |x| - ceil(4/5 |x|) + 1 of either; each line is posted under these, and within a
-word's postings pairs are tested by length, by position (the words that can still be shared) and by the parity of their
-hashed words (each differing word flips one bit). For each line the first few candidates that pass are verified exactly;
-lines that match none of them though there were more are then verified against all of theirs. Words are identified by
-64-bit hashes.
-
-Documents are held as blocks in buckets, so only postings, candidates and answers are shuffled. A line's candidates end
-with its first match, so a large group of similar lines gives a few pairs for each of them rather than all pairs.
-
-Edge cases: null texts stay null, texts may become empty; null ids come last; repeated rows come in the order of their
-blocks; an empty table gives an empty table; other columns pass through unchanged.
+are always kept; the query and the pipeline join all lines that have a word. A line goes if an earlier line of any
+document, by (id, row, line number), has Jaccard similarity of at least 4/5 with it.
+
+Lines with equal sets are merged first. The words of each distinct line are ordered by rarity over all lines: by the
+counts of SPREAD hash values, whose table has a fixed size, then by hash. Two similar lines share a word among the first
+|x| - ceil(4/5 |x|) + 1 of either; each line is posted under these. A word's postings are sorted by (size, position), so
+that only classes of postings meet whose sizes are close enough and behind whose positions enough words are left to be
+shared; pairs within them are tested by the parity of their hashed words (each differing word flips one bit). For each
+line the first few candidates that pass are verified exactly; lines that match none of them though there were more are
+then verified against all of theirs. Words are identified by 64-bit hashes. The postings of a word in more than HEAVY
+lines are cut into slices, and each pair of slices is a task's work of its own.
+
+Documents are ordinary rows of a table in buckets, next to a row of arrays for each block of them, so only postings,
+candidates and answers are shuffled. A line's candidates end with its first match, so a large group of similar lines gives
+a few pairs for each of them rather than all pairs.
+
+Edge cases: null texts stay null, texts may become empty; ids are integers (others count as null), null ids come last;
+repeated rows come in the order of their blocks; an empty table gives an empty table; other columns pass through
+unchanged, and a column named removed_lines is replaced.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import bucketed, materialise, parallelism
+from shelfspark.llm.common import bucketed, materialise
 from shelfspark.llm.packed import distinct, pack, ranked, split_by, spread, unpack
 
 MIN_WORDS = 5
@@ -40,231 +43,319 @@ MIN_WORDS = 5
 NUM, DEN = 4, 5
 #: Candidates of a line within a word's postings in the first round.
 FIRST_FEW = 2
-BLOCK_BYTES = 20_000_000
+BLOCK_BYTES = 12_000_000
+#: Hash values whose counts give the order by rarity, and the pieces in which they are added up.
+SPREAD_BITS, PIECES = 24, 64
+#: Messages that are added up in one group.
+ADDED = 2000
+#: Postings of words in more lines than these are cut into slices of about so many.
+HEAVY = 500_000
+#: Pairs that are tested at once.
+CHUNK = 1 << 20
 #: Hash values of the filter for the second round.
 SPOTS = 1 << 21
 OTHER = np.uint64(0x5851F42D4C957F2D)
 
-BLOCK = "block long, rows binary, hashes binary, tokens binary, sizes binary, set_a binary, set_b binary, set_key binary, set_at binary, line_set binary, line_at binary"
-MESSAGE = "block long, kind int, part int, first binary, second binary"
+BLOCK = "block long, doc_row long, hashes binary, counts binary, tokens binary, sizes binary, set_a binary, set_b binary, set_key binary, set_at binary, parity binary, high binary, line_set binary, line_at binary"
+ARRAYS = [c.split()[0] for c in BLOCK.split(", ")][2:]
+MESSAGE = "block long, part int, first binary, second binary"
+LONG = 96  # words from which on a line has 128 parity bits rather than 64
 
 
 def _ceil(a: np.ndarray, b: int) -> np.ndarray:
     return -(-a // b)
 
 
-def build_blocks(df: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows to blocks: the rows themselves, and the distinct lines as sets of local word numbers."""
-    id_at, text_at = df.columns.index(doc_id), df.columns.index(text)
+def _tokenise(texts: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line with enough words its text and its number within it, and how many words it has; of each word its local
+    number; hashes of the distinct words."""
+    lines = pc.split_pattern(pc.ascii_lower(texts), "\n")
+    row = pc.list_parent_indices(lines).to_numpy().astype(np.int64)
+    number = np.arange(len(row)) - np.searchsorted(row, row)
+    flat = pc.ascii_trim_whitespace(lines.flatten())
+    full = pc.greater(pc.binary_length(flat), 0)
+    words = pc.ascii_split_whitespace(flat.filter(full))
+    at = np.flatnonzero(full.to_numpy(zero_copy_only=False))
+    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    if min_words > 1:
+        enough = lengths >= min_words
+        words, at, lengths = words.filter(pa.array(enough)), at[enough], lengths[enough]
+    coded = words.flatten().dictionary_encode()
+    names = coded.dictionary
+    cuts = np.frombuffer(names.buffers()[1], dtype=np.int32)[names.offset : names.offset + len(names) + 1].tolist() if len(names) else [0]
+    data = names.buffers()[2].to_pybytes() if len(names) else b""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:]))), dtype=np.uint64, count=len(names))
+    return row[at], number[at], lengths, coded.indices.to_numpy(zero_copy_only=False).astype(np.uint64), hashes
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], text_at: int, block_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """Consecutive rows with about so many bytes of text; a longer text is a block by itself."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        begin = 0
+        for i, w in enumerate(pc.binary_length(whole.column(text_at)).fill_null(0).to_pylist()):
+            size += w
+            if size >= block_bytes:
+                yield [*held, whole.slice(begin, i + 1 - begin)]
+                begin, held, size = i + 1, [], 0
+        if begin < whole.num_rows:
+            held.append(whole.slice(begin))
+    if held:
+        yield held
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts in 256 levels, eight for each doubling; 0 stands for one at most."""
+    return np.minimum(255, np.rint(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
+def word_levels(blocks: DataFrame) -> Broadcast:
+    """The level of each hash value's count in all lines."""
+    bits = SPREAD_BITS - PIECES.bit_length() + 1
+
+    def messages(spot: np.ndarray, count: np.ndarray, batch: int) -> pd.DataFrame:
+        out = [(p, batch, pack(spot[at] & ((1 << bits) - 1)), pack(count[at])) for p, at in split_by(spot >> bits)]
+        return pd.DataFrame(out, columns=["piece", "batch", "spots", "counts"])
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                spots = (_u64(row.hashes) >> np.uint64(64 - SPREAD_BITS)).astype(np.int64)
+                yield messages(spots, unpack(row.counts).astype(np.int64), row.block % 1_000_003)
+
+    def summed(frame: pd.DataFrame) -> np.ndarray:
+        held = np.zeros(1 << bits, dtype=np.int64)
+        for s, c in zip(frame["spots"], frame["counts"], strict=True):
+            np.add.at(held, unpack(s).astype(np.int64), unpack(c).astype(np.int64))
+        return held
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        held = summed(frame)
+        spot = np.flatnonzero(held)
+        return messages(key[0] << bits | spot, held[spot], key[1])
+
+    def close(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": [key[0]], "levels": [pack(_levels(summed(frame)))]})
+
+    sent = blocks.select("block", "hashes", "counts").mapInPandas(count, SENT)
+    groups = blocks.count()
+    while groups > ADDED:
+        groups = -(-groups // ADDED)
+        sent = sent.withColumn("batch", F.col("batch") % groups).groupBy("piece", "batch").applyInPandas(add, SENT)
+    rows = {r["piece"]: unpack(r["levels"]).astype(np.uint8) for r in sent.groupBy("piece").applyInPandas(close, "piece int, levels binary").collect()}
+    none = np.zeros(1 << bits, dtype=np.uint8)
+    return blocks.sparkSession.sparkContext.broadcast(np.concatenate([rows.get(p, none) for p in range(PIECES)]))
+
+
+SENT = "piece int, batch long, spots binary, counts binary"
+
+
+def build_blocks(docs: DataFrame, id_at: int, text_at: int, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Documents with their block and row in it, and for each block a row of arrays: the distinct lines as sets of local
+    word numbers, and where each line is. The words of a line are hashed to parity bits: `parity` has 64 of them, and
+    `high`, of long lines alone, the upper half if they were 128."""
+
+    def arrays(ids: pa.Array, texts: pa.Array) -> list[bytes]:
+        doc_keys = ids.fill_null((1 << 63) - 1).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)
+        row, n, lengths, flat, hashes = _tokenise(texts, min_words)
+        counts = np.bincount(flat.astype(np.int64), minlength=len(hashes))
+        key, at = doc_keys[row], row.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)
+        pairs = distinct(np.repeat(np.arange(len(lengths), dtype=np.uint64) << np.uint64(32), lengths) | flat)
+        line, token = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        start = np.flatnonzero(np.diff(line, prepend=-1))
+        sizes = np.diff(np.append(start, len(line)))
+        fold = lambda how, x: how.reduceat(x[token], start) if len(start) else np.zeros(0, dtype=np.uint64)
+        mixed = spread(hashes)
+        set_a, set_b = fold(np.add, mixed), fold(np.add, spread(hashes ^ OTHER))
+        bits = np.uint64(1) << (mixed & np.uint64(63))
+        parity, high = fold(np.bitwise_xor, bits), fold(np.bitwise_xor, np.where(mixed & np.uint64(64), bits, np.uint64(0)))
+        # Equal sets become one; the first line stands for them.
+        order = np.lexsort((at, key, set_b, set_a))
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (np.diff(set_a[order]) != 0) | (np.diff(set_b[order]) != 0)
+        line_set = np.empty(len(order), dtype=np.int64)
+        line_set[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        tokens = token[_ranges(start[first], sizes[first])]
+        return [hashes.tobytes(), pack(counts), pack(tokens), pack(sizes[first]), *[x[first].tobytes() for x in (set_a, set_b, key, at, parity)], pack(np.where(sizes >= LONG, high, np.uint64(0))[first]), pack(line_set), at.tobytes()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
+        task = TaskContext.get().partitionId()
+        for number, held in enumerate(_in_blocks(batches, text_at, block_bytes)):
+            begin, block = 0, task << 32 | number
+            for x in held:
+                none = [pa.nulls(x.num_rows, pa.binary())] * len(ARRAYS)
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.full(x.num_rows, block)), pa.array(np.arange(begin, begin + x.num_rows)), *none], names=names)
+                begin += x.num_rows
             table = pa.Table.from_batches(held)
-            words: dict[bytes, int] = defaultdict()
-            words.default_factory = words.__len__
-            flat, lengths, keys, at = array("I"), [], [], []
-            for row, (i, t) in enumerate(zip(table.column(id_at).to_pylist(), table.column(text_at).to_pylist(), strict=True)):
-                if t is None:
-                    continue
-                key = (1 << 64) - 1 if i is None else int(i) + (1 << 63)
-                for n, line in enumerate(t.encode("utf-8", "replace").lower().split(b"\n")):
-                    found = line.split()
-                    if len(found) >= min_words:
-                        flat.extend(map(words.__getitem__, found))
-                        lengths.append(len(found))
-                        keys.append(key)
-                        at.append(row << 32 | n)
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-            key, at = np.array(keys, dtype=np.uint64), np.array(at, dtype=np.uint64)
-            line = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
-            pairs = distinct(line << np.uint64(32) | np.frombuffer(flat, dtype=np.uint32).astype(np.uint64)) if len(flat) else np.zeros(0, dtype=np.uint64)
-            line, token = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            start = np.flatnonzero(np.diff(line, prepend=-1))
-            sizes = np.diff(np.append(start, len(line)))
-            if len(start):
-                set_a, set_b = np.add.reduceat(spread(hashes[token]), start), np.add.reduceat(spread(hashes[token] ^ OTHER), start)
-            else:
-                set_a = set_b = np.zeros(0, dtype=np.uint64)
-            # Equal sets become one; the first line stands for them.
-            order = np.lexsort((at, key, set_b, set_a))
-            fresh = np.ones(len(order), dtype=bool)
-            fresh[1:] = (np.diff(set_a[order]) != 0) | (np.diff(set_b[order]) != 0)
-            line_set = np.empty(len(order), dtype=np.int64)
-            line_set[order] = np.cumsum(fresh) - 1
-            first = order[fresh]
-            number_of = np.full(len(order), -1)
-            number_of[first] = np.arange(len(first))
-            kept = number_of[line] >= 0
-            by_set = np.argsort(number_of[line[kept]], kind="stable")
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table)
-            values = [task << 32 | number, sink.getvalue().to_pybytes(), hashes.tobytes(), pack(token[kept][by_set]), pack(sizes[first]), set_a[first].tobytes(), set_b[first].tobytes(), key[first].tobytes(), at[first].tobytes(), pack(line_set), at.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), *[pa.array([v], pa.binary()) for v in values[1:]]], names=[c.split()[0] for c in BLOCK.split(", ")])
-
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                held.append(batch)
-                size += batch.get_total_buffer_size() if batch.num_rows == whole.num_rows else batch.nbytes
-                if size >= block_bytes:
-                    yield flush()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield flush()
-
-    return bucketed(df.mapInArrow(run, BLOCK), "block")
+            made = arrays(table.column(id_at).combine_chunks(), table.column(text_at).combine_chunks())
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in held[0].schema], pa.array([block]), pa.nulls(1, pa.int64()), *[pa.array([v], pa.binary()) for v in made]], names=names)
+
+    names = [*docs.columns, "block", "doc_row", *ARRAYS]
+    shape = docs.limit(0).join(docs.sparkSession.createDataFrame([], BLOCK)).schema
+    return bucketed(docs.mapInArrow(run, shape), "block")
 
 
 def _u64(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint64)
 
 
-READY = "block long, words binary, counts binary, is_first binary"
-LONG = 96  # words from which on a line has 128 parity bits rather than 64
+READY = "block long, is_first binary, line binary, position binary, word binary, level binary"
+
 
+def prepare(blocks: DataFrame, parts: int, levels: Broadcast) -> DataFrame:
+    """Of each block, which of its lines are the first of all with their sets, and these lines' postings: the words of each
+    line come in the order of their levels, then hashes, which is the same in all blocks, and its prefix is posted, without
+    words that one line alone has."""
 
-def prepare(blocks: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
-    """Blocks with the answers in the order of the block: global numbers of its words, in how many lines they are, and
-    whether the block's lines are the first with their sets."""
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                a, b, key, at_ = map(_u64, (row.set_a, row.set_b, row.set_key, row.set_at))
+                out = [(row.block, p, np.concatenate((a[at], b[at])).tobytes(), pack(np.concatenate((key[at], at_[at])))) for p, at in split_by((a % np.uint64(parts)).astype(np.int64))]
+                yield pd.DataFrame(out, columns=["block", "part", "first", "second"])
+
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        halves = [_u64(x).reshape(2, -1) for x in frame["first"]]
+        lengths = [h.shape[1] for h in halves]
+        (a, b), (key_, at) = np.concatenate(halves, axis=1), np.concatenate([unpack(x).reshape(2, -1) for x in frame["second"]], axis=1)
+        order = np.lexsort((at, np.repeat(frame["block"].to_numpy(), lengths), key_, b, a))
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        first = np.zeros(len(order), dtype=bool)
+        first[order[fresh]] = True
+        out = [(bl, key[0], pack(f), None) for bl, f in zip(frame["block"], np.split(first, np.cumsum(lengths)[:-1]), strict=True)]
+        return pd.DataFrame(out, columns=["block", "part", "first", "second"])
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        by_part = dict(zip(right["part"], right["first"], strict=True))
         row = left.iloc[0]
-        hashes = _u64(row["hashes"])
-        numbers, counts = np.zeros(len(hashes), dtype=np.uint64), np.zeros(len(hashes), dtype=np.int64)
-        by_part = {(k, p): (x, y) for k, p, x, y in zip(right["kind"], right["part"], right["first"], right["second"], strict=True)}
-        for p, at in split_by((spread(hashes) % np.uint64(parts)).astype(np.int64)):
-            numbers[at], counts[at] = unpack(by_part[0, p][0]), unpack(by_part[0, p][1])
-        sizes = unpack(row["sizes"]).astype(np.int64)
-        first = np.zeros(len(sizes), dtype=bool)
-        for p, at in split_by((spread(_u64(row["set_a"])) % np.uint64(parts)).astype(np.int64)):
-            first[at] = unpack(by_part[1, p][0]).astype(bool)
-        return pd.DataFrame([[int(row["block"]), pack(numbers), pack(counts), pack(first)]], columns=[c.split()[0] for c in READY.split(", ")])
+        a, hashes, sizes = _u64(row["set_a"]), _u64(row["hashes"]), unpack(row["sizes"]).astype(np.int64)
+        first = np.zeros(len(a), dtype=bool)
+        for p, at in split_by((a % np.uint64(parts)).astype(np.int64)):
+            first[at] = unpack(by_part[p]).astype(bool)
+        own, start = np.flatnonzero(first), np.cumsum(sizes) - sizes
+        tokens = unpack(row["tokens"]).astype(np.int64)[_ranges(start[own], sizes[own])]
+        level = levels.value[(hashes >> np.uint64(64 - SPREAD_BITS)).astype(np.int64)]
+        order = np.lexsort((hashes, level))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        line = np.repeat(own, sizes[own])
+        tokens = order[np.sort(line << 32 | rank[tokens]) & 0xFFFFFFFF]
+        position = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        at = np.flatnonzero((position < (sizes - _ceil(sizes * NUM, DEN) + 1)[line]) & (level[tokens] > 0))
+        return pd.DataFrame([[int(row["block"]), pack(first), pack(line[at]), pack(position[at]), pack(tokens[at]), pack(level[tokens[at]])]], columns=[c.split()[0] for c in READY.split(", ")])
 
-    needed = blocks.select("block", "hashes", "sizes", "set_a")
-    ready = bucketed(needed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join, READY), "block")
-    return blocks.select("block", "tokens", "sizes", "set_key", "set_at").join(ready, "block")
+    answers = blocks.select("block", "set_a", "set_b", "set_key", "set_at").mapInPandas(ask, MESSAGE).groupBy("part").applyInPandas(merge, MESSAGE)
+    return bucketed(blocks.select("block", "hashes", "tokens", "sizes", "set_a").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(join, READY), "block")
 
 
-class Lines:
-    """The distinct lines of a prepared block."""
+class Postings:
+    """The postings of a block's lines."""
 
     def __init__(self, row):
-        self.block, self.numbers, self.counts = int(row.block), unpack(row.words), unpack(row.counts)
-        self.tokens, self.sizes, self.first = unpack(row.tokens).astype(np.int64), unpack(row.sizes).astype(np.int64), unpack(row.is_first).astype(bool)
-        self.key, self.at = _u64(row.set_key), _u64(row.set_at)
-        self.line, self.start = np.repeat(np.arange(len(self.sizes)), self.sizes), np.cumsum(self.sizes) - self.sizes
-
-    def by_rarity(self) -> Lines:
-        """Order the words of each line by count, then number, which is the same order in all blocks; and hash them to
-        parity bits: `parity` has 64 of them, and `high`, of long lines alone, the upper half if they were 128."""
-        order = np.lexsort((self.numbers, self.counts))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        self.tokens = order[np.sort(self.line << 32 | rank[self.tokens]) & 0xFFFFFFFF]
-        mixed = spread(self.numbers)
-        bits = np.uint64(1) << (mixed & np.uint64(63))
-        upper = np.where(mixed & np.uint64(64), bits, np.uint64(0))
-        fold = lambda x: np.bitwise_xor.reduceat(x[self.tokens], self.start) if len(self.start) else np.zeros(0, dtype=np.uint64)
-        self.parity, self.high = fold(bits), np.where(self.sizes >= LONG, fold(upper), np.uint64(0))
-        return self
-
-    def postings(self) -> np.ndarray:
-        """Positions of the words under which lines are posted: the prefix, without words that one line alone has."""
-        position = np.arange(len(self.tokens)) - self.start[self.line]
-        prefix = self.sizes - _ceil(self.sizes * NUM, DEN) + 1
-        return np.flatnonzero((position < prefix[self.line]) & self.first[self.line] & (self.counts[self.tokens] > 1))
+        self.block, self.numbers, self.sizes = int(row.block), _u64(row.hashes), unpack(row.sizes).astype(np.int64)
+        self.line, self.position, self.word = (unpack(x).astype(np.int64) for x in (row.line, row.position, row.word))
+        self.count = np.exp2(unpack(row.level) / 8).astype(np.int64)
+        self.row = row
 
     def spots(self, at: np.ndarray) -> np.ndarray:
-        """Hash values of the words at these positions, for the filter of the second round."""
-        return (spread(self.numbers[self.tokens[at]] ^ OTHER) % np.uint64(SPOTS)).astype(np.int64)
-
-    def packed(self, at: np.ndarray, active: np.ndarray, parts: int) -> pd.DataFrame:
-        number, line = self.numbers[self.tokens[at]], self.line[at]
+        """Hash values of the words of these postings, for the filter of the second round."""
+        return (spread(self.numbers[self.word[at]] ^ OTHER) % np.uint64(SPOTS)).astype(np.int64)
+
+    def packed(self, at: np.ndarray, active: np.ndarray, parts: int, heavy: int) -> pd.DataFrame:
+        """These postings by part. Those of a heavy word go to the cells of their slice: the pairs that it makes with each
+        slice, itself included. In a cell of two slices only pairs across them count (`side`)."""
+        key, place, parity, high = _u64(self.row.set_key), _u64(self.row.set_at), _u64(self.row.parity), unpack(self.row.high)
+        number, line, position, count = self.numbers[self.word[at]], self.line[at], self.position[at], self.count[at]
+        side = np.zeros(len(at), dtype=np.int64)
+        if (count > heavy).any():
+            slices = np.where(count > heavy, _ceil(count, heavy), 1)
+            again = np.repeat(np.arange(len(at)), slices)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(slices) - slices, slices)
+            own = (spread(key[line] ^ spread(place[line])) % slices.astype(np.uint64)).astype(np.int64)[again]
+            number, line, position = number[again], line[again], position[again]
+            cell = np.minimum(own, other) * slices[again] + np.maximum(own, other)
+            number = np.where(slices[again] > 1, spread(number ^ spread(cell.astype(np.uint64))), number)
+            side = np.where(own == other, 0, np.where(own < other, 1, 2))
         out = []
         for p, own in split_by((spread(number) % np.uint64(parts)).astype(np.int64)):
             n = line[own]
-            held = [number[own], n, at[own] - self.start[n], self.sizes[n], self.key[n], self.at[n], active[n]]
-            out.append((p, self.block, *map(pack, held), self.parity[n].tobytes(), pack(self.high[n])))
+            # Words of a part are told apart by 32 bits: others that agree give more candidates, not other results.
+            held = [spread(number[own]) >> np.uint64(32), n, position[own], self.sizes[n], key[n], place[n], active[n], side[own]]
+            out.append((p, self.block, *map(pack, held), parity[n].tobytes(), pack(high[n])))
         return pd.DataFrame(out, columns=[c.split()[0] for c in POSTED.split(", ")])
 
 
-POSTED = "part int, block long, token binary, line binary, position binary, size binary, key binary, at binary, active binary, parity binary, high binary"
-
-
-def _ask(parts: int):
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """To the word table: in how many lines of the block each word is. To the set table: the block's distinct lines."""
-        for frame in frames:
-            for row in frame.itertuples():
-                hashes, a, b, key, at_ = map(_u64, (row.hashes, row.set_a, row.set_b, row.set_key, row.set_at))
-                counts = np.bincount(unpack(row.tokens).astype(np.int64), minlength=len(hashes))
-                out = [(row.block, 0, p, hashes[at].tobytes(), pack(counts[at])) for p, at in split_by((spread(hashes) % np.uint64(parts)).astype(np.int64))]
-                for p, at in split_by((spread(a) % np.uint64(parts)).astype(np.int64)):
-                    out.append((row.block, 1, p, np.concatenate((a[at], b[at])).tobytes(), pack(np.concatenate((key[at], at_[at])))))
-                yield pd.DataFrame(out, columns=["block", "kind", "part", "first", "second"])
-
-    return ask
-
-
-def _merge(parts: int):
-    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        kind, part = key
-        if kind == 0:
-            hashes = [_u64(x) for x in frame["first"]]
-            names, place = ranked(np.concatenate(hashes))
-            counts = np.bincount(place, weights=np.concatenate([unpack(x) for x in frame["second"]]).astype(np.float64), minlength=len(names)).astype(np.int64)
-            rank = np.empty(len(names), dtype=np.int64)
-            rank[np.lexsort((names, -counts))] = np.arange(len(names))
-            cuts = np.cumsum([len(h) for h in hashes])[:-1]
-            out = [(b, 0, part, pack(rank[at] * parts + part), pack(counts[at])) for b, at in zip(frame["block"], np.split(place, cuts), strict=True)]
-        else:
-            halves = [_u64(x).reshape(2, -1) for x in frame["first"]]
-            places = [unpack(x).reshape(2, -1) for x in frame["second"]]
-            lengths = [h.shape[1] for h in halves]
-            (a, b), (key_, at) = np.concatenate(halves, axis=1), np.concatenate(places, axis=1)
-            order = np.lexsort((at, np.repeat(frame["block"].to_numpy(), lengths), key_, b, a))
-            fresh = np.ones(len(order), dtype=bool)
-            fresh[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
-            first = np.zeros(len(order), dtype=bool)
-            first[order[fresh]] = True
-            out = [(bl, 1, part, pack(f), None) for bl, f in zip(frame["block"], np.split(first, np.cumsum(lengths)[:-1]), strict=True)]
-        return pd.DataFrame(out, columns=["block", "kind", "part", "first", "second"])
-
-    return merge
-
-
-def candidates(token: np.ndarray, size: np.ndarray, position: np.ndarray, parity: np.ndarray, high: np.ndarray, active: np.ndarray, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings in the order of (token, line order) to pairs (later, earlier) that pass the filters, and which of the
-    later ones have got `few` pairs before all earlier postings were seen."""
-    start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, dtype=np.int64)
-    begin = np.repeat(start, np.diff(np.append(start, len(token))))
-    late = np.flatnonzero((np.arange(len(token)) > begin) & active)
-    got = np.zeros(len(token), dtype=np.int64)
-    more = np.zeros(len(token), dtype=bool)
-    found_y, found_x, step = [], [], 0
-    while len(late):
-        early = begin[late] + step
-        both = size[late] + size[early]
-        need = _ceil(NUM * both, NUM + DEN)
-        fits = (np.minimum(size[late] - position[late], size[early] - position[early]) >= need) & (DEN * size[late] >= NUM * size[early]) & (DEN * size[early] >= NUM * size[late])
-        low, up = parity[late] ^ parity[early], np.where(np.minimum(size[late], size[early]) >= LONG, high[late] ^ high[early], np.uint64(0))
-        fits &= np.bitwise_count(low ^ up).astype(np.int64) + np.bitwise_count(up) <= both - 2 * need
-        found_y.append(late[fits])
-        found_x.append(early[fits])
-        got[late[fits]] += 1
-        step += 1
-        late = late[late > begin[late] + step]
-        if few is not None:
-            full = got[late] >= few
-            more[late[full]] = True
-            late = late[~full]
-    if not found_y:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), more
+POSTED = "part int, block long, token binary, line binary, position binary, size binary, key binary, at binary, active binary, side binary, parity binary, high binary"
+
+
+def _chunks(weights: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices whose weights add up to about `most`."""
+    ends, begin = np.cumsum(weights), 0
+    while begin < len(weights):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def candidates(token: np.ndarray, side: np.ndarray, size: np.ndarray, position: np.ndarray, parity: np.ndarray, high: np.ndarray, active: np.ndarray, few: int | None, tested: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings in the order of their lines to pairs (later, earlier) that pass the filters, and which of the later ones
+    have got `few` pairs before all that fit were seen. The number of pairs tested is added to `tested`."""
+    n = len(token)
+    got, more = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    found_y, found_x = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    if not n:
+        return found_y[0], found_x[0], more
+    kind = size << 32 | side << 30 | position
+    order = np.lexsort((kind, token))  # stable: within a class in the order of the lines
+    word, kind = token[order], kind[order]
+    new_word = np.concatenate(([True], word[1:] != word[:-1]))
+    fresh = new_word | np.concatenate(([True], kind[1:] != kind[:-1]))
+    start = np.flatnonzero(fresh)
+    length = np.diff(np.append(start, n))
+    place = (np.cumsum(fresh) - 1) << 32 | order
+    # Of each class: word, size, side, words from the position on; the greatest size that these words allow a partner.
+    of_word, c_size, c_side = np.cumsum(new_word)[start] << 32, kind[start] >> 32, kind[start] >> 30 & 3
+    rest = c_size - (kind[start] & (1 << 30) - 1)
+    most = np.minimum(DEN * c_size // NUM, (NUM + DEN) * rest // NUM - c_size)
+    begin, end = np.searchsorted(of_word | c_size, of_word | _ceil(NUM * c_size, DEN)), np.searchsorted(of_word | c_size, of_word | np.maximum(most, 0), side="right")
+    own = np.flatnonzero(end - begin > (length == 1) & (begin == np.arange(len(start))))
+    begin, width = begin[own], (end - begin)[own]
+    for some in _chunks(width, CHUNK):
+        a, b = np.repeat(own[some], width[some]), _ranges(begin[some], width[some])
+        met = (rest[b] >= _ceil(NUM * (c_size[a] + c_size[b]), NUM + DEN)) & ((c_side[a] == 0) | (c_side[a] != c_side[b])) & ((a != b) | (length[a] > 1))
+        a, b = a[met], b[met]
+        for part in _chunks(length[a], CHUNK):
+            y, of = order[_ranges(start[a[part]], length[a[part]])], np.repeat(b[part], length[a[part]])
+            of, y = of[active[y]], y[active[y]]
+            earlier = np.searchsorted(place, of << 32 | y) - start[of]
+            of, y, earlier = of[earlier > 0], y[earlier > 0], earlier[earlier > 0]
+            done, step = np.zeros(len(y), dtype=np.int64), 4
+            while len(y):
+                if few is not None:
+                    full = got[y] >= few
+                    more[y[full]] = True
+                    y, of, earlier, done = y[~full], of[~full], earlier[~full], done[~full]
+                for these in _chunks(np.minimum(earlier - done, step), 4 * CHUNK):
+                    take = np.minimum(earlier[these] - done[these], step)
+                    late, early = np.repeat(y[these], take), order[_ranges(start[of[these]] + done[these], take)]
+                    both = size[late] + size[early]
+                    low, up = parity[late] ^ parity[early], np.where(np.minimum(size[late], size[early]) >= LONG, high[late] ^ high[early], np.uint64(0))
+                    fits = np.bitwise_count(low ^ up).astype(np.int64) + np.bitwise_count(up) <= both - 2 * _ceil(NUM * both, NUM + DEN)
+                    found_y.append(late[fits])
+                    found_x.append(early[fits])
+                    np.add.at(got, late[fits], 1)
+                    if tested is not None:
+                        tested.append(len(late))
+                done += step
+                y, of, earlier, done = y[done < earlier], of[done < earlier], earlier[done < earlier], done[done < earlier]
+                step = min(2 * step, 1024)
     return np.concatenate(found_y), np.concatenate(found_x), more
 
 
@@ -276,10 +367,9 @@ def _met(ready: DataFrame, open_: DataFrame) -> Broadcast:
     def mark(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"slice": [], "bits": []})
-        lines = Lines(left.iloc[0]).by_rarity()
-        at = lines.postings()
+        lines = Postings(left.iloc[0])
         held = np.zeros(SPOTS, dtype=bool)
-        held[lines.spots(at[np.isin(lines.line[at], right["line"].to_numpy())])] = True
+        held[lines.spots(np.flatnonzero(np.isin(lines.line, right["line"].to_numpy())))] = True
         return pd.DataFrame({"slice": range(slices), "bits": [pack(x) for x in np.packbits(held).reshape(slices, -1)]})
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -292,7 +382,7 @@ def _met(ready: DataFrame, open_: DataFrame) -> Broadcast:
     return ready.sparkSession.sparkContext.broadcast(np.unpackbits(np.frombuffer(held, dtype=np.uint8)).astype(bool))
 
 
-def _find(ready: DataFrame, parts: int, open_: DataFrame | None = None) -> DataFrame:
+def _find(ready: DataFrame, parts: int, heavy: int, open_: DataFrame | None = None) -> DataFrame:
     """Candidate pairs: later line (y_block, y), earlier line (x_block, x), and whether y may have more. In the first round
     the earliest FIRST_FEW of each line; with open lines, all of theirs."""
     if open_ is None:
@@ -300,30 +390,33 @@ def _find(ready: DataFrame, parts: int, open_: DataFrame | None = None) -> DataF
         def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for row in frame.itertuples():
-                    lines = Lines(row).by_rarity()
-                    yield lines.packed(lines.postings(), np.ones(len(lines.sizes), dtype=np.int64), parts)
+                    lines = Postings(row)
+                    yield lines.packed(np.arange(len(lines.line)), np.ones(len(lines.sizes), dtype=np.int64), parts, heavy)
 
         posted = ready.mapInPandas(post, POSTED)
     else:
         met = _met(ready, open_)
 
         def post_open(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            lines = Lines(left.iloc[0]).by_rarity()
-            at = lines.postings()
+            lines = Postings(left.iloc[0])
             active = np.zeros(len(lines.sizes), dtype=np.int64)
             active[right["line"].to_numpy()] = 1
-            return lines.packed(at[met.value[lines.spots(at)]], active, parts)
+            return lines.packed(np.flatnonzero(met.value[lines.spots(np.arange(len(lines.line)))]), active, parts, heavy)
 
         posted = ready.groupBy("block").cogroup(open_.groupBy("block")).applyInPandas(post_open, POSTED)
     few = FIRST_FEW if open_ is None else None
 
     def pair(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        token, line, position, size, key_, at, active = (np.concatenate([unpack(x) for x in frame[c]]) for c in ("token", "line", "position", "size", "key", "at", "active"))
+        token, line, position, size, key_, at, active, side = (np.concatenate([unpack(x) for x in frame[c]]) for c in ("token", "line", "position", "size", "key", "at", "active", "side"))
         high = np.concatenate([unpack(x) for x in frame["high"]])
         parity = np.concatenate([_u64(x) for x in frame["parity"]])
         block = np.repeat(frame["block"].to_numpy(), [len(x) // 8 for x in frame["parity"]])
-        order = np.lexsort((at, block, key_, token))
-        y, x, more = candidates(token[order], size[order].astype(np.int64), position[order].astype(np.int64), parity[order], high[order], active[order].astype(bool), few)
+        by_token = np.argsort(token)
+        same = token[by_token][1:] == token[by_token][:-1]
+        shared = by_token[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        order = shared[np.lexsort((at[shared], block[shared], key_[shared]))]
+        ordered = lambda x: x[order].astype(np.int64)
+        y, x, more = candidates(token[order], ordered(side), ordered(size), ordered(position), parity[order], high[order], active[order].astype(bool), few)
         y_, x_ = order[y], order[x]
         x_key = (key_[x_] ^ np.uint64(1 << 63)).view(np.int64)
         return pd.DataFrame({"y_block": block[y_], "y": line[y_].astype(np.int64), "x_key": x_key, "x_block": block[x_], "x_at": at[x_].astype(np.int64), "x": line[x_].astype(np.int64), "more": more[y]})
@@ -336,88 +429,99 @@ def _find(ready: DataFrame, parts: int, open_: DataFrame | None = None) -> DataF
     return materialise(once.select("y_block", "y", "x_block", "x", "more"))
 
 
-def _verify(ready: DataFrame, pairs: DataFrame) -> DataFrame:
+def _words(row: pd.Series, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of these lines of a block: sizes, local word numbers; and the hashes of all words of the block."""
+    sizes = unpack(row["sizes"]).astype(np.int64)
+    start = np.cumsum(sizes) - sizes
+    return sizes[lines], unpack(row["tokens"])[_ranges(start[lines], sizes[lines])].astype(np.int64), _u64(row["hashes"])
+
+
+def _verify(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Lines (block, line) of which a candidate has the similarity. The later line's block sends its words to the earlier
     line's block, once for each such block."""
 
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(right):
-            lines = Lines(left.iloc[0])
-            numbers = lines.numbers[lines.tokens]
-            for x_block, asked in right.groupby("x_block"):
-                once, place = ranked(asked["y"].to_numpy())
-                sizes = lines.sizes[once]
-                at = np.repeat(lines.start[once] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                held = [np.array([len(once)]), once, sizes, asked["x"].to_numpy(), place]
-                out.append((int(x_block), lines.block, pack(np.concatenate(held)), pack(numbers[at])))
+            block = int(left["block"].iloc[0])
+            asking, place_of = ranked(right["y"].to_numpy())
+            all_sizes, tokens, hashes = _words(left.iloc[0], asking)
+            start, x = np.cumsum(all_sizes) - all_sizes, right["x"].to_numpy()
+            for x_block, at in split_by(ranked(right["x_block"].to_numpy())[1]):
+                once, place = ranked(place_of[at])
+                held = [np.array([len(once)]), asking[once], all_sizes[once], x[at], place]
+                out.append((int(right["x_block"].iloc[at[0]]), block, pack(np.concatenate(held)), hashes[tokens[_ranges(start[once], all_sizes[once])]].tobytes()))
         return pd.DataFrame(out, columns=["block", "y_block", "asked", "words"])
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
             return pd.DataFrame({"block": [], "line": []})
-        lines = Lines(left.iloc[0])
-        by_number = np.argsort(lines.numbers)
-        sorted_numbers = lines.numbers[by_number]
-        held = np.sort(lines.line * len(by_number) + lines.tokens)
+        messages = [unpack(x).astype(np.int64) for x in right["asked"]]
+        asked, _ = ranked(np.concatenate([m[2 * m[0] + 1 :].reshape(2, -1)[0] for m in messages]))
+        x_sizes, tokens, hashes = _words(left.iloc[0], asked)
+        by_hash = np.argsort(hashes)
+        sorted_hashes = hashes[by_hash]
+        held = np.sort(np.repeat(np.arange(len(asked)), x_sizes) * len(hashes) + tokens)
         blocks_, found = [], []
-        for y_block, first, second in zip(right["y_block"], right["asked"], right["words"], strict=True):
-            message = unpack(first).astype(np.int64)
+        for y_block, message, words in zip(right["y_block"], messages, right["words"], strict=True):
             n = int(message[0])
             y, y_sizes = message[1 : n + 1], message[n + 1 : 2 * n + 1]
             x, place = message[2 * n + 1 :].reshape(2, -1)
-            sizes = y_sizes[place]
-            own = np.repeat((np.cumsum(y_sizes) - y_sizes)[place] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            numbers = unpack(second)[own]
-            at = np.minimum(np.searchsorted(sorted_numbers, numbers), len(sorted_numbers) - 1)
-            known = sorted_numbers[at] == numbers
-            keys = np.repeat(x, sizes) * len(by_number) + by_number[at]
+            x, sizes = np.searchsorted(asked, x), y_sizes[place]
+            own = _u64(words)[_ranges((np.cumsum(y_sizes) - y_sizes)[place], sizes)]
+            at = np.minimum(np.searchsorted(sorted_hashes, own), len(sorted_hashes) - 1)
+            known = sorted_hashes[at] == own
+            keys = np.repeat(x, sizes) * len(hashes) + by_hash[at]
             where = np.minimum(np.searchsorted(held, keys), len(held) - 1)
             shared = np.add.reduceat((known & (held[where] == keys)).astype(np.int64), np.cumsum(sizes) - sizes)
-            hit = (NUM + DEN) * shared >= NUM * (sizes + lines.sizes[x])
+            hit = (NUM + DEN) * shared >= NUM * (sizes + x_sizes[x])
             found.append(distinct(y[place[hit]]))
             blocks_.append(np.full(len(found[-1]), y_block))
         return pd.DataFrame({"block": np.concatenate(blocks_), "line": np.concatenate(found)})
 
+    words = blocks.select("block", "hashes", "tokens", "sizes")
     to_y = pairs.select(F.col("y_block").alias("block"), "y", "x_block", "x")
-    sent = ready.groupBy("block").cogroup(to_y.groupBy("block")).applyInPandas(send, "block long, y_block long, asked binary, words binary")
-    return materialise(ready.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(check, "block long, line long").distinct())
+    sent = words.groupBy("block").cogroup(to_y.groupBy("block")).applyInPandas(send, "block long, y_block long, asked binary, words binary")
+    return materialise(words.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(check, "block long, line long").distinct())
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS, heavy: int = HEAVY) -> DataFrame:
     """`df` with `text` without the removed lines, and removed_lines (long); a column of that name is replaced."""
-    df = df.drop("removed_lines").withColumn(text, F.col(f"`{text}`").cast("string"))
-    parts = parallelism(df.sparkSession)
-    blocks = build_blocks(df, doc_id, text, block_bytes, min_words)
-    asked = blocks.select("block", "hashes", "tokens", "set_a", "set_b", "set_key", "set_at").mapInPandas(_ask(parts), MESSAGE)
-    ready = prepare(blocks, asked.groupBy("kind", "part").applyInPandas(_merge(parts), MESSAGE), parts)
-    pairs = _find(ready, parts)
-    found = _verify(ready, pairs)
+    spark, own = df.sparkSession, [c for c in df.columns if c != "removed_lines"]
+    kinds = [df.schema[c].dataType for c in own]
+    docs = df.select(*[F.col(f"`{c}`").cast("string" if c == text else k).alias(f"c{i}") for i, (c, k) in enumerate(zip(own, kinds, strict=True))], F.col(f"`{doc_id}`").try_cast("long").alias("id"))
+    text_name = f"c{own.index(text)}"
+    table = build_blocks(docs, len(own), own.index(text), block_bytes, min_words)
+    blocks = table.filter("hashes is not null").select("block", *ARRAYS)
+    parts = max(64, blocks.count())
+    levels = word_levels(blocks)
+    marked = prepare(blocks, parts, levels)
+    ready = blocks.select("block", "hashes", "sizes", "set_key", "set_at", "parity", "high").join(marked, "block")
+    pairs = _find(ready, parts, heavy)
+    found = _verify(blocks, pairs)
     open_ = pairs.filter("more").select(F.col("y_block").alias("block"), F.col("y").alias("line")).distinct()
     open_ = materialise(open_.join(found, ["block", "line"], "left_anti"))
-    if open_.limit(1).collect():
-        found = found.unionByName(_verify(ready, _find(ready, parts, open_)))
-
-    text_at, names = df.columns.index(text), [*df.columns, "removed_lines"]
+    if not open_.isEmpty():
+        found = found.unionByName(_verify(blocks, _find(ready, parts, heavy, open_)))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left.column(c)[0].as_py() for c in left.column_names}
-        near = np.array([x for x in right.column("line").to_pylist() if x is not None], dtype=np.int64)
+        held = left.filter(pc.is_null(left.column("doc_row"))).select(["set_at", "line_set", "line_at"]).to_pylist()[0]
         stays = unpack(next(x for x in right.column("first").to_pylist() if x is not None)).astype(bool)
-        stays[near] = False
-        line_set, line_at, set_at = unpack(row["line_set"]).astype(np.int64), _u64(row["line_at"]), _u64(row["set_at"])
-        gone = ~(stays[line_set] & (line_at == set_at[line_set]))
-        by_row: dict[int, set[int]] = defaultdict(set)
-        for x in line_at[gone].tolist():
-            by_row[x >> 32].add(x & 0xFFFFFFFF)
-        table = pa.ipc.open_stream(row["rows"]).read_all()
-        texts = table.column(text_at).to_pylist()
-        for r, lines in by_row.items():
-            texts[r] = "\n".join(x for n, x in enumerate(texts[r].split("\n")) if n not in lines)
-        table = table.set_column(text_at, table.schema.field(text_at), pa.array(texts, table.schema.field(text_at).type))
-        table = table.append_column("removed_lines", pa.array([len(by_row.get(r, ())) for r in range(len(texts))], pa.int64()))
-        return table.select(names)
-
-    marks = ready.select(F.col("block").alias("block"), F.col("is_first").alias("first"), F.lit(None).cast("long").alias("line")).unionByName(found.select("block", F.lit(None).cast("binary").alias("first"), "line"))
-    schema = df.withColumn("removed_lines", F.lit(0).cast("long")).schema
-    return blocks.select("block", "rows", "set_at", "line_set", "line_at").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(finish, schema)
+        stays[np.array([x for x in right.column("line").to_pylist() if x is not None], dtype=np.int64)] = False
+        line_set, line_at, set_at = unpack(held["line_set"]).astype(np.int64), _u64(held["line_at"]), _u64(held["set_at"])
+        gone = np.sort(line_at[~(stays[line_set] & (line_at == set_at[line_set]))])
+        row, number = (gone >> np.uint64(32)).astype(np.int64), (gone & np.uint64(0xFFFFFFFF)).tolist()
+        docs = left.filter(pc.is_valid(left.column("doc_row")))
+        rows = docs.column("doc_row").to_numpy()
+        begin, end = np.searchsorted(row, rows), np.searchsorted(row, rows, side="right")
+        texts = docs.column(text_name).to_pylist()
+        for i in np.flatnonzero(end > begin).tolist():
+            out = set(number[begin[i] : end[i]])
+            texts[i] = "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n not in out)
+        docs = docs.set_column(docs.column_names.index(text_name), text_name, pa.array(texts, pa.string()))
+        return docs.select(range(len(own))).append_column("removed_lines", pa.array(end - begin, pa.int64()))
+
+    told = marked.select(F.col("block").alias("block"), F.col("is_first").alias("first"), F.lit(None).cast("long").alias("line")).unionByName(found.select("block", F.lit(None).cast("binary").alias("first"), "line"))
+    shape = table.select(*table.columns[: len(own)]).withColumn("removed_lines", F.lit(0).cast("long")).schema
+    whole = table.select(*table.columns[: len(own)], "block", "doc_row", "set_at", "line_set", "line_at")
+    return whole.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, shape).toDF(*own, "removed_lines")

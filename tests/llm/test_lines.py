@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from shelfspark.llm import lines, queries
@@ -77,3 +78,14 @@ def test_short_lines_of_the_query(spark, tmp_path):
     spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = [(1, made[0][1], 0), (2, "\nShare", 1), (3, "", 2), (4, "d c b", 1)]
     assert result(queries.op9_lines(spark, str(tmp_path))) == want
+
+
+def test_a_word_of_all_lines_costs_no_pairs_and_slices_lose_none(spark, rows):
+    """Postings of five-word lines under one word at the second place can't be similar: nothing is compared."""
+    n = 50_000
+    one = lambda x: np.full(n, x, dtype=np.int64)
+    tested = []
+    y, x, more = lines.candidates(np.full(n, 7, dtype=np.uint64), one(0), one(5), one(1), np.arange(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool), 2, tested)
+    assert sum(tested) == len(y) == len(x) == 0 and not more.any()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(lines.dedup_lines(df, block_bytes=3000, heavy=20)) == brute_force(rows)
