@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,13 +29,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A task keeps at most so many encoded chunks and pairs of tokens; a cache is emptied beyond, which changes no result.
-CACHE_ENTRIES = 600_000
+#: A task keeps at most so many encoded chunks; the cache is emptied beyond, which changes no result.
+CACHE_ENTRIES = 300_000
+#: Pieces of up to so many bytes are encoded side by side; longer ones each by itself.
+SIDE_BY_SIDE = 48
+#: Places for pairs of tokens of which it is known whether they may follow each other.
+PAIRS = 1 << 20
+#: Texts are encoded together up to so many characters.
+BATCH_CHARS = 2_000_000
 NEVER = 1 << 62
 #: ASCII white space next to a space.
 BESIDE_SPACE = ["  ", *[x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (" " + c, c + " ")]]
 
 
+class Table:
+    """Integers of less than 2^62 to integers: open addressing in two arrays, read for many keys at once."""
+
+    def __init__(self, held: dict[int, int]):
+        keys, values = np.fromiter(held.keys(), dtype=np.int64, count=len(held)), np.fromiter(held.values(), dtype=np.int32, count=len(held))
+        bits = max(4, (4 * len(held)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            at, first = np.unique(slot, return_index=True)
+            free = first[self.keys[at] < 0]
+            self.keys[slot[free]], self.values[slot[free]] = keys[left[free]], values[left[free]]
+            stay = np.ones(len(left), dtype=bool)
+            stay[free] = False
+            left, slot = left[stay], (slot[stay] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where there is none."""
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        away = np.flatnonzero((found != keys) & (found >= 0))
+        while len(away):
+            slot[away] = (slot[away] + 1) & self.mask
+            found[away] = self.keys[slot[away]]
+            away = away[(found[away] != keys[away]) & (found[away] >= 0)]
+        return np.where(found == keys, self.values[slot], -1)
+
+
 class Vocabulary:
     """Mergeable ranks as a table for prefix encoding."""
 
@@ -112,7 +151,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self.known) >= CACHE_ENTRIES:
+        if len(self.known) >= PAIRS:
             self.known.clear()
         self.known[a << 32 | b] = fits
         return fits
@@ -138,6 +177,98 @@ class Vocabulary:
                 at -= 1
             last.append(rank)
 
+    def _arrays(self) -> None:
+        """What `encode_pieces` reads, made when it is first used."""
+        self.steps, self.ends = Table(self.step), np.array(self.token_at, dtype=np.int64)
+        merges = {}
+        for data, rank in self.ranks.items():
+            for k in range(1, len(data)):
+                a, b = self.ranks.get(data[:k]), self.ranks.get(data[k:])
+                if a is not None and b is not None:
+                    merges[a << 31 | b] = rank
+        self.merges = Table(merges)
+        top = max(self.bytes_of, default=-1) + 1
+        self.length = np.zeros(top, dtype=np.int64)
+        for rank, data in self.bytes_of.items():
+            self.length[rank] = len(data)
+        self.spines = []
+        for side in (self.right_spine, self.left_spine):
+            sizes = np.array([len(side.get(r, ())) for r in range(top)], dtype=np.int64)
+            flat = np.fromiter((x for r in range(top) for x in side.get(r, ())), dtype=np.int64)
+            self.spines.append((np.cumsum(sizes) - sizes, sizes, flat))
+        self.pair_keys, self.pair_fits = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=bool)
+
+    def _follow(self, pairs: np.ndarray) -> np.ndarray:
+        """`follows` of many pairs a << 31 | b."""
+        (start_a, size_a, left), (start_b, size_b, right) = self.spines
+        a, b = pairs >> 31, pairs & (1 << 31) - 1
+        i, j = start_a[a], start_b[b]
+        end_i, end_j = i + size_a[a], j + size_b[b]
+        fits, open_ = np.zeros(len(pairs), dtype=bool), np.arange(len(pairs))
+        while len(open_):
+            grow_left = np.where(i + 1 < end_i, left[np.minimum(i + 1, len(left) - 1)], NEVER)
+            grow_right = np.where(j + 1 < end_j, right[np.minimum(j + 1, len(right) - 1)], NEVER)
+            across = self.merges.get(left[i] << 31 | right[j]).astype(np.int64)
+            across[across < 0] = NEVER
+            crossed = (across < grow_left) & (across <= grow_right) & (across < NEVER)
+            done = (grow_left == NEVER) & (grow_right == NEVER)
+            fits[open_[done & ~crossed]] = True
+            go, grow = ~(done | crossed), grow_left <= grow_right
+            i, j = (i + grow)[go], (j + ~grow)[go]
+            end_i, end_j, open_ = end_i[go], end_j[go], open_[go]
+        return fits
+
+    def _fits(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        pairs = before << 31 | token
+        slot = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIRS.bit_length() + 1)).astype(np.int64)
+        out, unknown = self.pair_fits[slot], np.flatnonzero(self.pair_keys[slot] != pairs)
+        if len(unknown):
+            fresh, place = np.unique(pairs[unknown], return_inverse=True)
+            out[unknown] = self._follow(fresh)[place]
+            self.pair_keys[slot[unknown]], self.pair_fits[slot[unknown]] = pairs[unknown], out[unknown]
+        return out
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids (32-bit integers) of short pieces that aren't tokens themselves: the tables of last tokens of all of
+        them grow side by side, a byte in each step."""
+        if not pieces:
+            return []
+        if not hasattr(self, "steps"):
+            self._arrays()
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        start = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+        last = np.zeros(len(data), dtype=np.int64)
+        longest_first = np.argsort(-sizes, kind="stable")
+        begin, ordered = start[longest_first], -sizes[longest_first]
+        for end in range(int(sizes.max())):
+            spot = begin[: np.searchsorted(ordered, -end)] + end
+            node = np.zeros(len(spot), dtype=np.int64)
+            for back in range(end + 1):
+                node = self.steps.get(node << 8 | data[spot - back]).astype(np.int64)
+                rank = self.ends[node]
+                fits = rank >= 0
+                if back < end:
+                    some = np.flatnonzero(fits)
+                    fits[some] = self._fits(last[spot[some] - back - 1], rank[some])
+                last[spot[fits]] = rank[fits]
+                spot, node = spot[~fits], node[~fits]
+                if not len(spot):
+                    break
+        # Walk back from the ends; each round gives the next token from the right.
+        at, own, found, owners = start + sizes - 1, np.arange(len(pieces)), [], []
+        while len(own):
+            token = last[at]
+            found.append(token)
+            owners.append(own)
+            at = at - self.length[token]
+            more = at >= start[own]
+            at, own = at[more], own[more]
+        owner = np.concatenate(owners[::-1])
+        ids = np.concatenate(found[::-1])[np.argsort(owner, kind="stable")].astype(np.int32).tobytes()
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(pieces))))) * 4
+        return list(map(ids.__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist())))
+
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else PrefixEncoding(self, data).tokens()
@@ -219,36 +350,56 @@ class TextEncoder:
             open_end = not p or p[-1] in blank
         return [*chunks, held]
 
-    def _chunk(self, chunk: str, keep: bool = True) -> bytes:
-        pieces = self.find(chunk)
-        if len(pieces) == 1:
-            out = np.array(self.vocabulary.encode_piece(chunk.encode("utf-8", "replace")), dtype=np.int32).tobytes()
-        else:  # a piece by itself is encoded as it is within the chunk
-            out = b"".join([self.chunks.get(p) or self._chunk(p) for p in pieces])
-        if keep and len(chunk) <= 64:
-            if len(self.chunks) >= CACHE_ENTRIES:
-                self.chunks.clear()
-            self.chunks[chunk] = out
-        return out
-
-    def _after_space(self, word: str) -> bytes:
-        out = self.chunks.get(" " + word) or self._chunk(" " + word, keep=False)
-        if len(word) <= 64:
-            if len(self.after_space) >= CACHE_ENTRIES:
-                self.after_space.clear()
-            self.after_space[word] = out
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. A piece by itself is encoded as it is within the chunk."""
+        pieces: dict[str, int] = {}
+        number, of_chunk = pieces.setdefault, []
+        for c in chunks:
+            if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()):
+                of_chunk.append((number(c, len(pieces)),))
+            else:
+                of_chunk.append([number(p, len(pieces)) for p in self.find(c)])
+        out, batch, places, ranks = [], [], [], self.vocabulary.ranks
+        for i, p in enumerate(pieces):
+            data = p.encode("utf-8", "replace")
+            whole = ranks.get(data)
+            if whole is not None:
+                out.append(whole.to_bytes(4, sys.byteorder))
+            elif len(data) <= SIDE_BY_SIDE:
+                out.append(b"")
+                batch.append(data)
+                places.append(i)
+            else:
+                out.append(np.array(self.vocabulary.encode_piece(data), dtype=np.int32).tobytes())
+        for i, ids in zip(places, self.vocabulary.encode_pieces(batch), strict=True):
+            out[i] = ids
+        return [out[x[0]] if len(x) == 1 else b"".join([out[i] for i in x]) for x in of_chunk]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers. What the texts have in common is encoded once."""
+        if len(self.chunks) + len(self.after_space) > CACHE_ENTRIES:
+            self.chunks.clear()
+            self.after_space.clear()
+        parts, first, rest = [], set(), set()
+        for t in texts:
+            if not t:
+                parts.append(((), ()))
+                continue
+            head, tail = ((one := t.split(" "))[:1], one[1:]) if self.plain(t) else (self.split(t), ())
+            parts.append((head, tail))
+            first.update(head)
+            rest.update(tail)
+        for cache, new, sign in ((self.chunks, list(first.difference(self.chunks)), ""), (self.after_space, list(rest.difference(self.after_space)), " ")):
+            cache.update(zip(new, self._learn([sign + w for w in new] if sign else new), strict=True))
+        get, after = self.chunks.__getitem__, self.after_space.__getitem__
+        out = [b"".join(map(get, head)) + b"".join(map(after, tail)) for head, tail in parts]
+        for cache, used in ((self.chunks, first), (self.after_space, rest)):
+            for w in [w for w in used if len(w) > 64]:
+                del cache[w]
         return out
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as 32-bit integers."""
-        if not text:
-            return b""
-        get, make = self.chunks.get, self._chunk
-        if not self.plain(text):
-            return b"".join([get(c) or make(c) for c in self.split(text)])
-        first, *rest = text.split(" ")
-        after, make_after = self.after_space.get, self._after_space
-        return (get(first) or make(first)) + b"".join([after(c) or make_after(c) for c in rest])
+        return self.encode_all([text])[0]
 
     def forget(self) -> None:
         """Empty the caches: a worker that waits for other tasks keeps the vocabulary alone."""
@@ -287,6 +438,18 @@ def token_bytes(data: bytes) -> list[bytes]:
     return out
 
 
+def _of_about(batch: pa.RecordBatch, text_at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of up to `most` bytes of text; a longer text is a slice of its own."""
+    begin = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(text_at)).fill_null(0).to_pylist()):
+        if size + n > most and i > begin:
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
@@ -303,9 +466,8 @@ def encode_documents(df: DataFrame, vocabulary_path: str, pattern: str, text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(ranks.value, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = [coder.encode(t) for t in batch.column(batch.schema.get_field_index("__text")).to_pylist()]
+            for batch in _of_about(whole, len(keep), BATCH_CHARS):
+                ids = coder.encode_all(batch.column(len(keep)).to_pylist())
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
