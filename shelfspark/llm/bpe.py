@@ -29,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.llm.common import small_batches
+
 #: A task keeps at most so many encoded chunks; the cache is emptied beyond, which changes no result.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 #: Pieces of up to so many bytes are encoded side by side; longer ones each by itself.
 SIDE_BY_SIDE = 48
 #: Places for pairs of tokens of which it is known whether they may follow each other.
 PAIRS = 1 << 20
 #: Texts are encoded together up to so many characters.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 NEVER = 1 << 62
 #: ASCII white space next to a space.
 BESIDE_SPACE = ["  ", *[x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (" " + c, c + " ")]]
@@ -454,17 +456,18 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def encode_documents(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+def encode_documents(df: DataFrame, vocabulary_path: str, pattern: str, text: str = "text", out: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Add `out` (array<int>), the ids of the whole text; other columns pass through. A column of that name is replaced.
+    With a name for `decoded`, add the bytes (binary) to which the ids decode, made from the ids within the same task.
 
     Narrow: no shuffle. The driver reads the vocabulary file, whose size doesn't depend on the data, and broadcasts it.
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary_path))
-    keep = [c for c in df.columns if c != out]
+    keep = [c for c in small_batches(df).columns if c not in (out, decoded)]
     arrow_out = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(ranks.value, pattern)
+        coder, bytes_of = encoder(ranks.value, pattern), token_bytes(ranks.value) if decoded else []
         for whole in batches:
             for batch in _of_about(whole, len(keep), BATCH_CHARS):
                 ids = coder.encode_all(batch.column(len(keep)).to_pylist())
@@ -472,12 +475,14 @@ def encode_documents(df: DataFrame, vocabulary_path: str, pattern: str, text: st
                 np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
                 column = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i) for i in range(len(keep))] + [column.cast(arrow_out)], names=[*keep, out]
-                )
+                texts = [pa.array([decode(np.frombuffer(x, dtype=np.int32).tolist(), bytes_of) for x in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], column.cast(arrow_out), *texts], names=[*keep, out, *[decoded] * len(texts)])
         coder.forget()
+        pa.default_memory_pool().release_unused()
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, _with(df.select(*[F.col(f"`{c}`") for c in keep]), out, T.ArrayType(T.IntegerType())))
+    kept = [F.col(f"`{c}`") for c in keep]
+    shape = _with(df.select(*kept), out, T.ArrayType(T.IntegerType()))
+    return df.select(*kept, F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, shape.add(decoded, T.BinaryType()) if decoded else shape)
 
 
 def decode_documents(df: DataFrame, vocabulary_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,21 @@ SPACES = " \t\n\x0b\x0c\r"
 #: The words of a text are the maximal runs of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of texts that Spark hands to Python at once; the setting's default of 10,000 is meant for numbers.
+ARROW_ROWS = 1000
+
 _tables: list[tuple[SparkSession, str]] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`; its session hands at most ARROW_ROWS rows at once to Python from here on, so that workers stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, ARROW_ROWS)
+    return df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +59,20 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def written(make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, written to the scratch folder; the scratch tables that it was made from are deleted."""
+    tables, files = len(_tables), len(_written)
+    out = materialise(make())
+    own = _written.pop()
+    while len(_tables) > tables:
+        spark, name = _tables.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    while len(_written) > files:
+        _delete(*_written.pop())
+    _written.append(own)
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch files behind a materialised frame that nothing reads any more."""
     names = {f.split("/t-")[-1].split("/")[0] for f in df.inputFiles() if "/t-" in f}

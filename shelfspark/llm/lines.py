@@ -35,7 +35,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import bucketed, materialise
+from shelfspark.llm.common import bucketed, materialise, small_batches
 from shelfspark.llm.packed import distinct, pack, ranked, split_by, spread, unpack
 
 MIN_WORDS = 5
@@ -191,6 +191,7 @@ def build_blocks(docs: DataFrame, id_at: int, text_at: int, block_bytes: int = B
             table = pa.Table.from_batches(held)
             made = arrays(table.column(id_at).combine_chunks(), table.column(text_at).combine_chunks())
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in held[0].schema], pa.array([block]), pa.nulls(1, pa.int64()), *[pa.array([v], pa.binary()) for v in made]], names=names)
+        pa.default_memory_pool().release_unused()
 
     names = [*docs.columns, "block", "doc_row", *ARRAYS]
     shape = docs.limit(0).join(docs.sparkSession.createDataFrame([], BLOCK)).schema
@@ -487,7 +488,7 @@ def _verify(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS, heavy: int = HEAVY) -> DataFrame:
     """`df` with `text` without the removed lines, and removed_lines (long); a column of that name is replaced."""
-    spark, own = df.sparkSession, [c for c in df.columns if c != "removed_lines"]
+    own = [c for c in small_batches(df).columns if c != "removed_lines"]
     kinds = [df.schema[c].dataType for c in own]
     docs = df.select(*[F.col(f"`{c}`").cast("string" if c == text else k).alias(f"c{i}") for i, (c, k) in enumerate(zip(own, kinds, strict=True))], F.col(f"`{doc_id}`").try_cast("long").alias("id"))
     text_name = f"c{own.index(text)}"

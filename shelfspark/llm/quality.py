@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.common import fold
+from shelfspark.llm.common import fold, small_batches
 
 #: Windows of WIDTH bytes, one each STEP bytes; a chunk shares its last STEP bytes with the next one.
 WIDTH, STEP, CHUNK = 8, 4, 1024
@@ -159,7 +159,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", text:
 
 def classify(df: DataFrame, net: Network, text: str = "text", out: str = "score") -> DataFrame:
     """Add `out` (double, 0 to 1) for the whole text of each row."""
-    keep = [c for c in df.columns if c != out]
+    keep = [c for c in small_batches(df).columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -16,8 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
-    decoded = bpe.decode_documents(encoded.select("doc_id", "token_ids"), path)
+    decoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, decoded="decoded").drop("text")
     ids = F.array_join(F.col("token_ids"), ",")
     return decoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -6,7 +6,7 @@ import pytest
 from shelfspark.llm import lines, queries
 
 
-def brute_force(rows):
+def brute_force(rows, min_words=5):
     """rows (doc_id, text) to the sorted list of (doc_id, text without later similar lines)."""
     earlier, out = [], []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -17,7 +17,7 @@ def brute_force(rows):
         for line in t.split("\n"):
             words = line.encode().lower().split()
             own = set(words)
-            if len(words) >= 5:
+            if len(words) >= min_words:
                 hit = any(9 * len(own & e) >= 4 * (len(own) + len(e)) for e in earlier)
                 earlier.append(own)
                 if hit:
