@@ -11,7 +11,8 @@ Edge cases: of several calls with one identifier in a conversation the first by
 "duplicate"; of several results the first after the call counts; a call without result has status "pending"; results
 without call are rows with status "orphan"; calls that depend on each other in a circle have status "cyclic";
 dependencies on unknown calls are ignored; rows without conversation or identifier are left out; null arguments count as
-{}; repeated rows are one call. Rows come with these columns alone; others of the input are left out.
+{}; arguments that aren't JSON, hold NaN, infinite numbers or lone surrogates, or are nested too deeply for the parser are
+an error of that call alone, "arguments: not JSON"; repeated rows are one call. Rows come with these columns alone; others of the input are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,11 @@ KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool,
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
 
 
 def problem(value: Any, schema: dict, at: str = "") -> str | None:
@@ -62,12 +67,12 @@ def problem(value: Any, schema: dict, at: str = "") -> str | None:
 def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[str | None, str | None]:
     """Canonical arguments (None if they aren't JSON) and what is wrong with them."""
     try:
-        value = json.loads(arguments) if arguments is not None else {}
-    except ValueError:
+        value = json.loads(arguments, parse_constant=_refuse) if arguments is not None else {}
+        text = canonical(value)
+        text.encode("utf-8")
+        return text, problem(value, schemas[name]) if name in schemas else "unknown tool"
+    except (ValueError, RecursionError):
         return None, "arguments: not JSON"
-    if name not in schemas:
-        return canonical(value), "unknown tool"
-    return canonical(value), problem(value, schemas[name])
 
 
 def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -69,3 +69,11 @@ def test_messages_and_empty_tables(spark):
     rows = chat.link_calls(*chat.parse_messages(messages), SCHEMAS).collect()
     assert [(r.call_id, r.status, json.loads(r.message)["result"]) for r in rows] == [("k", "linked", "3")]
     assert chat.link_calls(*chat.parse_messages(messages.limit(0)), SCHEMAS).collect() == []
+
+
+def test_arguments_that_no_parser_takes_are_errors_of_one_call():
+    schemas = {"f": {"type": "object"}}
+    for bad in ("[" * 100_000 + "]" * 100_000, '{"x": "\\ud800"}', '{"x": NaN}', '{"x": 1e999}', '{"x": -Infinity}', "{"):
+        assert chat.checked("f", bad, schemas) == (None, "arguments: not JSON")
+    assert chat.checked("f", '{"b": 1, "a": "\\u00e9"}', schemas) == ('{"a":"é","b":1}', None)
+    assert chat.checked("g", "{}", schemas) == ("{}", "unknown tool")
