@@ -103,6 +103,6 @@ def score(rows: DataFrame, features: list[str], model: Forest, out: str = "raw_s
 
 def decision(scored: DataFrame, contamination: float = CONTAMINATION) -> tuple[DataFrame, DataFrame]:
     """Scores relative to their quantile at `contamination`, and the threshold (one row): that quantile of them."""
-    offset = scored.agg(F.percentile_approx("raw_score", contamination, 10_000).alias("offset"))
+    offset = scored.agg(F.percentile("raw_score", F.lit(contamination)).alias("offset"))
     moved = scored.crossJoin(F.broadcast(offset)).withColumn("score", F.col("raw_score") - F.col("offset")).drop("offset", "raw_score")
-    return moved, moved.agg(F.percentile_approx("score", contamination, 10_000).alias("threshold"))
+    return moved, moved.agg(F.percentile("score", F.lit(contamination)).alias("threshold"))

@@ -65,7 +65,7 @@ class Training:
         z = anomaly.scaled(rows, stats)
         self.registry.save("anomaly_forest", isolation.fit(z, columns, ["product_id", "competitor_id", *self.order], trees), at)
         raw = isolation.score(z, columns, isolation.forest(self.registry.latest("anomaly_forest")))
-        offset = raw.agg(F.percentile_approx("raw_score", isolation.CONTAMINATION, 10_000).alias("offset"), F.count("*").alias("n")).first()
+        offset = raw.agg(F.percentile("raw_score", F.lit(isolation.CONTAMINATION)).alias("offset"), F.count("*").alias("n")).first()
         self.registry.report("anomaly_ml", at, feature_cols=anomaly.FEATURES, n_rows=offset["n"], offset=offset["offset"], score_threshold=0.0)
         return at
 

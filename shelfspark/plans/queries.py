@@ -255,10 +255,10 @@ def stock_risk(spark, d):
     return out.drop("explanation").withColumns({c: rounded(F.col(c)) for c in ("probability", "demand_weekly_p50", "demand_weekly_p90")})
 
 
-@query("lookup_missing_rule", "SELECT s.product_id, CASE WHEN r.product_id IS NULL THEN 'OK' ELSE 'known' END AS risk, coalesce(r.current_stock, 0) AS current_stock, coalesce(r.lead_time_days, 7) AS lead_time_days FROM (SELECT DISTINCT user_id AS product_id FROM events) s LEFT JOIN (SELECT * FROM restock WHERE product_id % 2 = 0) r USING (product_id)")
+@query("lookup_missing_rule", "SELECT s.product_id, CASE WHEN r.product_id IS NULL THEN 'OK' ELSE 'known' END AS risk, coalesce(r.current_stock, 0) AS current_stock, coalesce(r.lead_time_days, 7) AS lead_time_days FROM (SELECT DISTINCT user_id AS product_id FROM events) s LEFT JOIN restock r USING (product_id)")
 def _(spark, d):
-    """Users stand for requested products, of which only even ones have rules here: the default answer is a left join."""
-    known = rules.restock_rules(retail.products(spark, d), retail.product_suppliers(spark, d)).filter("product_id % 2 = 0")
+    """Users stand for requested products; one that has no rule gets the default answer by a left join."""
+    known = rules.restock_rules(retail.products(spark, d), retail.product_suppliers(spark, d))
     asked = retail.event_sales(spark, d).select("product_id").distinct()
     none = asked.join(known.select("product_id"), "product_id", "left_anti").withColumn("missing", F.lit(True))
     out = rules.stock_risk(asked, _baseline(spark, d), known).join(none, "product_id", "left")
@@ -374,7 +374,7 @@ def _(spark, d):
     columns = [f"{c}_scaled" for c in anomaly.FEATURES]
     z = anomaly.scaled(rows, stats)
     model = isolation.forest(isolation.fit(z, columns, ["product_id", "competitor_id", *TIES]))
-    offset = isolation.score(z, columns, model).agg(F.percentile_approx("raw_score", isolation.CONTAMINATION, 10_000)).first()[0]
+    offset = isolation.score(z, columns, model).agg(F.percentile("raw_score", F.lit(isolation.CONTAMINATION))).first()[0]
     served = anomaly.scaled(anomaly.serving_rows(prices, products, TIES), stats).drop(*stats.columns)
     scored = isolation.score(served, columns, model).withColumn("score", F.col("raw_score") - F.lit(offset))
     threshold = spark.range(1).select(F.lit(0.0).alias("threshold"))

@@ -219,3 +219,11 @@ def test_boosting_fits_all_rows(spark):
     rows = rows.withColumn("qty", (F.row_number().over(order) > 20_000).cast("double"))
     model = boosting.fit(rows, ["f"], "qty", 1, alphas=(0.9,))
     assert boosting.ensembles(model)[0.9].start == 1.0
+
+
+def test_a_product_without_rule_gets_the_default_answer(spark):
+    known = spark.createDataFrame([(1, 5, 40, 3, 14)], "product_id long, threshold_min int, threshold_max int, current_stock int, lead_time_days int")
+    demand = spark.createDataFrame([(1, 2.0, 4.0), (2, 2.0, 4.0)], "product_id long, p50 double, p90 double")
+    asked = spark.createDataFrame([(1,), (2,)], "product_id long")
+    got = {r.product_id: (r.risk, r.probability, r.current_stock, r.lead_time_days) for r in rules.stock_risk(asked, demand, known).collect()}
+    assert got[1][0] == "STOCKOUT" and got[2] == ("OK", 0.0, 0, rules.DEFAULT_LEAD_DAYS)
