@@ -46,15 +46,30 @@ ordered AS (
 levels AS (SELECT *, (CAST(1.5 AS DOUBLE) * CAST(all_words AS DOUBLE) - CAST(full_before AS DOUBLE)) / CAST(rest AS DOUBLE) AS level FROM ordered),
 reached AS (SELECT *, max(level) OVER () AS reach FROM levels),
 plan AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), reach * weight) AS target FROM reached),
-parts AS (
-  SELECT source, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole
-  FROM plan),
+cells AS (
+  SELECT d.source, length(bin(d.size)) AS bits, CAST(sum(d.size) AS DOUBLE) AS words, any_value(p.source_size) AS source_size, any_value(p.target) AS target
+  FROM docs d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source GROUP BY ALL),
+tilted AS (
+  SELECT *, (target - 2 * coalesce(sum(words) OVER longer, 0))
+    / nullif(sum((8 + bits) * words) OVER (PARTITION BY source) - coalesce(sum((8 + bits) * words) OVER longer, 0), 0) AS level
+  FROM cells WINDOW longer AS (PARTITION BY source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+expected AS (
+  SELECT *, CASE WHEN target >= 2 * source_size THEN CAST(2 AS DOUBLE)
+    ELSE least(CAST(2 AS DOUBLE), coalesce(max(level) OVER (PARTITION BY source) * (8 + bits), 0)) END AS expected
+  FROM tilted),
+chances AS (
+  SELECT *, floor(expected) AS whole, nullif(expected - floor(expected), 0) AS p, target - sum(floor(expected) * words) OVER (PARTITION BY source) AS missing
+  FROM expected),
+drawn AS (
+  SELECT d.*, c.source_size, c.target, c.whole, c.missing, (CAST(d.draw AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u, c.p
+  FROM docs d JOIN chances c ON d.source IS NOT DISTINCT FROM c.source AND length(bin(d.size)) = c.bits),
+ranked AS (
+  SELECT *, CASE WHEN size > 0 THEN (u / (1 - u)) * ((1 - p) / p) END AS odds FROM drawn),
 placed AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS missing,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS words_before
-  FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
+  SELECT *, sum(CASE WHEN odds IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY odds NULLS LAST, draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS words_before
+  FROM ranked)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN missing > 0 AND CAST(2 * words_before + size AS DOUBLE) <= 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (whole + CASE WHEN odds IS NOT NULL AND missing > 0 AND CAST(2 * words_before + size AS DOUBLE) <= 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM placed
 """
 
