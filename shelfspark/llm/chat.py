@@ -3,14 +3,16 @@
 Calls and results are joined by conversation and identifier. Calls are put in a topological order: a call's key is the
 latest position among itself and all that it depends on, directly or not; among calls with the same key those come first
 whose dependencies are out. If every call depends on earlier ones only, keys are positions, and one join proves it;
-otherwise keys grow by joins until they are stable. No conversation is gathered in one place: the order is given as
+otherwise keys grow by joins until they are stable. Each round also follows a pointer to the best call found so far, so
+that a chain of n calls takes about log n rounds. No conversation is gathered in one place: the order is given as
 sortable columns. Arguments are checked against the tool's schema, and each linked call is written as canonical JSON
 (sorted keys, no spaces, UTF-8).
 
 Edge cases: of several calls with one identifier in a conversation the first by position counts, the others have status
 "duplicate"; of several results the first after the call counts; a call without result has status "pending"; results
-without call are rows with status "orphan"; calls that depend on each other in a circle have status "cyclic";
-dependencies on unknown calls are ignored; rows without conversation or identifier are left out; null arguments count as
+without call are rows with status "orphan", those that don't come after their call rows with status "early"; calls that
+depend on each other in a circle, or lie on a path from one circle to another, have status "cyclic" (calls behind a circle
+don't, and come after it); dependencies on unknown calls are ignored; rows without conversation or identifier are left out; null arguments count as
 {}; arguments that aren't JSON, hold NaN, infinite numbers or lone surrogates, or are nested too deeply for the parser are
 an error of that call alone, "arguments: not JSON"; repeated rows are one call. Rows come with these columns alone; others of the input are left out.
 """
@@ -86,38 +88,60 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results.select("conv_id", (F.col("turn").cast("long") * 65536).alias("position"), F.col("m.tool_call_id").alias("call_id"), F.col("m.content").alias("content"))
 
 
+def longest(edges: DataFrame) -> DataFrame:
+    """Edges (conv_id, call_id, on, limit) to conv_id, call_id, steps: the length of the longest path from a call along
+    edges, or `limit` if that is no more than the length (as it is where a circle is reached)."""
+    state = materialise(edges.groupBy("conv_id", "call_id", "limit").agg(F.max("on").alias("far")).withColumn("steps", F.lit(1)))
+    while True:
+        hops = edges.withColumn("far_off", F.lit(1)).unionByName(state.select("conv_id", "call_id", F.col("far").alias("on"), "limit", F.col("steps").alias("far_off")))
+        ahead = state.select("conv_id", F.col("call_id").alias("on"), F.col("steps").alias("more"), F.col("far").alias("next"))
+        reach = F.struct(F.least(F.col("far_off") + F.coalesce("more", F.lit(0)), F.col("limit")).alias("steps"), F.coalesce("next", "on").alias("far"))
+        best = hops.join(ahead, ["conv_id", "on"], "left").groupBy("conv_id", "call_id", "limit").agg(F.max(reach).alias("best"))
+        grown = materialise(state.withColumnRenamed("steps", "was").drop("far", "limit").join(best, ["conv_id", "call_id"]).select("conv_id", "call_id", "limit", "best.far", "best.steps", (F.col("best.steps") > F.col("was")).alias("longer")))
+        state = grown.drop("longer")
+        if grown.filter("longer").isEmpty():
+            return state.select("conv_id", "call_id", "steps", (F.col("steps") == F.col("limit")).alias("endless"))
+
+
 def topological(calls: DataFrame) -> DataFrame:
     """Distinct calls (conv_id, call_id, position, depends_on), a written table, to conv_id, call_id, order_key,
     order_step, cyclic. Sorting by (order_key, order_step, position) is a topological order."""
     edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("on"))
     known = calls.select("conv_id", F.col("call_id").alias("on"))
     edges = materialise(edges.join(known, ["conv_id", "on"], "left_semi").select("conv_id", "call_id", "on"))
-    keys = calls.select("conv_id", "call_id", F.col("position").alias("order_key"))
+    keys = calls.select("conv_id", "call_id", F.col("position").alias("order_key"), F.col("call_id").alias("best"))
     while True:
-        later = edges.join(keys.withColumnRenamed("call_id", "on"), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.max("order_key").alias("least"))
-        moved = keys.join(later, ["conv_id", "call_id"], "left")
-        grown = moved.filter("least > order_key")
-        if not grown.limit(1).collect():
+        hops = edges.unionByName(keys.filter("best != call_id").select("conv_id", "call_id", F.col("best").alias("on")))
+        later = hops.join(keys.withColumnRenamed("call_id", "on"), ["conv_id", "on"]).groupBy("conv_id", "call_id").agg(F.max(F.struct("order_key", "best")).alias("later"))
+        moved = keys.join(later, ["conv_id", "call_id"], "left").withColumn("grows", F.coalesce(F.col("later.order_key") > F.col("order_key"), F.lit(False)))
+        if moved.filter("grows").isEmpty():
             break
-        keys = materialise(moved.select("conv_id", "call_id", F.greatest("order_key", F.coalesce("least", "order_key")).alias("order_key")))
+        chosen = F.when(F.col("grows"), F.col("later")).otherwise(F.struct("order_key", "best"))
+        keys = materialise(moved.select("conv_id", "call_id", chosen.alias("k")).select("conv_id", "call_id", "k.order_key", "k.best"))
+    steps = keys.select("conv_id", "call_id", "order_key")
     # Only edges between equal keys leave the order open; a dependency on itself is a circle.
-    a, b = keys.alias("a"), keys.alias("b")
+    a, b = steps.alias("a"), steps.alias("b")
     tight = edges.join(a, ["conv_id", "call_id"]).select("conv_id", "call_id", "on", F.col("order_key").alias("key"))
     tight = materialise(tight.join(b.select("conv_id", F.col("call_id").alias("on"), F.col("order_key").alias("on_key")), ["conv_id", "on"]).filter("key = on_key").select("conv_id", "call_id", "on"))
-    steps, step = keys.select("conv_id", "call_id", "order_key", F.lit(0).alias("order_step"), F.lit(False).alias("cyclic")), 0
-    while tight.limit(1).collect():
-        step += 1
-        waiting = tight.select("conv_id", "call_id").distinct()
-        left = materialise(tight.join(waiting.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_semi"))
-        stuck = left.count() == tight.count()
-        behind = waiting.withColumn("behind", F.lit(True))
-        steps = materialise(
-            steps.join(behind, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "order_key", F.when(F.col("behind"), step).otherwise(F.col("order_step")).alias("order_step"), (F.coalesce("behind", F.lit(False)) & F.lit(stuck)).alias("cyclic"))
-        )
-        if stuck:
-            break
-        tight = left
-    return steps
+    if tight.isEmpty():
+        return steps.withColumn("order_step", F.lit(0)).withColumn("cyclic", F.lit(False))
+    # No path has more edges than there are; a longer one goes through a circle.
+    tight = materialise(tight.join(tight.groupBy("conv_id").agg((F.count("*") + 1).cast("int").alias("limit")), "conv_id"))
+    depth = longest(tight)
+    stuck = materialise(depth.filter("endless").select("conv_id", "call_id"))
+    placed = depth.filter("not endless").select("conv_id", "call_id", F.col("steps").alias("order_step"), F.lit(False).alias("cyclic"))
+    if not stuck.isEmpty():
+        inside = tight.join(stuck, ["conv_id", "call_id"]).join(stuck.withColumnRenamed("call_id", "on"), ["conv_id", "on"])
+        inside = materialise(inside.select("conv_id", "call_id", "on", "limit"))
+        back = longest(inside.select("conv_id", F.col("on").alias("call_id"), F.col("call_id").alias("on"), "limit"))
+        circles = materialise(back.filter("endless").select("conv_id", "call_id"))
+        limits = tight.select("conv_id", "limit").distinct()
+        behind = stuck.join(circles, ["conv_id", "call_id"], "left_anti").join(limits, "conv_id")
+        beyond = inside.join(circles, ["conv_id", "call_id"], "left_anti").join(circles.withColumnRenamed("call_id", "on"), ["conv_id", "on"], "left_anti").select("conv_id", "call_id", "on", "limit")
+        after = behind.join(longest(beyond), ["conv_id", "call_id"], "left")
+        placed = placed.unionByName(circles.join(limits, "conv_id").select("conv_id", "call_id", F.col("limit").alias("order_step"), F.lit(True).alias("cyclic")))
+        placed = placed.unionByName(after.select("conv_id", "call_id", (F.col("limit") + 1 + F.coalesce("steps", F.lit(0))).alias("order_step"), F.lit(False).alias("cyclic")))
+    return steps.join(placed, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "order_key", F.coalesce("order_step", F.lit(0)).alias("order_step"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -138,17 +162,17 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     kept = first.filter("number > 1").select("conv_id", "call_id", F.struct("position", "name", "arguments", "depends_on").alias("kept"))
     again = calls.join(kept, ["conv_id", "call_id"]).filter(~F.struct("position", "name", "arguments", F.array_sort("depends_on").alias("depends_on")).eqNullSafe(F.col("kept")))
     again = again.select("conv_id", F.col("position").alias("order_key"), F.lit(0).alias("order_step"), "position", "call_id", F.lit("duplicate").alias("status"), "name", "arguments", "depends_on", F.lit(None).cast("string").alias("content"))
-    orphans = here.filter("called is null").select("conv_id", F.col("position").alias("order_key"), F.lit(0).alias("order_step"), "position", "call_id", F.lit("orphan").alias("status"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.array().cast("array<string>").alias("depends_on"), "content")
-    rows = linked.unionByName(again).unionByName(orphans)
+    without = here.filter("called is null or position <= called").select("conv_id", F.col("position").alias("order_key"), F.lit(0).alias("order_step"), "position", "call_id", F.when(F.col("called").isNull(), "orphan").otherwise("early").alias("status"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.array().cast("array<string>").alias("depends_on"), "content")
+    rows = linked.unionByName(again).unionByName(without)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             errors, messages = [], []
             for r in f.itertuples():
-                text, error = (None, None) if r.status == "orphan" else checked(r.name, r.arguments, schemas)
+                text, error = (None, None) if r.status in ("orphan", "early") else checked(r.name, r.arguments, schemas)
                 errors.append(error)
                 held = {"arguments": json.loads(text) if text is not None else r.arguments, "depends_on": list(r.depends_on), "id": r.call_id, "name": r.name, "result": r.content, "status": r.status}
-                messages.append(canonical({k: v for k, v in held.items() if r.status != "orphan" or k in ("id", "result", "status")}))
+                messages.append(canonical({k: v for k, v in held.items() if r.status not in ("orphan", "early") or k in ("id", "result", "status")}))
             out = f[["conv_id", "order_key", "order_step", "position", "call_id", "status"]].copy()
             out["error"], out["message"] = pd.Series(errors, index=f.index, dtype="object"), messages
             yield out
