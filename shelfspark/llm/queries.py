@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, chat, katz, licenses, lines, lsm, mixing, quality, simhash, topk
-from shelfspark.llm.common import fold, materialise
+from shelfspark.llm import bpe, chat, katz, licenses, lines, lsm, mixing, quality, runs, simhash, topk
+from shelfspark.llm.common import WORD, fold, materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,6 +163,27 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 20
 """
 
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words, g = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.floor(hashed / 10)
+    n = F.size("words").cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    repeated = F.array_join(F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.element_at("words", (a + (i - a) % p + 1).cast("int")))), " ")
+    # Only every tenth text is split here; the others go on as they are.
+    planted = docs.withColumn("words", F.when(hashed % 10 == 0, words)).withColumn("text", F.when(n > 0, repeated).otherwise(F.col("text"))).drop("words")
+    found = runs.periodic_runs(planted).drop("text")
+    order = F.expr("array_sort(runs, (a, b) -> CASE WHEN a.length <> b.length THEN CAST(sign(b.length - a.length) AS INT) WHEN a.start <> b.start THEN CAST(sign(a.start - b.start) AS INT) ELSE CAST(sign(a.period - b.period) AS INT) END)")
+    best = F.get(order, F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -174,6 +195,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_lines": op9_lines,
     "op10_topk": op10_topk,
+    "op13_runs": op13_runs,
 }
 
 ORACLE_SQL = {"op3_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL, "op10_topk": OP10_SQL}
