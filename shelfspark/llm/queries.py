@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, chat, katz, licenses, lines, lsm, mixing, quality, runs, simhash, topk
+from shelfspark.llm import bpe, chat, katz, licenses, lines, lsm, mixing, negatives, quality, runs, simhash, topk, toxicity
 from shelfspark.llm.common import WORD, fold, materialise
 
 
@@ -164,6 +164,40 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), label=moved)
+
+
+OP11_SQL = r"""
+WITH valid AS (
+  SELECT row_number() OVER () AS place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.place, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM valid a JOIN valid c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS number FROM scored WHERE same
+  QUALIFY number <= 5),
+pairs AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.place, p.number ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.place = p.place AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM pairs WHERE rank <= 5
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.classify(docs, lexicon).drop("text")
+    held_out = fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -195,7 +229,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_lines": op9_lines,
     "op10_topk": op10_topk,
+    "op11_negatives": op11_negatives,
+    "op12_toxicity": op12_toxicity,
     "op13_runs": op13_runs,
 }
 
-ORACLE_SQL = {"op3_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL, "op10_topk": OP10_SQL}
+ORACLE_SQL = {"op3_mix": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op8_chat": OP8_SQL, "op10_topk": OP10_SQL, "op11_negatives": OP11_SQL}
