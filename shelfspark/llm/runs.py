@@ -37,7 +37,7 @@ from shelfspark.llm.common import SPACES, small_batches
 #: A run has at least so many words, and at least two periods.
 LEAST = 12
 #: Words of a batch that are searched at once; a longer document is searched alone.
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 100_000
 #: Seeds that are listed at once.
 SEEDS_AT_ONCE = 1 << 20
 RUNS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "period")]))
