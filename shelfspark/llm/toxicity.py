@@ -6,8 +6,8 @@ Whatever isn't a letter then separates words.
 
 The lexicon is learned: a term is a word, or the first letters of words, that is in significantly more toxic documents than
 by chance (G-test of document counts); its weight is its log odds ratio. Where several terms match at one word, the
-strongest counts. Exception phrases are given, or learned: two words with a term in them that don't tell toxic documents,
-and among the documents with that term are significantly more often in clean ones. A term within an exception doesn't count,
+strongest counts. Exception phrases are given, or learned: two words with a term in them, or a longer word that starts with
+one, that don't tell toxic documents, and among the documents with that term are significantly more often in clean ones. A term within an exception doesn't count,
 neither in a text nor, once the exceptions are known, for its weight. A document's density is the sum of its weights for each word, with
 LENGTH words added, and a logistic curve of the density's logarithm is the score. The curve is fitted with each document
 left out of its own terms' counts, since a rare word of one toxic document would prove itself otherwise.
@@ -43,7 +43,7 @@ ROWS = 20_000
 #: Learned from: rows outside this fold.
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: First letters of longer words that can be a term.
+#: First letters of words that can be a term.
 STEMS = range(4, 11)
 #: Terms of the lexicon, the strongest by evidence; least evidence (about one in 10,000 by chance).
 TERMS, EVIDENCE = 20_000, 15.0
@@ -184,11 +184,11 @@ class Matcher:
 
 
 def terms_of(words: list[str]) -> set[str]:
-    """What a document counts for: its words, and the first letters of longer ones."""
+    """What a document counts for: its words, and their first letters."""
     out = set()
     for w in set(words):
         out.add(f" {w} ")
-        out.update(f" {w[:k]}" for k in STEMS if k < len(w))
+        out.update(f" {w[:k]}" for k in STEMS if k <= len(w))
     return out
 
 
@@ -260,7 +260,8 @@ def _terms(sample: DataFrame, lexicon: Lexicon) -> dict[str, tuple[int, int]]:
 
 
 def _phrases(sample: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
-    """Two words with a term in them that clean documents hold more often than the term, and that don't tell toxic ones."""
+    """Two words with a term in them, or a longer word that starts with one, that clean documents hold more often than the
+    term, and that don't tell toxic ones."""
     held: list[Matcher] = []
 
     def near(body: str, label: int) -> set[str]:
@@ -269,6 +270,8 @@ def _phrases(sample: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
         words, out = folded(body), set()
         for at, (term, _) in held[0].hits(words).items():
             out.update(f"{' '.join(words[i : i + 2])}\t{term}" for i in (at - 1, at) if 0 <= i < len(words) - 1)
+            if not term.endswith(" "):
+                out.add(f"{words[at]}\t{term}")
         return out
 
     p, n = float(lexicon.toxic), float(lexicon.clean)

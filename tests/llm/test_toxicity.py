@@ -35,7 +35,7 @@ def learned(spark):
 
 
 def spared(words, i, lexicon):
-    return any(words[j : j + 2] == p.split() for p in lexicon.phrases for j in (i - 1, i) if j >= 0)
+    return any(words[j : j + len(p)] == p for p in map(str.split, lexicon.phrases) for j in range(max(0, i - len(p) + 1), i + 1))
 
 
 def test_folding():
@@ -79,6 +79,25 @@ def test_counts_equal_brute_force(learned):
         assert (t, c) == tuple(sum(h for h, x in has if x == k) for k in (1, 0))
 
 
+def test_terms_of_a_document():
+    assert toxicity.terms_of(["abcd", "abcdef", "abc"]) == {" abcd ", " abcd", " abcdef ", " abcde", " abcdef", " abc "}
+
+
+def test_a_mild_word_that_shares_a_stem(spark):
+    # Words that start with "grumpel" tell toxic documents, but "grumpelo" doesn't, and neither does "grumpel soup".
+    rng = random.Random(2)
+    rows = []
+    for i in range(1200):
+        kind = i % 4
+        word = f"grumpel{rng.choice('abcdefghijkmn')}{rng.choice('aeu')} end" if kind < 2 else "grumpelo more" if kind == 2 and i % 3 == 0 else "grumpel soup" if kind == 2 and i % 3 == 1 else "nothing else"
+        rows.append((i, f"w{i % 7} {word}", int(kind < 2)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lexicon = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert {"grumpeio", "grumpei soup"} <= set(lexicon.phrases)
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, lexicon).collect()}
+    assert all((got[i] >= toxicity.THRESHOLD) == bool(x) for i, _, x in rows)
+
+
 def test_evidence_is_the_statistic_of_the_table():
     a, b, c, d = 8.5, 1.5, 32.5, 230.5
     n = a + b + c + d
