@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.semantics import nearest
+
 # Sentences with printf places.
 DEMAND = (
     "La prévision est basée sur les ventes récentes du produit. La demande hebdomadaire la plus probable est estimée à %.0f unités. "
@@ -46,8 +50,17 @@ REASONS = {
 }
 
 
+_place = re.compile(r"%(?:\.(\d))?([dfs%])")
+
+# Answers for products without enough sales.
+NO_SALES = "Pas de ventes pour ce produit."
+SHORT_HISTORY = "Historique insuffisant (<4 semaines) pour %s ML."
+
+
 def say(template: str, *values: Column) -> Column:
-    return F.format_string(template, *values)
+    """The template with its places filled; numbers with decimals are rounded as Python does before they are written."""
+    kinds = [m for m in _place.findall(template) if m[1] != "%"]
+    return F.format_string(template, *[nearest(v.cast("double"), int(digits)) if kind == "f" else v for v, (digits, kind) in zip(values, kinds, strict=True)])
 
 
 def reason(feature: Column) -> Column:

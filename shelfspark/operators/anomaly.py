@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.selection import exact_quantiles
 from shelfspark.functions.semantics import latest_per_group, ratio
 from shelfspark.functions.texts import ANOMALY, NOT_OK, SHOCK, TOO_LOW, reason, say
 
@@ -35,11 +36,17 @@ def training_dataset(prices: DataFrame, products: DataFrame, order: list[str]) -
 
 def serving_rows(prices: DataFrame, products: DataFrame, order: list[str]) -> DataFrame:
     """Rows to score: gaps of first observations are the product's median gap (else 0); the ratio's divisor is 1e-6 at
-    least. Rows without a price are left out."""
+    least. Rows without a price have a null ratio."""
     joined = prices.join(products.select("product_id", "current_price"), "product_id")
-    rows = _series(joined, order).withColumn("log_ratio", _log(F.col("competitor_price") / F.greatest("current_price", F.lit(1e-6))))
+    rows = _series(joined, order).withColumn("log_ratio", F.when(F.col("competitor_price").isNotNull(), _log(F.col("competitor_price") / F.greatest("current_price", F.lit(1e-6)))))
     gaps = F.median("gap_hours").over(Window.partitionBy("product_id"))
-    return rows.withColumn("gap_hours", F.coalesce("gap_hours", gaps, F.lit(0.0))).filter(F.col("competitor_price").isNotNull())
+    return rows.withColumn("gap_hours", F.coalesce("gap_hours", gaps, F.lit(0.0)))
+
+
+def fill_gaps(rows: DataFrame) -> DataFrame:
+    """gap_hours of first observations become the median over all rows, or 0 where there is none."""
+    median = exact_quantiles(rows, "gap_hours", [0.5])[0]
+    return rows.withColumn("gap_hours", F.coalesce("gap_hours", F.lit(0.0 if median is None else median)))
 
 
 def statistics(rows: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def most_unusual(rows: DataFrame, stats: DataFrame) -> DataFrame:
 
 def explain_scores(scored: DataFrame, stats: DataFrame, threshold: DataFrame, order: list[str]) -> DataFrame:
     """The latest row of each competitor whose score is below the threshold, by product as an array of findings. Products
-    without findings have an empty array."""
+    without findings have an empty array; a latest row without a score (it has no price) gives no finding."""
     latest = latest_per_group(scored, ["product_id", "competitor_id"], order)
     rows = most_unusual(latest, stats).crossJoin(F.broadcast(threshold))
     low = F.col("score") < F.col("threshold")

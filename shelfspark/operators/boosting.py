@@ -1,80 +1,249 @@
-"""Gradient boosting for quantiles, and scoring with the trees as a broadcast table.
+"""Gradient boosting for quantiles over a distributed table, and scoring with the trees as a broadcast table.
 
 Each tree of depth 3 is fitted to the gradient of the quantile loss on binned features; its leaves are the quantiles of
-the residuals (Friedman 2001). Fitting uses all rows, in one task for each quantile, so it takes as long and as much
-memory as the table has rows; scoring is a vectorised map over all rows.
+the residuals (Friedman 2001). All rows are fitted, by tasks that each hold one part of them as bin numbers and run
+together in one barrier stage. For each level of the trees of all quantiles, a task counts its rows by node, feature, bin
+and side of the guess; the first task adds the counts up, and all find the same split. Leaf values come from counts of
+residuals, first in coarse ranges, then in fine ones within the range that holds the quantile. What is exchanged are whole
+numbers and bounds, so the trees are the same however rows are dealt, and its size depends on bins and leaves alone. Spark's
+own exchange between barrier tasks takes a second each time, so it passes on only where the first task can be reached.
+
+A lost task makes Spark run the stage again, from the same input and with the same result. A barrier stage needs as many
+free cores as it has tasks, so a fit takes at most TASKS of them, and dynamic allocation has to be off (as Spark demands).
 """
 
 from __future__ import annotations
 
+import secrets
+import socket
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext, Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS, DEPTH, RATE = 64, 3, 0.05
 ALPHAS = (0.1, 0.5, 0.9)
 DEMAND_TREES, PRICE_TREES = 300, 400
-NODES = 2**DEPTH - 1
+NODES, LEAVES = 2**DEPTH - 1, 2**DEPTH
+#: Ranges of residuals that are counted at once; two rounds tell values apart that differ by their spread / RANGES^2.
+RANGES = 1024
+#: Tasks of a fit, at most: the first receives what all others send, some 100 KB for each level.
+TASKS = 64
 MODEL = "alpha double, tree int, feature array<int>, threshold array<double>, value array<double>"
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+class Peers:
+    """The tasks of a fit. The first one adds up what the others send and answers them all; by default there is one task."""
+
+    def __init__(self, links: list[socket.socket] | None = None, first: bool = True):
+        self.links, self.first = links or [], first
+
+    @classmethod
+    def of(cls, context: BarrierTaskContext) -> Peers:
+        """Connect the tasks of a barrier stage. The first one's address and a token go through the barrier."""
+        rank, tasks = context.partitionId(), len(context.getTaskInfos())
+        if tasks == 1:
+            return cls()
+        host, listener, token = context.getTaskInfos()[0].address.rsplit(":", 1)[0].strip("[]"), None, secrets.token_hex(16)
+        if rank == 0:
+            listener = socket.create_server((host, 0), backlog=tasks)
+        port, token = context.allGather(f"{listener.getsockname()[1]} {token}" if listener else "")[0].split()
+        links = []
+        if listener is None:
+            links.append(socket.create_connection((host, int(port))))
+            links[0].sendall(token.encode())
+        while listener is not None and len(links) < tasks - 1:
+            link, _ = listener.accept()
+            if secrets.compare_digest(_received(link, len(token)), token.encode()):
+                links.append(link)
+        for link in links:
+            link.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        return cls(links, rank == 0)
+
+    def total(self, counts: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of `counts` over the tasks, and the greatest of each of `bounds`."""
+        sums, most = counts.astype(np.int64).ravel(), np.zeros(0) if bounds is None else bounds.astype(np.float64)
+        size = 8 * (len(sums) + len(most))
+        if not self.first:
+            self.links[0].sendall(sums.tobytes() + most.tobytes())
+            found = _received(self.links[0], size)
+            sums, most = np.frombuffer(found, np.int64, len(sums)), np.frombuffer(found, np.float64, len(most), 8 * len(sums))
+        else:
+            for link in self.links:
+                found = _received(link, size)
+                sums = sums + np.frombuffer(found, np.int64, len(sums))
+                most = np.maximum(most, np.frombuffer(found, np.float64, len(most), 8 * len(sums)))
+            for link in self.links:
+                link.sendall(sums.tobytes() + most.tobytes())
+        return sums.reshape(counts.shape), most
+
+
+def _received(link: socket.socket, size: int) -> bytes:
+    out = bytearray(size)
+    view, at = memoryview(out), 0
+    while at < size:
+        if not (n := link.recv_into(view[at:])):
+            raise ConnectionError("another task of the fit has ended")
+        at += n
+    return bytes(out)
+
+
+@dataclass
+class Part:
+    """Values in groups 0 .. groups - 1, all of them between `low` and `high` (which hold for the values of all tasks)."""
 
+    values: np.ndarray
+    group: np.ndarray | int
+    groups: int
+    low: float
+    high: float
 
-def fit_trees(x: np.ndarray, y: np.ndarray, alpha: float, trees: int, rate: float = RATE) -> tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """The first guess, and of each tree its features, thresholds (go right above) and leaf values, already times `rate`."""
+
+def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Of each group of each part the values at `fractions` (groups, k) of its order, interpolated within a range of
+    (high - low) / RANGES^2; with `exact`, one more round gives the value itself where a range holds a single one. NaN for
+    empty groups."""
+    groups, k = fractions.shape
+    low, high = (np.repeat([getattr(p, side) for p in parts], [p.groups for p in parts]) for side in ("low", "high"))
+    scaled, keys, before = [], [], 0
+    for p in parts:
+        x = (p.values - p.low) * (RANGES / (p.high - p.low) if p.high > p.low else 0.0)
+        coarse = np.minimum(x.astype(np.int64), RANGES - 1)
+        scaled.append(x - coarse)
+        keys.append((p.group + before) * RANGES + coarse)
+        before += p.groups
+    counts, _ = peers.total(sum(np.bincount(key, minlength=groups * RANGES) for key in keys).reshape(groups, RANGES))
+    ends = counts.cumsum(axis=1)
+    number = ends[:, -1:]
+    rank = fractions * np.maximum(number - 1, 0)
+    picked = np.minimum((ends[:, None, :] <= np.floor(rank)[:, :, None]).sum(axis=2), RANGES - 1)
+    rest = rank - np.take_along_axis(ends - counts, picked, axis=1)
+    # Ranges that hold a quantile are counted once more, in finer ones. Several quantiles of a group may share one.
+    wanted, mine = np.unique(np.arange(groups)[:, None] * RANGES + picked, return_inverse=True)
+    mine = mine.reshape(groups, k)
+    slot = np.full(groups * RANGES, -1, dtype=np.int64)
+    slot[wanted] = np.arange(len(wanted))
+    own = [slot[key] for key in keys]
+    held = [np.flatnonzero(o >= 0) for o in own]
+    finer = np.concatenate([o[h] * RANGES + np.minimum((x[h] * RANGES).astype(np.int64), RANGES - 1) for o, h, x in zip(own, held, scaled, strict=True)])
+    counts, _ = peers.total(np.bincount(finer, minlength=len(wanted) * RANGES).reshape(len(wanted), RANGES))
+    ends = counts.cumsum(axis=1)
+    at = np.minimum((ends[mine] <= np.floor(rest)[:, :, None]).sum(axis=2), RANGES - 1)
+    inside = rest - (ends[mine, at] - counts[mine, at])
+    step = ((high - low) / RANGES**2)[:, None]
+    out = low[:, None] + (picked * RANGES + at + (inside + 0.5) / (np.maximum(counts[mine, at], 1) + 0.5)) * step
+    if exact:
+        # The least and greatest value in each range that holds a quantile.
+        order, name = np.unique(mine * RANGES + at, return_inverse=True)
+        place = np.searchsorted(order, finer)
+        among = np.flatnonzero(np.take(order, place, mode="clip") == finer)
+        values = np.concatenate([p.values[h] for p, h in zip(parts, held, strict=True)])[among]
+        bounds = np.full((2, len(order)), -np.inf)
+        np.maximum.at(bounds[0], place[among], -values)
+        np.maximum.at(bounds[1], place[among], values)
+        _, bounds = peers.total(np.zeros(0), bounds.ravel())
+        first, last = (x[name.reshape(groups, k)] for x in (-bounds[: len(order)], bounds[len(order) :]))
+        out = np.where(first == last, first, np.clip(out, first, last))
+    return np.where(number > 0, out, np.nan)
+
+
+def _splits(counts: np.ndarray, alpha: float, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each node whether it splits, the feature and the last bin that goes left. `counts`: node, side of the guess (0:
+    above), feature, bin. A row above the guess has gradient alpha, another one alpha - 1."""
+    left = counts.cumsum(axis=3)
+    n = left.sum(axis=1).astype(np.float64)
+    s = alpha * n - left[:, 1]
+    n_all, s_all = n[:, :, -1:], s[:, :, -1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = s * s / n + (s_all - s) ** 2 / (n_all - n) - s_all * s_all / n_all
+    gain = np.where((n > 0) & (n < n_all) & usable, gain, -np.inf).reshape(len(counts), -1)
+    at = gain.argmax(axis=1)
+    return gain[np.arange(len(at)), at] > 1e-12, at // BINS, at % BINS
+
+
+def grow(x: np.ndarray, y: np.ndarray, alphas: tuple[float, ...], trees: int, peers: Peers, rate: float = RATE) -> list[tuple[float, list[Tree]]]:
+    """For each quantile the first guess, and of each tree its features, thresholds (go right above) and leaf values, already
+    times `rate`. `x` (rows, features) and `y` are this task's rows."""
     n, width = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
-    codes = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
-    start = float(np.quantile(y, alpha))
-    guess, found = np.full(n, start), []
+    everything = np.concatenate((x, y[:, None]), axis=1)
+    most = np.stack((-everything, everything)).max(axis=1) if n else np.full((2, width + 1), -np.inf)
+    count, most = peers.total(np.array([n]), most.ravel())
+    if not count[0]:
+        return []
+    low, high = -most[: width + 1], most[width + 1 :]
+    cuts = np.tile(np.arange(1, BINS) / BINS, (width, 1))
+    edges = [np.unique(e) for e in quantiles(peers, [Part(x[:, j], 0, 1, low[j], high[j]) for j in range(width)], cuts, exact=True)]
+    codes = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
+    usable = np.arange(BINS)[None, :] < np.array([len(e) for e in edges])[:, None]
+    starts = quantiles(peers, [Part(y, 0, 1, low[-1], high[-1])], np.array([alphas]), exact=True)[0]
+    rest = [y - s for s in starts]
+    found: list[tuple[float, list[Tree]]] = [(float(s), []) for s in starts]
     for _ in range(trees):
-        gradient = np.where(y > guess, alpha, alpha - 1.0)
-        feature, threshold = np.zeros(NODES, dtype=np.int32), np.full(NODES, np.inf)
-        node = np.zeros(n, dtype=np.int64)
+        sides = [(r <= 0).astype(np.int64) for r in rest]
+        node = [np.zeros(n, dtype=np.int64) for _ in alphas]
+        feature = np.zeros((len(alphas), NODES), dtype=np.int32)
+        cut = np.full((len(alphas), NODES), BINS, dtype=np.int64)
+        bounds = np.array([[-r.min(), r.max()] if n else [-np.inf] * 2 for r in rest])
         for level in range(DEPTH):
             first, wide = 2**level - 1, 2**level
-            best = np.full(wide, 1e-12)
-            for j in range(width):
-                key = (node - first) * BINS + codes[:, j]
-                count = np.bincount(key, minlength=wide * BINS).reshape(wide, BINS).cumsum(axis=1)
-                total = np.bincount(key, weights=gradient, minlength=wide * BINS).reshape(wide, BINS).cumsum(axis=1)
-                n_all, s_all = count[:, -1:], total[:, -1:]
-                left_n, left_s = count[:, :-1], total[:, :-1]
-                right_n = n_all - left_n
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = left_s**2 / left_n + (s_all - left_s) ** 2 / right_n - s_all**2 / n_all
-                gain = np.where((left_n > 0) & (right_n > 0), gain, -np.inf)[:, : len(edges[j])]
-                if not gain.shape[1]:
-                    continue
-                at = gain.argmax(axis=1)
-                top = gain[np.arange(wide), at]
-                better = top > best
-                best[better] = top[better]
-                feature[first : first + wide][better] = j
-                threshold[first : first + wide][better] = edges[j][at[better]]
-            node = 2 * node + 1 + (x[np.arange(n), feature[node]] > threshold[node])
-        leaf, value = node - NODES, np.zeros(NODES + 1)
-        rest = y - guess
-        for k in np.unique(leaf):
-            value[k] = rate * np.quantile(rest[leaf == k], alpha)
-        guess = guess + value[leaf]
-        found.append((feature, threshold, value))
-    return start, found
-
-
-def fit(rows: DataFrame, features: list[str], target: str, trees: int, key: tuple[str, ...] = ("product_id", "week"), alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
-    """Training rows to a table of trees (alpha, tree, feature, threshold, value); tree -1 holds the first guess."""
+            counts = np.zeros((len(alphas), width, wide * 2 * BINS), dtype=np.int64)
+            for a in range(len(alphas)):
+                key = ((node[a] - first) * 2 + sides[a]) * BINS
+                for j in range(width):
+                    counts[a, j] = np.bincount(key + codes[j], minlength=wide * 2 * BINS)
+            counts, most = peers.total(counts, bounds.ravel() if level == 0 else None)
+            if level == 0:
+                bounds = most.reshape(-1, 2)
+            for a, alpha in enumerate(alphas):
+                split, f, b = _splits(counts[a].reshape(width, wide, 2, BINS).transpose(1, 2, 0, 3), alpha, usable)
+                right = np.zeros(n, dtype=bool)
+                for k in np.flatnonzero(split):
+                    feature[a, first + k], cut[a, first + k] = f[k], b[k]
+                    right |= (codes[f[k]] > b[k]) & (node[a] == first + k)
+                node[a] = 2 * node[a] + 1 + right
+        parts = [Part(rest[a], node[a] - NODES, LEAVES, -bounds[a, 0], bounds[a, 1]) for a in range(len(alphas))]
+        value = rate * np.nan_to_num(quantiles(peers, parts, np.repeat(alphas, LEAVES)[:, None])[:, 0]).reshape(len(alphas), LEAVES)
+        for a in range(len(alphas)):
+            rest[a] -= value[a][node[a] - NODES]
+            threshold = np.array([edges[f][c] if c < BINS else np.inf for f, c in zip(feature[a], cut[a], strict=True)])
+            found[a][1].append((feature[a], threshold, value[a]))
+    return found
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, alpha: float, trees: int, rate: float = RATE) -> tuple[float, list[Tree]]:
+    """One quantile, with all rows in one place."""
+    return grow(x, y, (alpha,), trees, Peers(), rate)[0]
+
+
+def fit(rows: DataFrame, features: list[str], target: str, trees: int, key: tuple[str, ...] = ("product_id", "week"), alphas: tuple[float, ...] = ALPHAS, tasks: int | None = None) -> DataFrame:
+    """Training rows to a table of trees (alpha, tree, feature, threshold, value); tree -1 holds the first guess. Rows with a
+    null are left out; without rows the table is empty."""
     wanted = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("y"), F.xxhash64(*key).alias("h")).na.drop()
-    per_alpha = wanted.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
+    tasks = tasks or min(rows.sparkSession.sparkContext.defaultParallelism, TASKS)
 
-    def train(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["h", "y"])
-        start, found = fit_trees(part[[f"x{i}" for i in range(len(features))]].to_numpy(), part["y"].to_numpy(), group[0], trees)
-        out = [(group[0], -1, [], [], [start])] + [(group[0], t, f.tolist(), th.tolist(), v.tolist()) for t, (f, th, v) in enumerate(found)]
-        return pd.DataFrame(out, columns=["alpha", "tree", "feature", "threshold", "value"])
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]], axis=1) for b in batches]
+        held = np.concatenate(parts) if parts else np.zeros((0, len(features) + 1))
+        peers = Peers.of(BarrierTaskContext.get())
+        found = grow(np.ascontiguousarray(held[:, :-1]), held[:, -1].copy(), alphas, trees, peers)
+        for link in peers.links:
+            link.close()
+        if peers.first:
+            out = []
+            for alpha, (start, grown) in zip(alphas, found, strict=False):
+                out.append((alpha, -1, [], [], [start]))
+                out += [(alpha, t, f.tolist(), th.tolist(), v.tolist()) for t, (f, th, v) in enumerate(grown)]
+            kinds = [pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            names = ["alpha", "tree", "feature", "threshold", "value"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=names)
 
-    return per_alpha.groupBy("alpha").applyInPandas(train, MODEL)
+    return wanted.repartition(tasks, "h").mapInArrow(train, MODEL, barrier=True)
 
 
 class Ensemble:
@@ -108,9 +277,9 @@ def ensembles(model: DataFrame) -> dict[float, Ensemble]:
     return {a: Ensemble(rows) for a, rows in by_alpha.items()}
 
 
-def score(rows: DataFrame, features: list[str | Column], models: dict[float, Ensemble], names: dict[float, str]) -> DataFrame:
-    """Add a column for each quantile: max(0, prediction); null where a feature is null."""
-    shared = rows.sparkSession.sparkContext.broadcast({a: models[a] for a in names})
+def score(rows: DataFrame, features: list[str | Column], models: dict[float, Ensemble] | Broadcast, names: dict[float, str]) -> DataFrame:
+    """Add a column for each quantile: max(0, prediction); null where a feature is null. `models` may be broadcast already."""
+    shared = models if isinstance(models, Broadcast) else rows.sparkSession.sparkContext.broadcast({a: models[a] for a in names})
     order = list(names)
 
     def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.functions.texts import NO_SALES, SHORT_HISTORY
 from shelfspark.operators.weekly import competitor_week_median, promo_weeks, weekly_sales_price
 
 LAGS = ["lag_1", "lag_2", "lag_3", "lag_4"]
@@ -60,8 +61,14 @@ def promo_dataset(sales: DataFrame, competitor_prices: DataFrame, promotions: Da
 
 
 def serving_context(weekly: DataFrame, products: DataFrame, competitor_prices: DataFrame, promotions: DataFrame) -> DataFrame:
-    """serving_features with, for the product's last week with sales, the competitor median (else the current price) and
-    the promotion flag (else 0), and that week's number in the year."""
-    last = serving_features(weekly).filter("last_weeks = 4").withColumnRenamed("last_week", "week")
-    joined = last.join(competitor_week_median(competitor_prices), ["product_id", "week"], "left").join(promo_weeks(promotions), ["product_id", "week"], "left").join(products, "product_id")
+    """Of each product serving_features with, for its last week with sales, the competitor median (else the current price)
+    and the promotion flag (else 0), and that week's number in the year. Products without sales have a null week, those
+    with fewer than four weeks last_weeks below 4; their lags are null."""
+    last = products.join(serving_features(weekly).withColumnRenamed("last_week", "week"), "product_id", "left")
+    joined = last.join(competitor_week_median(competitor_prices), ["product_id", "week"], "left").join(promo_weeks(promotions), ["product_id", "week"], "left")
     return joined.withColumns({"comp_median": F.coalesce("comp_median", "current_price"), "promo_flag": F.coalesce("promo_flag", F.lit(0)), "weekofyear": F.weekofyear("week")})
+
+
+def history_error(model: str) -> Column:
+    """Why serving_context's row can't be answered by `model`: no sales, or fewer than four weeks; null where it can."""
+    return F.when(F.col("week").isNull(), NO_SALES).when(F.col("last_weeks") < 4, SHORT_HISTORY % model)

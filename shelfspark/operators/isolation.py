@@ -10,9 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.functions.selection import exact_quantiles
+
 TREES, SAMPLE, DEPTH, CONTAMINATION, SEED = 400, 256, 8, 0.05, 42
 NODES = 2 ** (DEPTH + 1) - 1
 MODEL = "tree int, feature array<int>, threshold array<double>, path array<double>, sampled int"
@@ -90,19 +93,21 @@ def forest(model: DataFrame) -> Forest:
     return Forest(model.collect())
 
 
-def score(rows: DataFrame, features: list[str], model: Forest, out: str = "raw_score") -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def score(rows: DataFrame, features: list[str], model: Forest | Broadcast, out: str = "raw_score") -> DataFrame:
+    """Add the score; null where a feature is null."""
+    shared = model if isinstance(model, Broadcast) else rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            yield pd.Series(shared.value.score(np.stack([c.to_numpy(dtype=np.float64) for c in columns], axis=1)))
+            x = np.stack([c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns], axis=1)
+            bad = np.isnan(x).any(axis=1)
+            yield pd.Series(shared.value.score(np.where(bad[:, None], 0.0, x))).mask(bad)
 
     udf = F.pandas_udf(run, "double", functionType=F.PandasUDFType.SCALAR_ITER)
     return rows.withColumn(out, udf(*[F.col(c).cast("double") for c in features]))
 
 
-def decision(scored: DataFrame, contamination: float = CONTAMINATION) -> tuple[DataFrame, DataFrame]:
-    """Scores relative to their quantile at `contamination`, and the threshold (one row): that quantile of them."""
-    offset = scored.agg(F.percentile("raw_score", F.lit(contamination)).alias("offset"))
-    moved = scored.crossJoin(F.broadcast(offset)).withColumn("score", F.col("raw_score") - F.col("offset")).drop("offset", "raw_score")
-    return moved, moved.agg(F.percentile("score", F.lit(contamination)).alias("threshold"))
+def decision(scored: DataFrame, contamination: float = CONTAMINATION) -> tuple[DataFrame, float]:
+    """Scores relative to their quantile at `contamination`, and that quantile."""
+    offset = exact_quantiles(scored, "raw_score", [contamination])[0]
+    return scored.withColumn("score", F.col("raw_score") - F.lit(offset)).drop("raw_score"), offset

@@ -10,12 +10,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.functions.semantics import argmax_first
-from shelfspark.functions.texts import PRICE_ML, PROMO_BY, PROMO_ML, PROMO_NONE, RESTOCK_ML, say
+from shelfspark.functions.semantics import argmax_first, argmin_first, nearest
+from shelfspark.functions.texts import NO_SALES, PRICE_ML, PROMO_BY, PROMO_ML, PROMO_NONE, RESTOCK_ML, say
+from shelfspark.operators.features import history_error
 
 PRICE_STEPS = 25
 DISCOUNTS = [0.0, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30]
@@ -42,15 +43,20 @@ def price_candidates(context: DataFrame) -> DataFrame:
     return grid.withColumn("price", price)
 
 
+def _with_error(context: DataFrame, model: str) -> DataFrame:
+    return context.withColumn("error", history_error(model) if {"week", "last_weeks"} <= set(context.columns) else F.lit(None).cast("string"))
+
+
 def optimise_price(context: DataFrame, demand: Demand) -> DataFrame:
-    """The candidate with the greatest profit, the lowest of equal ones, against the current price."""
-    rows = demand(price_candidates(context)).withColumn("profit", (F.col("price") - F.col("cost_price")) * F.col("q50"))
+    """The candidate with the greatest profit, the lowest of equal ones, against the current price. Products without enough
+    weeks of sales have the error, and null in all else."""
+    rows = demand(price_candidates(_with_error(context, "pricing"))).withColumn("profit", (F.col("price") - F.col("cost_price")) * F.col("q50"))
     grid = F.col("candidate") >= 0
     at = F.when(grid, F.struct("price", "q10", "q50", "q90", "profit"))
     best = rows.groupBy("product_id").agg(
         F.max_by(at, F.when(grid, F.struct("profit", -F.col("candidate")))).alias("best"),
         F.max(F.when(~grid, F.struct("q50", "profit"))).alias("now"),
-        *[F.first(c).alias(c) for c in ("low", "high", "current_price", "comp_median", "promo_flag")],
+        *[F.first(c).alias(c) for c in ("low", "high", "current_price", "comp_median", "promo_flag", "error")],
     )
     price, cur = F.col("best.price"), F.col("current_price")
     direction = F.when(price > cur, "INCREASE").when(price < cur, "DECREASE").otherwise("KEEP")
@@ -58,7 +64,15 @@ def optimise_price(context: DataFrame, demand: Demand) -> DataFrame:
     price_pct = (price - cur) / F.greatest(cur, F.lit(1e-6)) * 100
     demand_pct = (F.col("best.q50") - F.col("now.q50")) / F.greatest(F.col("now.q50"), F.lit(1e-6)) * 100
     text = say(PRICE_ML, cur, price, direction, price_pct, F.col("comp_median"), F.col("promo_flag"), F.col("now.q50"), F.col("best.q50"), demand_pct, F.col("now.profit"), F.col("best.profit"), impact)
-    return best.select("product_id", F.struct(F.col("best.q10").alias("p10"), F.col("best.q50").alias("p50"), F.col("best.q90").alias("p90")).alias("demand_weekly"), price.alias("recommended_price"), F.struct("low", "high").alias("interval"), direction.alias("direction"), impact.alias("estimated_margin_impact_week"), text.alias("explanation"))
+    answer = {
+        "demand_weekly": F.struct(F.col("best.q10").alias("p10"), F.col("best.q50").alias("p50"), F.col("best.q90").alias("p90")),
+        "recommended_price": nearest(price, 2),
+        "interval": F.struct(nearest(F.col("low"), 2).alias("low"), nearest(F.col("high"), 2).alias("high")),
+        "direction": direction,
+        "estimated_margin_impact_week": nearest(impact, 4),
+        "explanation": text,
+    }
+    return best.select("product_id", *[F.when(F.col("error").isNull(), v).alias(k) for k, v in answer.items()], "error")
 
 
 def promo_candidates(context: DataFrame) -> DataFrame:
@@ -70,20 +84,31 @@ def promo_candidates(context: DataFrame) -> DataFrame:
 
 def optimise_promo(context: DataFrame, demand: Demand) -> DataFrame:
     """The discount that sells most (if stock is above its limit) or earns most. Products without a feasible one keep their
-    price; for them demand_weekly is null and estimated_impact is 0."""
+    price; for them demand_weekly is null and estimated_margin_week is 0. Products without sales, or with a feasible discount
+    but too few weeks of sales, have the error, and null in all else."""
+    context = _with_error(context, "promo")
     rows = demand(promo_candidates(context)).withColumn("margin", (F.col("promo_price") - F.col("cost_price")) * F.col("q50"))
     over = F.col("current_stock") > F.col("threshold_max")
     rows = rows.withColumn("score", F.when(over, F.col("q50")).otherwise(F.col("margin")))
     best = rows.groupBy("product_id").agg(argmax_first(F.struct("discount", "promo_price", "q10", "q50", "q90", "margin"), F.col("score"), F.col("candidate")).alias("b"))
-    out = context.select("product_id", "current_price", "min_price", over.alias("over")).join(best, "product_id", "left")
+    out = context.select("product_id", "current_price", "min_price", over.alias("over"), "error").join(best, "product_id", "left")
     none = F.col("b").isNull()
+    error = F.when(~none | (F.col("error") == NO_SALES), F.col("error"))
     price = F.coalesce("b.promo_price", "current_price")
-    low = F.when(none, F.col("current_price")).otherwise(F.greatest(F.col("min_price"), price * F.lit(0.95)))
-    high = F.when(none, F.col("current_price")).otherwise(price * F.lit(1.05))
+    low = F.when(none, F.col("current_price")).otherwise(nearest(F.greatest(F.col("min_price"), price * F.lit(0.95)), 2))
+    high = F.when(none, F.col("current_price")).otherwise(nearest(price * F.lit(1.05), 2))
     by = F.when(F.col("over"), PROMO_BY[0]).otherwise(PROMO_BY[1])
     text = F.when(none, PROMO_NONE).otherwise(say(PROMO_ML, by, F.col("b.discount") * 100, F.col("b.promo_price"), F.col("min_price"), F.col("b.q50"), F.col("b.margin")))
-    demand_weekly = F.when(~none, F.struct(F.col("b.q10").alias("p10"), F.col("b.q50").alias("p50"), F.col("b.q90").alias("p90")))
-    return out.select("product_id", F.coalesce(F.col("b.discount") > 0, F.lit(False)).alias("should_promote"), F.coalesce("b.discount", F.lit(0.0)).alias("recommended_discount"), price.alias("promo_price"), F.struct(low.alias("low"), high.alias("high")).alias("interval"), demand_weekly.alias("demand_weekly"), F.coalesce("b.margin", F.lit(0.0)).alias("estimated_margin_week"), text.alias("explanation"))
+    answer = {
+        "should_promote": F.coalesce(F.col("b.discount") > 0, F.lit(False)),
+        "recommended_discount": F.coalesce(nearest(F.col("b.discount"), 4), F.lit(0.0)),
+        "promo_price": F.when(none, F.col("current_price")).otherwise(nearest(price, 2)),
+        "interval": F.struct(low.alias("low"), high.alias("high")),
+        "demand_weekly": F.when(~none, F.struct(F.col("b.q10").alias("p10"), F.col("b.q50").alias("p50"), F.col("b.q90").alias("p90"))),
+        "estimated_margin_week": F.coalesce(nearest(F.col("b.margin"), 4), F.lit(0.0)),
+        "explanation": text,
+    }
+    return out.select("product_id", *[F.when(error.isNull(), v).alias(k) for k, v in answer.items()], error.alias("error"))
 
 
 @lru_cache(maxsize=1)
@@ -107,6 +132,20 @@ def _shortage(x: pd.Series, mu: pd.Series, sigma: pd.Series) -> pd.Series:
     return pd.Series(sigma.to_numpy(dtype=float) * mean_above((level - mu.to_numpy(dtype=float)) / sigma.to_numpy(dtype=float)))
 
 
+def lead_demand(products: DataFrame, demand: DataFrame, lead_days: int = 7) -> DataFrame:
+    """stock, least, most, p10, p50, p90, and mu and sigma of the demand over the lead time; without demand it is 0."""
+    d = demand.select("product_id", "p10", "p50", "p90")
+    rows = products.select("product_id", F.col("current_stock").cast("double").alias("stock"), F.col("threshold_min").cast("double").alias("least"), F.col("threshold_max").cast("double").alias("most")).join(d, "product_id", "left").na.fill(0.0, ["p10", "p50", "p90"])
+    lead = F.lit(lead_days / 7.0)
+    return rows.withColumns({"mu": F.col("p50") * lead, "sigma": F.greatest(F.lit(1e-6), (F.col("p90") - F.col("p10")) / F.lit(2.56)) * lead})
+
+
+def simulated(rows: DataFrame) -> DataFrame:
+    """Add the means of the shortage and the surplus over the simulated demand, for a stock of x."""
+    rows = rows.withColumn("short", _shortage("x", "mu", "sigma")).withColumn("mean_demand", _shortage(F.lit(0.0), "mu", "sigma"))
+    return rows.withColumn("over", F.greatest(F.lit(0.0), F.col("x") - F.col("mean_demand") + F.col("short")))
+
+
 def optimise_restock(products: DataFrame, demand: DataFrame, lead_days: int = 7) -> DataFrame:
     """The order quantity with the least expected cost over simulated demand.
 
@@ -116,29 +155,22 @@ def optimise_restock(products: DataFrame, demand: DataFrame, lead_days: int = 7)
     """
     z, _ = draws()
     rank = lambda a: float(z[-(-a * DRAWS // 16) - 1])
-    d = demand.select("product_id", "p10", "p50", "p90")
-    rows = products.select("product_id", F.col("current_stock").cast("double").alias("stock"), F.col("threshold_min").cast("double").alias("least"), F.col("threshold_max").cast("double").alias("most")).join(d, "product_id", "left").na.fill(0.0, ["p10", "p50", "p90"])
     lead = lead_days / 7.0
-    rows = rows.withColumns({"mu": F.col("p50") * F.lit(lead), "sigma": F.greatest(F.lit(1e-6), (F.col("p90") - F.col("p10")) / F.lit(2.56)) * F.lit(lead)})
+    rows = lead_demand(products, demand, lead_days)
     q_max = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col("mu") + 3 * F.col("sigma") + F.col("least") + 10))
     free, tight = (F.greatest(F.lit(0.0), F.col("mu") + F.col("sigma") * F.lit(rank(a))) for a in (15, 13))
     level = F.when(free <= F.col("most"), free).otherwise(F.greatest(tight, F.col("most")))
     rows = rows.withColumns({"q_max": q_max, "level": level - F.col("stock")})
     clamp = lambda q: F.greatest(F.lit(0).cast("bigint"), F.least(q, F.col("q_max")))
     tried = rows.withColumn("q", F.explode(F.array_distinct(F.array(clamp(F.floor("level")), clamp(F.ceil("level"))))))
-    tried = tried.withColumn("x", F.col("stock") + F.col("q")).withColumn("short", _shortage("x", "mu", "sigma")).withColumn("mean_demand", _shortage(F.lit(0.0), "mu", "sigma"))
-    tried = tried.withColumn("over", F.col("x") - F.col("mean_demand") + F.col("short"))
+    tried = simulated(tried.withColumn("x", F.col("stock") + F.col("q")))
     tried = tried.withColumn("cost", STOCKOUT_COST * F.col("short") + HOLDING_COST * F.col("over") + OVER_COST * F.greatest(F.lit(0.0), F.col("x") - F.col("most")))
     keep = ["stock", "least", "mu", "p10", "p90"]
-    best = tried.groupBy("product_id").agg(F.min_by(F.struct("q", "short", "over", "cost"), F.struct("cost", "q")).alias("b"), *[F.first(c).alias(c) for c in keep])
+    best = tried.groupBy("product_id").agg(argmin_first(F.struct("q", "short", "over", "cost"), F.col("cost"), F.col("q")).alias("b"), *[F.first(c).alias(c) for c in keep])
     zero = F.lit(0).cast("bigint")
     low = F.greatest(zero, F.floor(F.greatest(F.col("least"), F.col("p10") * F.lit(lead) + F.col("least")) - F.col("stock")))
     high = F.greatest(F.col("b.q"), F.ceil(F.greatest(F.col("least"), F.col("p90") * F.lit(lead) + F.col("least")) - F.col("stock")))
-    impact = F.struct(F.col("b.short").alias("expected_stockout_units"), F.col("b.over").alias("expected_overstock_units"), F.col("b.cost").alias("expected_cost"))
+    impact = F.struct(*[nearest(F.col(f"b.{c}"), 4).alias(k) for k, c in (("expected_stockout_units", "short"), ("expected_overstock_units", "over"), ("expected_cost", "cost"))])
     text = say(RESTOCK_ML, F.col("stock"), F.lit(lead_days), F.col("mu"), F.col("b.q"), F.col("b.short"), F.col("b.over"))
     return best.select("product_id", F.col("b.q").alias("recommended_qty"), F.struct(low.alias("low"), high.alias("high")).alias("interval"), F.lit(lead_days).alias("lead_time_days"), impact.alias("estimated_impact"), text.alias("explanation"))
 
-
-def normal_rank(sixteenths: int) -> Column:
-    """The order statistic of the draws that `optimise_restock` uses, for tests and SQL."""
-    return F.lit(float(draws()[0][-(-sixteenths * DRAWS // 16) - 1]))

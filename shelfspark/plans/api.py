@@ -5,13 +5,15 @@ Answers are frames over all products; `product_id` filters them, and the filter
 
 from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.functions.selection import exact_quantiles
 from shelfspark.functions.texts import BASELINE, DEMAND, NO_DATA, say
 from shelfspark.operators import anomaly, boosting, features, isolation, optimize, rules
 from shelfspark.operators.weekly import weekly_sales, weekly_sales_price
-from shelfspark.plans.registry import Registry, counts, stamp
+from shelfspark.plans.registry import Registry, counts
 
 QUANTILES = {0.1: "q10", 0.5: "q50", 0.9: "q90"}
 
@@ -25,26 +27,26 @@ def health() -> dict[str, str]:
 
 
 class Training:
-    """The training jobs. Each writes its tables and a report under one time stamp."""
+    """The training jobs. Each releases its tables and a report together, under one time stamp."""
 
     def __init__(self, spark: SparkSession, registry: Registry, order: list[str] | None = None):
         self.spark, self.registry, self.order = spark, registry, order or ["collected_at", "competitor_price", "status"]
 
     def train_all(self, t: dict[str, DataFrame], horizon_weeks: int = 4) -> str:
-        at = stamp()
-        self.registry.save("demand_weekly", rules.demand_baseline(weekly_sales(t["sales"]), horizon_weeks), at)
-        self.registry.save("price_rules", rules.price_rules(t["products"], t["competitor_prices"], self.order), at)
-        self.registry.save("restock_rules", rules.restock_rules(t["products"], t["product_suppliers"]), at)
-        self.registry.save("anomaly_rules", rules.anomaly_rules(self.spark), at)
-        self.registry.report("train", at, **{r["name"]: r["n"] for r in counts(t).collect()}, horizon_weeks=horizon_weeks)
-        return at
+        with self.registry.release() as out:
+            out.save("demand_weekly", rules.demand_baseline(weekly_sales(t["sales"]), horizon_weeks))
+            out.save("price_rules", rules.price_rules(t["products"], t["competitor_prices"], self.order))
+            out.save("restock_rules", rules.restock_rules(t["products"], t["product_suppliers"]))
+            out.save("anomaly_rules", rules.anomaly_rules(self.spark))
+            out.report("train", **{r["name"]: r["n"] for r in counts(t).collect()}, horizon_weeks=horizon_weeks)
+        return out.trained_at
 
     def _boosted(self, kind: str, rows: DataFrame, columns: list[str], trees: int) -> str:
-        at = stamp()
-        self.registry.save(kind, boosting.fit(rows, columns, "qty", trees), at)
-        n = rows.agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("p")).first()
-        self.registry.report(kind, at, feature_cols=columns, n_rows=n["n"], n_products=n["p"], lags=4)
-        return at
+        with self.registry.release() as out:
+            out.save(kind, boosting.fit(rows, columns, "qty", trees))
+            n = rows.agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("p")).first()
+            out.report(kind, feature_cols=columns, n_rows=n["n"], n_products=n["p"], lags=4)
+        return out.trained_at
 
     def train_demand(self, t: dict[str, DataFrame], trees: int = boosting.DEMAND_TREES) -> str:
         return self._boosted("demand_ml", features.training_features(weekly_sales(t["sales"])), features.DEMAND_FEATURES, trees)
@@ -56,21 +58,18 @@ class Training:
         return self._boosted("promo_ml", features.promo_dataset(t["sales"], t["competitor_prices"], t["promotions"]), features.PROMO_FEATURES, trees)
 
     def train_anomaly(self, t: dict[str, DataFrame], trees: int = isolation.TREES) -> str:
-        at = stamp()
         rows = anomaly.training_dataset(t["competitor_prices"], t["products"], self.order)
-        stats = anomaly.statistics(rows)
-        self.registry.save("anomaly_stats", stats, at)
-        stats = self.registry.latest("anomaly_stats")
         columns = [f"{c}_scaled" for c in anomaly.FEATURES]
-        z = anomaly.scaled(rows, stats)
-        self.registry.save("anomaly_forest", isolation.fit(z, columns, ["product_id", "competitor_id", *self.order], trees), at)
-        raw = isolation.score(z, columns, isolation.forest(self.registry.latest("anomaly_forest")))
-        offset = raw.agg(F.percentile("raw_score", F.lit(isolation.CONTAMINATION)).alias("offset"), F.count("*").alias("n")).first()
-        self.registry.report("anomaly_ml", at, feature_cols=anomaly.FEATURES, n_rows=offset["n"], offset=offset["offset"], score_threshold=0.0)
-        return at
+        with self.registry.release() as out:
+            stats = out.save("anomaly_stats", anomaly.statistics(rows))
+            z = anomaly.scaled(rows, stats)
+            model = out.save("anomaly_forest", isolation.fit(z, columns, ["product_id", "competitor_id", *self.order], trees))
+            offset = exact_quantiles(isolation.score(z, columns, isolation.forest(model)), "raw_score", [isolation.CONTAMINATION])[0]
+            out.report("anomaly_ml", feature_cols=anomaly.FEATURES, n_rows=rows.count(), offset=offset, score_threshold=0.0)
+        return out.trained_at
 
 
-def demand_cascade(products: DataFrame, weekly: DataFrame, baseline: DataFrame | None, models: dict[float, boosting.Ensemble] | None) -> DataFrame:
+def demand_cascade(products: DataFrame, weekly: DataFrame, baseline: DataFrame | None, models: dict[float, boosting.Ensemble] | Broadcast | None) -> DataFrame:
     """product_id, p10, p50, p90, source, explanation: of the model with four weeks of sales at least, or else of the
     baseline, or else zeros."""
     names = {0.1: "m10", 0.5: "m50", 0.9: "m90"}
@@ -96,8 +95,8 @@ class Inference:
     def __init__(self, spark: SparkSession, registry: Registry, order: list[str] | None = None):
         self.spark, self.registry, self.order = spark, registry, order or ["collected_at", "competitor_price", "status"]
 
-    def _models(self, kind: str) -> dict[float, boosting.Ensemble]:
-        return boosting.ensembles(self.registry.latest(kind))
+    def _models(self, kind: str) -> Broadcast:
+        return self.registry.load(kind, boosting.ensembles)
 
     @staticmethod
     def _only(df: DataFrame, product_id: int | None) -> DataFrame:
@@ -124,6 +123,7 @@ class Inference:
         return rules.stock_risk(self._requested(rule, product_id), self._only(self.registry.latest("demand_weekly"), product_id), self._only(rule, product_id))
 
     def price(self, t: dict[str, DataFrame], product_id: int | None = None) -> DataFrame:
+        """Products without four weeks of sales have the reason as error; so in promo."""
         products = self._known(t, product_id)
         parts = [self._only(t[n], product_id) for n in ("sales", "competitor_prices", "promotions")]
         context = features.serving_context(weekly_sales_price(parts[0]), products, parts[1], parts[2])
@@ -150,7 +150,7 @@ class Inference:
         report = self.registry.latest_report("anomaly_ml")
         stats = self.registry.latest("anomaly_stats")
         rows = anomaly.scaled(anomaly.serving_rows(self._only(t["competitor_prices"], product_id), products, self.order), stats).drop(*stats.columns)
-        raw = isolation.score(rows, [f"{c}_scaled" for c in anomaly.FEATURES], isolation.forest(self.registry.latest("anomaly_forest")))
+        raw = isolation.score(rows, [f"{c}_scaled" for c in anomaly.FEATURES], self.registry.load("anomaly_forest", isolation.forest))
         scored = raw.withColumn("score", F.col("raw_score") - F.lit(report["offset"]))
         threshold = self.spark.range(1).select(F.lit(float(report["score_threshold"])).alias("threshold"))
         found = anomaly.explain_scores(scored, stats, threshold, self.order)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.functions.semantics import argmax_first, latest_per_group, rounded
+from shelfspark.functions import texts
+from shelfspark.functions.selection import exact_quantiles
+from shelfspark.functions.semantics import argmax_first, argmin_first, latest_per_group, nearest, rounded
 from shelfspark.operators import anomaly, boosting, features, isolation, optimize, rules
 from shelfspark.operators.weekly import competitor_week_median, promo_weeks, weekly_sales, weekly_sales_price
 from shelfspark.plans import registry
@@ -43,15 +47,18 @@ CTES = {
 }
 
 
-def sql(select: str) -> str:
-    return "WITH " + RETAIL_CTES.strip() + ",\n" + ",\n".join(f"{name} AS ({body})" for name, body in CTES.items()) + "\n" + select
+def sql(select: str, before: str = "") -> str:
+    more = f",\n{before}" if before else ""
+    return "WITH " + RETAIL_CTES.strip() + ",\n" + ",\n".join(f"{name} AS ({body})" for name, body in CTES.items()) + more + "\n" + select
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, before: str = ""):
+    """Register a query with its SQL, which may use CTES and those in `before`."""
+
     def register(f):
         QUERIES[name] = f
         if oracle is not None:
-            ORACLE_SQL[name] = sql(oracle)
+            ORACLE_SQL[name] = sql(oracle, before)
         return f
 
     return register
@@ -61,6 +68,16 @@ def r4(name: str) -> str:
     return f"floor({name} * 1e4 + 0.5) / 1e4"
 
 
+def py(name: str, digits: int) -> str:
+    """Rounded as Python does: printing a double takes its exact value."""
+    return f"CAST(format('{{:.{digits}f}}', {name}) AS DOUBLE)"
+
+
+def printed(template: str, *values: str) -> str:
+    quoted = template.replace("'", "''")
+    return f"printf('{quoted}', {', '.join(values)})"
+
+
 def _weekly(spark: SparkSession, d: str) -> DataFrame:
     return weekly_sales_price(retail.sales(spark, d))
 
@@ -162,7 +179,7 @@ def _(spark, d):
 
 @query("serving_context", f"SELECT product_id, week, {r4('comp_median')} AS comp_median, promo_flag, CAST(weekofyear(week) AS INTEGER) AS weekofyear FROM context")
 def _(spark, d):
-    return features.serving_context(_weekly(spark, d), retail.products(spark, d), retail.competitor_prices(spark, d), retail.promotions(spark, d)).select("product_id", "week", rounded(F.col("comp_median")).alias("comp_median"), "promo_flag", "weekofyear")
+    return features.serving_context(_weekly(spark, d), retail.products(spark, d), retail.competitor_prices(spark, d), retail.promotions(spark, d)).filter("last_weeks = 4").select("product_id", "week", rounded(F.col("comp_median")).alias("comp_median"), "promo_flag", "weekofyear")
 
 
 @query("prev_price_delta", "SELECT product_id, competitor_id, collected_at, o_key, o_line, supplier, prev_price, delta_pct FROM moves")
@@ -204,7 +221,7 @@ def _(spark, d):
 
 @query("anomaly_serving_rows", f"SELECT product_id, competitor_id, collected_at, o_key, o_line, supplier, status_bad, {r4('ln(least(greatest(competitor_price / greatest(current_price, 1e-6), 1e-6), 1e6))')} AS log_ratio, {r4('delta_pct')} AS delta_pct, gap_hours FROM (SELECT * REPLACE (coalesce(gap_hours, median(gap_hours) OVER (PARTITION BY product_id), 0.0E0) AS gap_hours) FROM moves) WHERE competitor_price IS NOT NULL")
 def _(spark, d):
-    rows = anomaly.serving_rows(retail.competitor_prices(spark, d), retail.products(spark, d), TIES)
+    rows = anomaly.serving_rows(retail.competitor_prices(spark, d), retail.products(spark, d), TIES).filter("competitor_price IS NOT NULL")
     return rows.select("product_id", "competitor_id", "collected_at", "o_key", "o_line", "supplier", "status_bad", rounded(F.col("log_ratio")).alias("log_ratio"), rounded(F.col("delta_pct")).alias("delta_pct"), "gap_hours")
 
 
@@ -240,7 +257,9 @@ def _(spark, d):
     return rules.restock_rules(retail.products(spark, d), retail.product_suppliers(spark, d))
 
 
-_RISK = """SELECT product_id, risk, floor(probability * 1e4 + 0.5) / 1e4 AS probability, current_stock, threshold_min, threshold_max, floor(p50 * 1e4 + 0.5) / 1e4 AS demand_weekly_p50, floor(p90 * 1e4 + 0.5) / 1e4 AS demand_weekly_p90, lead_time_days FROM (
+_RISK = f"""SELECT product_id, risk, floor(probability * 1e4 + 0.5) / 1e4 AS probability, current_stock, threshold_min, threshold_max, floor(p50 * 1e4 + 0.5) / 1e4 AS demand_weekly_p50, floor(p90 * 1e4 + 0.5) / 1e4 AS demand_weekly_p90, lead_time_days,
+  CASE risk WHEN 'STOCKOUT' THEN {printed(texts.STOCKOUT, 'current_stock', 'p90 * (lead_time_days / 7.0E0)', 'after', 'threshold_min')} WHEN 'OVERSTOCK' THEN {printed(texts.OVERSTOCK, 'current_stock', 'threshold_max', 'p50 * 4')} ELSE {printed(texts.STOCK_OK, 'current_stock', 'threshold_min', 'threshold_max', 'p90 * (lead_time_days / 7.0E0)')} END AS explanation
+FROM (
   SELECT *, CASE WHEN after < threshold_min THEN 'STOCKOUT' WHEN current_stock > threshold_max + p50 * 4 THEN 'OVERSTOCK' ELSE 'OK' END AS risk,
     CASE WHEN after < threshold_min THEN least(0.95E0, 0.50E0 + (threshold_min - after) / greatest(1.0E0, CAST(threshold_min AS DOUBLE)))
       WHEN current_stock > threshold_max + p50 * 4 THEN least(0.90E0, 0.45E0 + (CAST(current_stock AS DOUBLE) - threshold_max) / greatest(1.0E0, CAST(threshold_max AS DOUBLE))) ELSE 0.10E0 END AS probability
@@ -252,7 +271,7 @@ def stock_risk(spark, d):
     """Flagship: sales to weekly demand to baseline, with the restock rules to a risk for each product."""
     products = retail.products(spark, d)
     out = rules.stock_risk(products, _baseline(spark, d), rules.restock_rules(products, retail.product_suppliers(spark, d)))
-    return out.drop("explanation").withColumns({c: rounded(F.col(c)) for c in ("probability", "demand_weekly_p50", "demand_weekly_p90")})
+    return out.withColumns({c: rounded(F.col(c)) for c in ("probability", "demand_weekly_p50", "demand_weekly_p90")})
 
 
 @query("lookup_missing_rule", "SELECT s.product_id, CASE WHEN r.product_id IS NULL THEN 'OK' ELSE 'known' END AS risk, coalesce(r.current_stock, 0) AS current_stock, coalesce(r.lead_time_days, 7) AS lead_time_days FROM (SELECT DISTINCT user_id AS product_id FROM events) s LEFT JOIN restock r USING (product_id)")
@@ -265,28 +284,63 @@ def _(spark, d):
     return out.select("product_id", F.when(F.col("missing"), F.col("risk")).otherwise("known").alias("risk"), "current_stock", "lead_time_days")
 
 
-@query("price_rec_rules", f"""SELECT product_id, {r4('rec')} AS recommended_price, {r4('greatest(min_price, rec * 0.95E0)')} AS low, {r4('rec * 1.05E0')} AS high, CASE WHEN rec > current_price THEN 'INCREASE' WHEN rec < current_price THEN 'DECREASE' ELSE 'KEEP' END AS direction, floor(((rec - cost_price) * q - (current_price - cost_price) * q) * 1e2 + 0.5) / 1e2 AS estimated_margin_impact_week
-FROM (SELECT p.*, coalesce(b.p50, 0.0E0) AS q, greatest(min_price, CASE WHEN competitor_median IS NOT NULL THEN competitor_median * 0.98E0 ELSE greatest(min_price, cost_price * (1.0E0 + min_margin)) END) AS rec FROM products p LEFT JOIN latest_median USING (product_id) LEFT JOIN baseline b USING (product_id))""")
+_MOVE = "CASE WHEN rec > current_price THEN 'INCREASE' WHEN rec < current_price THEN 'DECREASE' ELSE 'KEEP' END"
+
+
+@query("price_rec_rules", f"""SELECT product_id, {r4('rec')} AS recommended_price, {r4('greatest(min_price, rec * 0.95E0)')} AS low, {r4('rec * 1.05E0')} AS high, CASE WHEN rec > current_price THEN 'INCREASE' WHEN rec < current_price THEN 'DECREASE' ELSE 'KEEP' END AS direction, floor(((rec - cost_price) * q - (current_price - cost_price) * q) * 1e2 + 0.5) / 1e2 AS estimated_margin_impact_week,
+  CASE WHEN competitor_median IS NULL THEN {printed(texts.PRICE_NO_COMPETITOR, _MOVE)} ELSE {printed(texts.PRICE_COMPETITOR, 'competitor_median', _MOVE)} END AS explanation
+FROM (SELECT p.*, competitor_median, coalesce(b.p50, 0.0E0) AS q, greatest(min_price, CASE WHEN competitor_median IS NOT NULL THEN competitor_median * 0.98E0 ELSE greatest(min_price, cost_price * (1.0E0 + min_margin)) END) AS rec FROM products p LEFT JOIN latest_median USING (product_id) LEFT JOIN baseline b USING (product_id))""")
 def _(spark, d):
     out = rules.price_recommendation(rules.price_rules(retail.products(spark, d), retail.competitor_prices(spark, d), TIES), _baseline(spark, d))
-    return out.drop("explanation").withColumns({c: rounded(F.col(c)) for c in ("recommended_price", "low", "high")}).withColumn("estimated_margin_impact_week", rounded(F.col("estimated_margin_impact_week"), 2))
+    return out.withColumns({c: rounded(F.col(c)) for c in ("recommended_price", "low", "high")}).withColumn("estimated_margin_impact_week", rounded(F.col("estimated_margin_impact_week"), 2))
 
 
-@query("restock_rec_rules", f"""SELECT product_id, qty AS recommended_qty, greatest(0, CAST(floor(greatest(CAST(threshold_min AS DOUBLE), need50) - current_stock) AS BIGINT)) AS low, greatest(qty, CAST(ceil(greatest(CAST(threshold_min AS DOUBLE), need90 + threshold_min) - current_stock) AS BIGINT)) AS high, lead_time_days, CASE WHEN current_stock < threshold_min THEN 'HIGH' ELSE 'MEDIUM' END AS stockout_risk_reduction, {r4('need50')} AS estimated_units_covered
-FROM (SELECT *, greatest(CAST(0 AS BIGINT), greatest(CAST(threshold_min AS BIGINT), CAST(ceil(need50 + threshold_min) AS BIGINT)) - current_stock) AS qty FROM (SELECT r.*, coalesce(floor(p50 * 1e4 + 0.5) / 1e4, 0.0E0) * (lead_time_days / 7.0E0) AS need50, coalesce(floor(p90 * 1e4 + 0.5) / 1e4, 0.0E0) * (lead_time_days / 7.0E0) AS need90 FROM restock r LEFT JOIN baseline USING (product_id)))""")
+@query("restock_rec_rules", f"""SELECT product_id, qty AS recommended_qty, greatest(0, CAST(floor(greatest(CAST(threshold_min AS DOUBLE), need50) - current_stock) AS BIGINT)) AS low, greatest(qty, CAST(ceil(greatest(CAST(threshold_min AS DOUBLE), need90 + threshold_min) - current_stock) AS BIGINT)) AS high, lead_time_days, CASE WHEN current_stock < threshold_min THEN 'HIGH' ELSE 'MEDIUM' END AS stockout_risk_reduction, {r4('need50')} AS estimated_units_covered,
+  {printed(texts.RESTOCK_RULES, 'current_stock', 'threshold_min', 'lead_time_days', 'q50', 'q90')} AS explanation
+FROM (SELECT *, greatest(CAST(0 AS BIGINT), greatest(CAST(threshold_min AS BIGINT), CAST(ceil(need50 + threshold_min) AS BIGINT)) - current_stock) AS qty FROM (SELECT *, q50 * (lead_time_days / 7.0E0) AS need50, q90 * (lead_time_days / 7.0E0) AS need90 FROM (SELECT r.*, coalesce(floor(p50 * 1e4 + 0.5) / 1e4, 0.0E0) AS q50, coalesce(floor(p90 * 1e4 + 0.5) / 1e4, 0.0E0) AS q90 FROM restock r LEFT JOIN baseline USING (product_id))))""")
 def _(spark, d):
     # Quantities are rounded up, so percentiles that differ in their last bit between engines are rounded first.
     demand = _baseline(spark, d).withColumns({c: rounded(F.col(c)) for c in ("p50", "p90")})
     out = rules.restock_recommendation(rules.restock_rules(retail.products(spark, d), retail.product_suppliers(spark, d)), demand)
-    return out.drop("explanation").withColumn("estimated_units_covered", rounded(F.col("estimated_units_covered")))
+    return out.withColumn("estimated_units_covered", rounded(F.col("estimated_units_covered")))
 
 
-@query("anomaly_rules_detect", """SELECT product_id, place, type, severity FROM (
+@query("anomaly_rules_detect", f"""SELECT product_id, place, type, severity,
+  CASE place WHEN 1 THEN {printed(texts.TOO_LOW, 'n_low', '90.0E0')} WHEN 2 THEN {printed(texts.SHOCK, 'abs(cur - med) / med * 100', 'cur', 'med')} ELSE {printed(texts.NOT_OK, 'n_bad')} END AS detail FROM (
   SELECT l.product_id, count(*) FILTER (competitor_price < cost_price * 0.90E0) AS n_low, median(competitor_price) AS med, count(*) FILTER (status IS DISTINCT FROM 'OK') AS n_bad, any_value(current_price) AS cur FROM latest l JOIN products USING (product_id) GROUP BY l.product_id) s,
   (VALUES (1, 'SUSPECT_COMPETITOR_PRICE_TOO_LOW', 'HIGH'), (2, 'COMPETITIVE_SHOCK', 'MEDIUM'), (3, 'SCRAPING_STATUS_NOT_OK', 'LOW')) t(place, type, severity)
   WHERE (place = 1 AND n_low > 0) OR (place = 2 AND med > 0 AND abs(cur - med) / med >= 0.30E0) OR (place = 3 AND n_bad > 0)""")
 def _(spark, d):
-    return anomaly.rule_findings(retail.competitor_prices(spark, d), retail.products(spark, d), TIES).drop("detail")
+    return anomaly.rule_findings(retail.competitor_prices(spark, d), retail.products(spark, d), TIES)
+
+
+@query("anomaly_rules", "SELECT CAST(0.30 AS DOUBLE) AS competitor_price_jump_pct, CAST(0.90 AS DOUBLE) AS competitor_price_too_low_vs_cost, CAST(3.0 AS DOUBLE) AS sales_spike_z, count(*) AS n FROM competitor_prices")
+def _(spark, d):
+    """The limits, beside the number of prices that they apply to."""
+    return rules.anomaly_rules(spark).crossJoin(retail.competitor_prices(spark, d).agg(F.count("*").alias("n")))
+
+
+@query("argmin_first", "SELECT product_id, week AS worst_week FROM weekly QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY qty, week) = 1")
+def _(spark, d):
+    """The week with the fewest units, the earliest of equal ones."""
+    return weekly_sales(retail.sales(spark, d)).groupBy("product_id").agg(argmin_first(F.col("week"), F.col("qty"), F.unix_date("week")).alias("worst_week"))
+
+
+@query("fillna_global_median", f"SELECT product_id, competitor_id, collected_at, o_key, o_line, supplier, {r4('coalesce(gap_hours, median(gap_hours) OVER (), 0.0E0)')} AS gap_hours FROM moves")
+def _(spark, d):
+    rows = anomaly.fill_gaps(anomaly._series(retail.competitor_prices(spark, d), TIES))
+    return rows.select("product_id", "competitor_id", "collected_at", "o_key", "o_line", "supplier", rounded(F.col("gap_hours")).alias("gap_hours"))
+
+
+_ROUNDED = ("unit_price / 7", "unit_price * qty", "unit_price / 8 - 100", "qty / 8.0E0")
+
+
+@query("round", "SELECT " + ", ".join(f"""sum(CAST(round({py(x, k)} * 1e4) AS BIGINT)) AS s{i}_{k}""" for i, x in enumerate(_ROUNDED) for k in (0, 1, 2, 4)) + " FROM sales")
+def _(spark, d):
+    """Sums over all sales of amounts that were rounded as Python does, in ten-thousandths."""
+    rows = retail.sales(spark, d)
+    amounts = [F.expr(x.replace("E0", "D")) for x in _ROUNDED]
+    return rows.agg(*[F.sum(F.round(nearest(x.cast("double"), k) * F.lit(1e4)).cast("bigint")).alias(f"s{i}_{k}") for i, x in enumerate(amounts) for k in (0, 1, 2, 4)])
 
 
 _GRID = "SELECT *, CASE WHEN candidate < 0 THEN current_price WHEN candidate = 24 THEN high ELSE low + candidate * ((high - low) / 24.0E0) END AS price FROM (SELECT *, greatest(low + 1.0E0, current_price * 1.20E0, comp_median * 1.10E0) AS high FROM (SELECT *, greatest(min_price, current_price * 0.80E0) AS low FROM context)), (SELECT CAST(unnest(generate_series(-1, 24)) AS INTEGER) AS candidate)"
@@ -301,21 +355,21 @@ def _(spark, d):
     return optimize.price_candidates(_context(spark, d)).select("product_id", "candidate", rounded(F.col("price")).alias("price"))
 
 
-@query("price_optimize_baseline", f"""SELECT product_id, {r4('price')} AS recommended_price, {r4('low')} AS low, {r4('high')} AS high, CASE WHEN price > current_price THEN 'INCREASE' WHEN price < current_price THEN 'DECREASE' ELSE 'KEEP' END AS direction, floor((profit - (current_price - cost_price) * p50) * 1e2 + 0.5) / 1e2 AS estimated_margin_impact_week
+@query("price_optimize_baseline", f"""SELECT product_id, {py('price', 2)} AS recommended_price, {py('low', 2)} AS low, {py('high', 2)} AS high, CASE WHEN price > current_price THEN 'INCREASE' WHEN price < current_price THEN 'DECREASE' ELSE 'KEEP' END AS direction, {py('profit - (current_price - cost_price) * p50', 4)} AS estimated_margin_impact_week
 FROM (SELECT g.*, b.p50, (price - cost_price) * p50 AS profit FROM ({_GRID}) g JOIN baseline b USING (product_id) WHERE candidate >= 0) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY profit DESC, candidate) = 1""")
 def _(spark, d):
     out = optimize.optimise_price(_context(spark, d), optimize.baseline_demand(_baseline(spark, d)))
-    return out.select("product_id", rounded(F.col("recommended_price")).alias("recommended_price"), rounded(F.col("interval.low")).alias("low"), rounded(F.col("interval.high")).alias("high"), "direction", rounded(F.col("estimated_margin_impact_week"), 2).alias("estimated_margin_impact_week"))
+    return out.select("product_id", "recommended_price", "interval.low", "interval.high", "direction", "estimated_margin_impact_week").filter("recommended_price IS NOT NULL")
 
 
 _PROMO = "SELECT c.*, i AS candidate, disc AS discount, current_price * (1.0E0 - disc) AS promo_price FROM context c, (VALUES (0, 0.0E0), (1, 0.05E0), (2, 0.10E0), (3, 0.15E0), (4, 0.20E0), (5, 0.25E0), (6, 0.30E0)) t(i, disc) WHERE current_price * (1.0E0 - disc) >= min_price"
 
 
-@query("promo_optimize_baseline", f"""SELECT c.product_id, coalesce(b.discount > 0, false) AS should_promote, coalesce(b.discount, 0.0E0) AS recommended_discount, {r4('coalesce(b.promo_price, c.current_price)')} AS promo_price, floor(coalesce(b.margin, 0.0E0) * 1e2 + 0.5) / 1e2 AS estimated_margin_week
+@query("promo_optimize_baseline", f"""SELECT c.product_id, coalesce(b.discount > 0, false) AS should_promote, coalesce(b.discount, 0.0E0) AS recommended_discount, CASE WHEN b.promo_price IS NULL THEN c.current_price ELSE {py('b.promo_price', 2)} END AS promo_price, {py('coalesce(b.margin, 0.0E0)', 4)} AS estimated_margin_week
 FROM context c LEFT JOIN (SELECT *, (promo_price - cost_price) * p50 AS margin, CASE WHEN current_stock > threshold_max THEN p50 ELSE (promo_price - cost_price) * p50 END AS score FROM ({_PROMO}) JOIN baseline USING (product_id) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY score DESC, candidate) = 1) b USING (product_id)""")
 def _(spark, d):
     out = optimize.optimise_promo(_context(spark, d), optimize.baseline_demand(_baseline(spark, d)))
-    return out.select("product_id", "should_promote", "recommended_discount", rounded(F.col("promo_price")).alias("promo_price"), rounded(F.col("estimated_margin_week"), 2).alias("estimated_margin_week"))
+    return out.filter("error IS NULL").select("product_id", "should_promote", "recommended_discount", "promo_price", "estimated_margin_week")
 
 
 @query("argmax_first", "SELECT product_id, week AS best_week FROM weekly QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY qty DESC, week) = 1")
@@ -324,9 +378,155 @@ def _(spark, d):
     return weekly_sales(retail.sales(spark, d)).groupBy("product_id").agg(argmax_first(F.col("week"), F.col("qty"), F.unix_date("week")).alias("best_week"))
 
 
-@query("restock_optimize")
+#: The draws that all products share, as a table of both engines.
+_DRAWS = "SELECT z, row_number() OVER (ORDER BY z) AS r, sum(z) OVER (ORDER BY z DESC ROWS UNBOUNDED PRECEDING) AS above FROM (SELECT CAST(unnest([" + ", ".join(f"'{z!r}'" for z in optimize.draws()[0].tolist()) + "]) AS DOUBLE) AS z)"
+_NEEDS = "SELECT product_id, CAST(current_stock AS DOUBLE) AS stock, CAST(threshold_min AS DOUBLE) AS least, CAST(threshold_max AS DOUBLE) AS most, p10, p90, p50 AS mu, greatest(1e-6, (p90 - p10) / 2.56E0) AS sigma FROM products LEFT JOIN (SELECT product_id, " + ", ".join(f"coalesce({r4(c)}, 0.0E0) AS {c}" for c in ("p10", "p50", "p90")) + " FROM products LEFT JOIN baseline USING (product_id)) USING (product_id)"
+
+
+@query("mc_mean", f"SELECT product_id, {py('avg(greatest(0.0E0, greatest(0.0E0, mu + sigma * z) - stock))', 4)} AS short, {py('avg(greatest(0.0E0, stock - greatest(0.0E0, mu + sigma * z)))', 4)} AS over FROM ({_NEEDS}), ({_DRAWS}) GROUP BY product_id")
+def _(spark, d):
+    """Mean shortage and surplus over the simulated demand of a week, at the current stock."""
+    # Percentiles that differ in their last bit between engines are rounded first; so below.
+    demand = _baseline(spark, d).withColumns({c: rounded(F.col(c)) for c in ("p10", "p50", "p90")})
+    rows = optimize.lead_demand(retail.products(spark, d), demand).withColumn("x", F.col("stock"))
+    return optimize.simulated(rows).select("product_id", nearest(F.col("short"), 4).alias("short"), nearest(F.col("over"), 4).alias("over"))
+
+
+_TRIED = f"""SELECT n.*, q, stock + q AS x, CASE WHEN d.r IS NULL THEN 0 ELSE sigma * (d.above - (5001 - d.r) * t) / 5000 END AS short, CASE WHEN e.r IS NULL THEN 0 ELSE sigma * (e.above - (5001 - e.r) * t0) / 5000 END AS mean_demand
+  FROM (SELECT *, (stock + q - mu) / sigma AS t, (0 - mu) / sigma AS t0 FROM (SELECT *, CAST(unnest(generate_series(0, greatest(0, CAST(ceil(mu + 3 * sigma + least + 10) AS BIGINT)))) AS BIGINT) AS q FROM ({_NEEDS}))) n
+  ASOF LEFT JOIN ({_DRAWS}) d ON n.t <= d.z ASOF LEFT JOIN ({_DRAWS}) e ON n.t0 <= e.z"""
+
+
+@query("restock_optimize", f"""SELECT product_id, q AS recommended_qty, greatest(0, CAST(floor(greatest(least, p10 + least) - stock) AS BIGINT)) AS low, greatest(q, CAST(ceil(greatest(least, p90 + least) - stock) AS BIGINT)) AS high, 7 AS lead_time_days,
+  {py('short', 4)} AS expected_stockout_units, {py('x - mean_demand + short', 4)} AS expected_overstock_units, {py('cost', 4)} AS expected_cost
+FROM (SELECT *, 15 * short + (x - mean_demand + short) + 2 * greatest(0, x - most) AS cost FROM ({_TRIED})) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY cost, q) = 1""")
+def _(spark, d):
+    demand = _baseline(spark, d).withColumns({c: rounded(F.col(c)) for c in ("p10", "p50", "p90")})
+    return optimize.optimise_restock(retail.products(spark, d), demand).select("product_id", "recommended_qty", "interval.*", "lead_time_days", "estimated_impact.*")
+
+
+def _histories(spark, d) -> DataFrame:
+    """Weekly units of products of which some have no sales at all and some few weeks: events, by user as product."""
+    rows = retail.event_sales(spark, d).withColumn("qty", F.floor("qty").cast("bigint"))
+    return weekly_sales(rows.filter(F.pmod("product_id", F.lit(3)) > 0).unionByName(rows.filter((F.pmod("product_id", F.lit(3)) == 0) & (F.dayofyear("timestamp") <= 20))))
+
+
+_HISTORIES = """h AS (SELECT user_id AS product_id, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(sum(CAST(floor("value") AS BIGINT)) AS BIGINT) AS qty FROM events WHERE user_id % 3 > 0 OR dayofyear(ts) <= 20 GROUP BY ALL),
+  hn AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY week DESC) AS n FROM h),
+  hb AS (SELECT product_id, avg(CAST(qty AS DOUBLE)) AS p50 FROM hn WHERE n <= 8 GROUP BY ALL),
+  hl AS (SELECT product_id, max(week) AS week, least(4, count(*)) AS weeks FROM hn GROUP BY ALL),
+  hc AS (SELECT p.*, l.week, l.weeks, coalesce(b.p50, 0.0E0) AS p50, coalesce(c.comp_median, p.current_price) AS comp_median, coalesce(f.promo_flag, 0) AS promo_flag,
+    CASE WHEN l.week IS NULL THEN '""" + texts.NO_SALES + """' WHEN l.weeks < 4 THEN '{short}' END AS error
+    FROM products p LEFT JOIN hl l USING (product_id) LEFT JOIN hb b USING (product_id) LEFT JOIN comp c ON c.product_id = l.product_id AND c.week = l.week LEFT JOIN promo f ON f.product_id = l.product_id AND f.week = l.week)"""
+_PERCENT = "(b.price - b.current_price) / greatest(b.current_price, 1e-6) * 100"
+
+
+def _history_context(spark, d) -> DataFrame:
+    return features.serving_context(_histories(spark, d), retail.products(spark, d), retail.competitor_prices(spark, d), retail.promotions(spark, d))
+
+
+def _history_demand(spark, d):
+    return optimize.baseline_demand(rules.demand_baseline(_histories(spark, d)))
+
+
+@query("price_answers", f"""SELECT c.product_id, {py('b.price', 2)} AS recommended_price, {py('b.low', 2)} AS low, {py('b.high', 2)} AS high, b.direction, {py('b.impact', 4)} AS estimated_margin_impact_week,
+  CASE WHEN b.product_id IS NOT NULL THEN {printed(texts.PRICE_ML, 'b.current_price', 'b.price', 'b.direction', _PERCENT, 'b.comp_median', 'b.promo_flag', 'b.p50', 'b.p50', '(b.p50 - b.p50) / greatest(b.p50, 1e-6) * 100', '(b.current_price - b.cost_price) * b.p50', 'b.profit', 'b.impact')} END AS explanation, c.error
+FROM hc c LEFT JOIN (SELECT *, CASE WHEN price > current_price THEN 'INCREASE' WHEN price < current_price THEN 'DECREASE' ELSE 'KEEP' END AS direction, profit - (current_price - cost_price) * p50 AS impact
+  FROM (SELECT *, (price - cost_price) * p50 AS profit FROM ({_GRID.replace("FROM context", "FROM hc WHERE error IS NULL")}) WHERE candidate >= 0) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY profit DESC, candidate) = 1) b USING (product_id)""", before=_HISTORIES.format(short=texts.SHORT_HISTORY % "pricing"))
+def _(spark, d):
+    """Every product has an answer: a price, or why there is none."""
+    out = optimize.optimise_price(_history_context(spark, d), _history_demand(spark, d))
+    return out.select("product_id", "recommended_price", "interval.low", "interval.high", "direction", "estimated_margin_impact_week", "explanation", "error")
+
+
+@query("promo_answers", f"""SELECT c.product_id, CASE WHEN c.error IS NULL THEN coalesce(b.discount > 0, false) END AS should_promote, CASE WHEN c.error IS NULL THEN coalesce(b.discount, 0.0E0) END AS recommended_discount,
+  CASE WHEN c.error IS NULL THEN {py('b.promo_price', 2)} END AS promo_price, CASE WHEN c.error IS NULL THEN {py('greatest(b.min_price, b.promo_price * 0.95E0)', 2)} END AS low, CASE WHEN c.error IS NULL THEN {py('b.promo_price * 1.05E0', 2)} END AS high, CASE WHEN c.error IS NULL THEN {py('b.margin', 4)} END AS estimated_margin_week,
+  CASE WHEN c.error IS NULL THEN {printed(texts.PROMO_ML, f"CASE WHEN b.current_stock > b.threshold_max THEN '{texts.PROMO_BY[0]}' ELSE '{texts.PROMO_BY[1]}' END", 'b.discount * 100', 'b.promo_price', 'b.min_price', 'b.p50', 'b.margin')} END AS explanation, c.error
+FROM hc c LEFT JOIN (SELECT *, (promo_price - cost_price) * p50 AS margin, CASE WHEN current_stock > threshold_max THEN p50 ELSE (promo_price - cost_price) * p50 END AS score FROM ({_PROMO.replace("FROM context", "FROM hc")}) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY score DESC, candidate) = 1) b USING (product_id)""", before=_HISTORIES.format(short=texts.SHORT_HISTORY % "promo"))
+def _(spark, d):
+    out = optimize.optimise_promo(_history_context(spark, d), _history_demand(spark, d))
+    return out.select("product_id", "should_promote", "recommended_discount", "promo_price", "interval.low", "interval.high", "estimated_margin_week", "explanation", "error")
+
+
+# Trees by rule, over exact quantiles of the given tables: scoring has a second engine even where fitting has none.
+_STEPS, _TREES = 9, 12
+
+
+def _cuts(rows: DataFrame, columns: list[str]) -> list[list[float]]:
+    return [[math.floor(q * 1e6 + 0.5) / 1e6 for q in exact_quantiles(rows, c, [k / 10 for k in range(1, _STEPS + 1)])] for c in columns]
+
+
+def _rule_nodes(width: int, rows: str) -> str:
+    """SQL: nodes t, k, f, threshold, of rows with a list x of `width` features."""
+    tenths = ", ".join(f"{k / 10}E0" for k in range(1, _STEPS + 1))
+    return f"""cuts AS (SELECT f, quantile_cont(x[f + 1], [{tenths}]) AS q FROM {rows}, (SELECT CAST(unnest(range({width})) AS INTEGER) AS f) GROUP BY f),
+  nodes AS (SELECT t, k, f, floor(q[(5 * t + 7 * k) % {_STEPS} + 1] * 1e6 + 0.5) / 1e6 AS threshold FROM (SELECT *, CAST((t + 3 * k) % {width} AS INTEGER) AS f FROM (SELECT unnest(range({_TREES})) AS t), (SELECT unnest(range(7)) AS k)) JOIN cuts USING (f))"""
+
+
+def _walk(rows: str, keys: str, comparison: str) -> str:
+    """SQL: the leaf (k from 7) of each row and tree, by a join with the nodes for each level."""
+    out = f"SELECT {keys}, x, t, 0 AS k FROM {rows}, (SELECT unnest(range({_TREES})) AS t)"
+    for _ in range(3):
+        out = f"SELECT {keys}, x, t, 2 * k + 1 + CASE WHEN x[f + 1] {comparison} threshold THEN 1 ELSE 0 END AS k FROM ({out}) JOIN nodes USING (t, k)"
+    return out
+
+
+def _leaf(t: int, k: int) -> float:
+    return (t * 8 + k) * 37 % 101 / 8 - 6
+
+
+_X = "[CAST(product_id AS DOUBLE), lag_1, lag_2, lag_3, lag_4, roll_mean_4, roll_std_4]"
+
+
+@query(
+    "quantile_gbr_score",
+    f"SELECT product_id, week, {r4('greatest(0.0E0, (SELECT median(qty) FROM trained) + sum((t * 8 + k - 7) * 37 % 101 / 8.0E0 - 6))')} AS q50 FROM ({_walk('fx', 'product_id, week', '>')}) GROUP BY product_id, week",
+    before=f"fx AS (SELECT product_id, week, {_X} AS x FROM trained), {_rule_nodes(7, 'fx')}",
+)
+def _(spark, d):
+    rows = features.training_features(weekly_sales(retail.sales(spark, d)))
+    cuts = _cuts(rows, features.DEMAND_FEATURES)
+    trees = [{"tree": -1, "value": exact_quantiles(rows, "qty", [0.5])}]
+    for t in range(_TREES):
+        f = [(t + 3 * k) % 7 for k in range(boosting.NODES)]
+        trees.append({"tree": t, "feature": f, "threshold": [cuts[f[k]][(5 * t + 7 * k) % _STEPS] for k in range(boosting.NODES)], "value": [_leaf(t, k) for k in range(8)]})
+    scored = boosting.score(rows, features.DEMAND_FEATURES, {0.5: boosting.Ensemble(trees)}, {0.5: "q50"})
+    return scored.select("product_id", "week", rounded(F.col("q50")).alias("q50"))
+
+
+_OBSERVED = "ox AS (SELECT product_id, competitor_id, collected_at, o_key, o_line, supplier, [" + r4("log_ratio") + ", " + r4("delta_pct") + ", gap_hours, CAST(status_bad AS DOUBLE)] AS x FROM observed)"
+_KEYS = "product_id, competitor_id, collected_at, o_key, o_line, supplier"
+_PATHS = f"SELECT {_KEYS}, -power(2.0E0, -avg(3 + (t * 8 + k) * 29 % 17 / 4.0E0) / {float(isolation.average_path(256))!r}) AS score FROM ({_walk('ox', _KEYS, '>=')}) GROUP BY {_KEYS}"
+
+
+def _rule_forest(rows: DataFrame) -> isolation.Forest:
+    cuts, trees = _cuts(rows, anomaly.FEATURES), []
+    for t in range(_TREES):
+        f, threshold, path = np.zeros(isolation.NODES, dtype=int), np.full(isolation.NODES, np.inf), np.zeros(isolation.NODES)
+        for k in range(7):
+            f[k] = (t + 3 * k) % 4
+            threshold[k] = cuts[f[k]][(5 * t + 7 * k) % _STEPS]
+        path[7:15] = [3 + (t * 8 + k) * 29 % 17 / 4 for k in range(7, 15)]
+        trees.append({"tree": t, "feature": f, "threshold": threshold, "path": path, "sampled": 256})
+    return isolation.Forest(trees)
+
+
+def _rule_scores(spark, d) -> DataFrame:
+    rows = anomaly.training_dataset(retail.competitor_prices(spark, d), retail.products(spark, d), TIES)
+    rows = rows.withColumns({c: rounded(F.col(c)) for c in ("log_ratio", "delta_pct")})
+    return isolation.score(rows, anomaly.FEATURES, _rule_forest(rows), "score")
+
+
+@query("iforest_score", f"SELECT {_KEYS}, {r4('score')} AS score FROM ({_PATHS})", before=f"{_OBSERVED}, {_rule_nodes(4, 'ox')}")
+def _(spark, d):
+    return _rule_scores(spark, d).select(*_KEYS.split(", "), rounded(F.col("score")).alias("score"))
+
+
+@query("score_quantile", f"SELECT {r4('quantile_cont(score, 0.05E0)')} AS threshold, count(*) FILTER (score < (SELECT quantile_cont(score, 0.05E0) - 1e-9 FROM ({_PATHS}))) AS n_below FROM ({_PATHS})", before=f"{_OBSERVED}, {_rule_nodes(4, 'ox')}")
 def _(spark, d):
-    return optimize.optimise_restock(retail.products(spark, d), _baseline(spark, d)).drop("explanation")
+    scored = _rule_scores(spark, d).select("score")
+    threshold = exact_quantiles(scored, "score", [isolation.CONTAMINATION])[0]
+    return scored.agg(rounded(F.lit(threshold)).alias("threshold"), F.count_if(F.col("score") < F.lit(threshold - 1e-9)).alias("n_below"))
 
 
 def _demand_models(spark, d, trees: int = boosting.DEMAND_TREES):
@@ -374,7 +574,7 @@ def _(spark, d):
     columns = [f"{c}_scaled" for c in anomaly.FEATURES]
     z = anomaly.scaled(rows, stats)
     model = isolation.forest(isolation.fit(z, columns, ["product_id", "competitor_id", *TIES]))
-    offset = isolation.score(z, columns, model).agg(F.percentile("raw_score", F.lit(isolation.CONTAMINATION))).first()[0]
+    offset = exact_quantiles(isolation.score(z, columns, model), "raw_score", [isolation.CONTAMINATION])[0]
     served = anomaly.scaled(anomaly.serving_rows(prices, products, TIES), stats).drop(*stats.columns)
     scored = isolation.score(served, columns, model).withColumn("score", F.col("raw_score") - F.lit(offset))
     threshold = spark.range(1).select(F.lit(0.0).alias("threshold"))

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__
 from shelfspark.plans import api, config
+from shelfspark.plans import queries as retail_queries
 from shelfspark.plans.registry import Registry
 from shelfspark.sources import readers, retail
 from shelfspark.streaming.weekly import weekly_demand
@@ -21,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(k for k in __spark_entry__.oracle_sql() if k != "pipeline"))
+@pytest.mark.parametrize("name", sorted(retail_queries.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     rows = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(rows.columns)
@@ -36,12 +37,47 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 200
 
 
-def test_csv_schema_and_missing_file(spark, tmp_path):
-    (tmp_path / "sales.csv").write_text("timestamp,product_id,qty,unit_price\n2025-01-06 10:00:00,1,3,2.5\n2025-01-07 10:00:00,2,4,NaN\n")
-    rows = readers.read_csv(spark, f"file://{tmp_path}/sales.csv", "sales").orderBy("product_id").collect()
-    assert [(r.product_id, r.qty, r.unit_price) for r in rows] == [(1, 3, 2.5), (2, 4, None)]
+SALES = "timestamp,product_id,qty,unit_price\n"
+
+
+def written_csv(tmp_path, text):
+    (tmp_path / "sales.csv").write_text(text)
+    return f"file://{tmp_path}/sales.csv"
+
+
+def test_csv_rows_and_rejected_rows(spark, tmp_path):
+    path = written_csv(tmp_path, SALES + "2025-01-06 10:00:00,1,3,2.5\n2025-01-07 10:00:00,2,4,NaN\n2025-01-08 10:00:00,3,,\n2025-01-08 10:00:00,x,5,1.0\n2025-01-08,4,5\n2025-01-08,5,6,1.0,9\nnever,6,7,1.0\n")
+    rows = readers.read_csv(spark, path, "sales").orderBy("product_id").collect()
+    assert [(r.product_id, r.qty, r.unit_price) for r in rows] == [(1, 3, 2.5), (2, 4, None), (3, None, None)]
+    bad = readers.rejected_rows(spark, path, "sales").collect()
+    assert sorted(r.line for r in bad) == ["2025-01-08 10:00:00,x,5,1.0", "2025-01-08,4,5", "2025-01-08,5,6,1.0,9", "never,6,7,1.0"]
+    assert {r.cells.product_id for r in bad} == {None, 4, 5, 6}
+    # A query of one column doesn't take in rows that are bad in another one.
+    assert sorted(r.qty for r in readers.read_csv(spark, path, "sales").select("qty").na.drop().collect()) == [3, 4]
+    assert readers.read_csv(spark, path, "sales").count() == 3
+
+
+def test_csv_headers(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="CSV introuvable"):
         readers.read_csv(spark, f"file://{tmp_path}/none.csv", "sales")
+    for header, cells in (("timestamp,product_id,qty", "2025-01-06,1,3"), ("timestamp,product_id,qty,unit_price,note", "2025-01-06,1,3,2.5,a"), ("product_id,timestamp,qty,unit_price", "1,2025-01-06,3,2.5")):
+        path = written_csv(tmp_path, f"{header}\n{cells}\n")
+        with pytest.raises(Exception, match="header"):
+            readers.read_csv(spark, path, "sales").collect()
+        row = readers.read_csv(spark, path, "sales", header.split(",")).first().asDict()
+        assert (row["product_id"], row["qty"]) == (1, 3)
+        assert row.get("note", "a") == "a"
+
+
+def test_csv_takes_one_scan_without_a_look_at_the_header(spark, tmp_path):
+    path = written_csv(tmp_path, SALES + "2025-01-06 10:00:00,1,3,2.5\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("csv-read", "")
+    try:
+        readers.read_csv(spark, path, "sales")
+        assert len(tracker.getJobIdsForGroup("csv-read")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +115,18 @@ def test_answers_for_all_and_for_one(service):
     assert inference.price(t).filter("recommended_price < interval.low or recommended_price > interval.high").count() == 0
 
 
+def test_products_without_enough_sales(service):
+    t, _, inference = service
+    few = t | {"sales": t["sales"].filter("product_id <> 3").withColumn("timestamp", retail.F.when(retail.F.col("product_id") == 4, retail.F.lit("1994-01-03")).otherwise(retail.F.col("timestamp")).cast("timestamp"))}
+    for ask, model in ((inference.price, "pricing"), (inference.promo, "promo")):
+        got = {r.product_id: r for r in ask(few).collect()}
+        assert len(got) == 200
+        assert (got[3].error, got[4].error) == ("Pas de ventes pour ce produit.", f"Historique insuffisant (<4 semaines) pour {model} ML.")
+        assert got[3].explanation is None
+        assert got[7].error is None
+        assert ask(few, 3).first().error == got[3].error
+
+
 def test_unknown_products(service):
     t, _, inference = service
     assert inference.demand(t, 10**9).first().source == "NO_DATA"
@@ -95,6 +143,48 @@ def test_folders():
     assert config.folders("/b", {"ARTIFACTS_DIR": "/a", "REPORTS_DIR": "/r"}) == config.Folders("/b/data", "/a", "/a/models", "/r")
 
 
+def test_a_release_that_is_cut_off_is_never_read(spark, tmp_path):
+    store = Registry(spark, f"file://{tmp_path}")
+    with store.release() as out:
+        out.save("a", spark.range(1))
+        out.save("b", spark.range(1))
+        out.report("r", n=1)
+        assert not store.has("a")
+    other = Registry(spark, f"file://{tmp_path}")
+    seen = []
+    with pytest.raises(ZeroDivisionError), store.release() as out:
+        out.save("a", spark.range(5))
+        seen.append((store.latest("a").count(), other.latest("a").count(), store.latest_report("r")["n"]))
+        1 / 0  # noqa: B018
+    assert seen == [(1, 1, 1)]
+    assert (store.latest("a").count(), other.latest("b").count()) == (1, 1)
+
+
+def test_two_releases_at_once(spark, tmp_path):
+    store = Registry(spark, f"file://{tmp_path}")
+    assert len({store.save("k", spark.range(n)) for n in (1, 2)}) == 2
+    assert store.latest("k").count() == 2
+    with pytest.raises(Exception, match="exist"):
+        store.save("k", spark.range(1), "20250101_000000") and store.save("k", spark.range(1), "20250101_000000")
+
+
+def test_models_are_loaded_once_for_each_release(service, spark):
+    t, store, inference = service
+    inference.price(t)
+    first = store.loaded["price_ml"][1]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("second-load", "")
+    try:
+        assert inference._models("price_ml") is first
+        inference.price(t)
+        assert len(tracker.getJobIdsForGroup("second-load")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    store.save("price_ml", store.latest("price_ml"))
+    assert inference._models("price_ml") is not first
+    assert inference.price(t, 7).first().error is None
+
+
 def test_later_artifacts_replace_earlier_ones(spark, tmp_path):
     store = Registry(spark, f"file://{tmp_path}")
     store.save("k", spark.range(1), "20250101_000000")
