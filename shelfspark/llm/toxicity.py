@@ -27,7 +27,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import ahocorasick
 import numpy as np
@@ -47,6 +47,8 @@ THRESHOLD = 0.7
 STEMS = range(4, 11)
 #: Terms of the lexicon, the strongest by evidence; least evidence (about one in 10,000 by chance).
 TERMS, EVIDENCE = 20_000, 15.0
+#: Least log odds ratio of a candidate, and of a term once exceptions don't count any more (about one to seven).
+CANDIDATE, WEIGHT = 0.7, 2.0
 #: Learned exception phrases, and the clean documents that one needs.
 PHRASES, PHRASE_DOCUMENTS = 5_000, 3
 #: Words added to each document's length; density of 1 hit of weight 1 in so many words is 1.
@@ -111,6 +113,7 @@ class Lexicon:
     clean: int = 0
     phrases: tuple[str, ...] = ()
     curve: tuple[float, float] = (0.0, 0.0)
+    least: float = WEIGHT
 
     def strength(self, term: str, label: int | None = None) -> float:
         """The term's weight, 0 if it doesn't count; for a document with this label, without that document."""
@@ -123,7 +126,7 @@ class Lexicon:
         if t <= 0 or c < 0 or min(p, n) < 1:
             return 0.0
         found = weight(t, c, p, n)
-        return found if found > 0 and evidence(t, c, p, n) >= EVIDENCE else 0.0
+        return found if found >= self.least and evidence(t, c, p, n) >= EVIDENCE else 0.0
 
 
 class Matcher:
@@ -243,7 +246,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", text: s
         return lexicon
     if len(held) == 2:
         lexicon.terms = _terms(sample, lexicon)
-        lexicon.phrases += _phrases(sample, lexicon)
+        lexicon.phrases += _phrases(sample, replace(lexicon, least=CANDIDATE))
         lexicon.terms = _recounted(sample, lexicon)
     share = [shares.get(k, 0) / max(1, min(shares.get(k, 0), rows)) for k in (0, 1)]
     lexicon.curve = _fit_curve([(r["step"] / STEPS, r["label"], share[r["label"]] * r["n"]) for r in sorted(_levels(sample, lexicon).collect())])
@@ -255,7 +258,7 @@ def _terms(sample: DataFrame, lexicon: Lexicon) -> dict[str, tuple[int, int]]:
     p, n = float(lexicon.toxic), float(lexicon.clean)
     clean = F.greatest(F.col("clean") - 1, F.lit(0))
     counted = _counted(sample, lambda body, label: terms_of(folded(body))).filter("toxic > 1")
-    strong = counted.withColumn("evidence", evidence(F.col("toxic"), clean, p, n, F.log)).filter((weight(F.col("toxic"), clean, p, n, F.log) > 0) & (F.col("evidence") >= EVIDENCE))
+    strong = counted.withColumn("evidence", evidence(F.col("toxic"), clean, p, n, F.log)).filter((weight(F.col("toxic"), clean, p, n, F.log) >= CANDIDATE) & (F.col("evidence") >= EVIDENCE))
     return {r["term"]: (r["toxic"], r["clean"]) for r in strong.orderBy(F.desc("evidence"), "term").limit(TERMS).collect()}
 
 
