@@ -13,7 +13,7 @@ Edge cases: of several calls with one identifier in a conversation the first by
 without call are rows with status "orphan", those that don't come after their call rows with status "early"; calls that
 depend on each other in a circle, or lie on a path from one circle to another, have status "cyclic" (calls behind a circle
 don't, and come after it); dependencies on unknown calls are ignored; rows without conversation or identifier are left out; null arguments count as
-{}; arguments that aren't JSON, hold NaN, infinite numbers or lone surrogates, or are nested too deeply for the parser are
+{}; arguments that aren't JSON, hold NaN, infinite numbers or lone surrogates, or are nested in more than DEPTH levels are
 an error of that call alone, "arguments: not JSON"; repeated rows are one call. Rows come with these columns alone; others of the input are left out.
 """
 
@@ -32,6 +32,10 @@ from shelfspark.llm.common import materialise
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+#: Levels of arrays and objects in a call's arguments, well below what the parser takes.
+DEPTH = 500
+
+
 def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
@@ -66,10 +70,20 @@ def problem(value: Any, schema: dict, at: str = "") -> str | None:
     return None
 
 
+def deeper(value: Any, limit: int) -> bool:
+    """Whether arrays and objects are nested in more than `limit` levels; without recursion."""
+    level = [value] if isinstance(value, (dict, list)) else []
+    for _ in range(limit):
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, (dict, list))]
+    return bool(level)
+
+
 def checked(name: str | None, arguments: str | None, schemas: dict[str, dict]) -> tuple[str | None, str | None]:
     """Canonical arguments (None if they aren't JSON) and what is wrong with them."""
     try:
         value = json.loads(arguments, parse_constant=_refuse) if arguments is not None else {}
+        if deeper(value, DEPTH):
+            raise ValueError("nested too deeply")
         text = canonical(value)
         text.encode("utf-8")
         return text, problem(value, schemas[name]) if name in schemas else "unknown tool"

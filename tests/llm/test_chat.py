@@ -95,3 +95,17 @@ def test_arguments_that_no_parser_takes_are_errors_of_one_call():
         assert chat.checked("f", bad, schemas) == (None, "arguments: not JSON")
     assert chat.checked("f", '{"b": 1, "a": "\\u00e9"}', schemas) == ('{"a":"é","b":1}', None)
     assert chat.checked("g", "{}", schemas) == ("{}", "unknown tool")
+
+
+def test_deep_arguments_are_an_error_of_their_call(spark):
+    rows = []
+    for n, levels in enumerate((chat.DEPTH, chat.DEPTH + 1, 9_998, 200_000)):
+        rows.append(("c", n, f"call-{n}", "any", "[" * levels + "]" * levels, []))
+        rows.append(("d", n, f"call-{n}", "any", '{"a":' * levels + "1" + "}" * levels, []))
+    calls = spark.createDataFrame(rows, "conv_id string, position long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([("c", 9, "call-0", "x")], "conv_id string, position long, call_id string, content string")
+    got = {(r.conv_id, r.position): r for r in chat.link_calls(calls, results, {"any": {}}).collect()}
+    assert {k: r.error for k, r in got.items()} == {(c, n): "arguments: not JSON" if n else None for c in "cd" for n in range(4)}
+    assert all(r.message for r in got.values())
+    assert not chat.deeper([[1], {"a": 2}], 2)
+    assert chat.deeper([[1], {"a": [2]}], 2)
