@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -78,3 +79,26 @@ def test_tokens_equal_the_reference_encoder(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[5].count()
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, runs int, node long, row string, `label` int"
+
+
+def test_nulls_long_texts_repeats_and_extra_columns(spark, tmp_path):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    texts = [(1, "a text of some words that nothing else repeats here", "p"), (2, None, "p"), (3, "", None), (None, "a text without an id, and with words of its own", "p"), (5, long, "q"), (6, "twice the same row of words in the table of documents", None), (6, "twice the same row of words in the table of documents", None), (7, " \t\n", "q")]
+    docs = spark.createDataFrame([(i, t, None, s, None, 0.5, 3, i, "r", None) for i, t, s in texts], COLUMNS)
+    docs.write.parquet(f"file://{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(1, 1), (5, 1), (6, 1), (None, 0), (2, None)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/a/labels.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}/a").collect()
+    bodies = dict((i, t) for i, t, _ in texts)
+    assert {r.doc_id for r in got} <= {1, None, 5, 6}
+    assert 5 in {r.doc_id for r in got}
+    for r in got:
+        assert r.decoded_sha256 == hashlib.sha256(bodies[r.doc_id].encode()).hexdigest()
+        assert r.n_tokens == len(r.token_ids) > 0
+    # Copies go, and no document is taken more often than the mix allows.
+    assert max(Counter(r.doc_id for r in got).values()) <= mixing.MOST_COPIES
+    docs.limit(0).write.parquet(f"file://{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/b").collect() == []
