@@ -62,6 +62,8 @@ class Peers:
             link, _ = listener.accept()
             if secrets.compare_digest(_received(link, len(token)), token.encode()):
                 links.append(link)
+        if listener is not None:
+            listener.close()
         for link in links:
             link.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
         return cls(links, rank == 0)

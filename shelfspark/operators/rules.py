@@ -9,9 +9,10 @@ from shelfspark.functions.semantics import first_per_group, latest_per_group
 from shelfspark.functions.texts import NO_RULE, OVERSTOCK, PRICE_COMPETITOR, PRICE_NO_COMPETITOR, RESTOCK_RULES, STOCK_OK, STOCKOUT, say
 
 DEFAULT_LEAD_DAYS = 7
+BASELINE_WEEKS = 8
 
 
-def trailing_weeks(weekly: DataFrame, weeks: int = 8) -> DataFrame:
+def trailing_weeks(weekly: DataFrame, weeks: int = BASELINE_WEEKS) -> DataFrame:
     """The last `weeks` rows of each product."""
     w = Window.partitionBy("product_id").orderBy(F.col("week").desc())
     return weekly.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= weeks).drop("n")
@@ -20,10 +21,10 @@ def trailing_weeks(weekly: DataFrame, weeks: int = 8) -> DataFrame:
 def demand_baseline(weekly: DataFrame, horizon_weeks: int = 4) -> DataFrame:
     """product_id, p10, p50, p90, history_weeks, last_week, horizon_weeks. p50 is the mean of the last eight weeks; p10 and
     p90 are the percentiles (linear) of these weeks around it, 0 at least."""
-    last = trailing_weeks(weekly).groupBy("product_id").agg(F.avg(F.col("qty").cast("double")).alias("p50"), F.expr("percentile(cast(qty as double), array(0.1D, 0.9D))").alias("pct"))
-    whole = weekly.groupBy("product_id").agg(F.count("*").cast("int").alias("history_weeks"), F.max("week").alias("last_week"))
-    joined = last.join(whole, "product_id")
-    return joined.select("product_id", F.greatest(F.lit(0.0), F.col("pct")[0]).alias("p10"), "p50", F.greatest(F.lit(0.0), F.col("pct")[1]).alias("p90"), "history_weeks", "last_week", F.lit(horizon_weeks).alias("horizon_weeks"))
+    recent = F.when(F.row_number().over(Window.partitionBy("product_id").orderBy(F.col("week").desc())) <= BASELINE_WEEKS, F.col("qty").cast("double"))
+    # One exchange by product: both the last weeks and the whole history come from the same rows.
+    found = weekly.withColumn("recent", recent).groupBy("product_id").agg(F.avg("recent").alias("p50"), F.expr("percentile(recent, array(0.1D, 0.9D))").alias("pct"), F.count("*").cast("int").alias("history_weeks"), F.max("week").alias("last_week"))
+    return found.select("product_id", F.greatest(F.lit(0.0), F.col("pct")[0]).alias("p10"), "p50", F.greatest(F.lit(0.0), F.col("pct")[1]).alias("p90"), "history_weeks", "last_week", F.lit(horizon_weeks).alias("horizon_weeks"))
 
 
 def latest_competitor_median(prices: DataFrame, order: list[str]) -> DataFrame:

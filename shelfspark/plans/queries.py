@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import texts
@@ -529,6 +529,46 @@ def _(spark, d):
     return scored.agg(rounded(F.lit(threshold)).alias("threshold"), F.count_if(F.col("score") < F.lit(threshold - 1e-9)).alias("n_below"))
 
 
+_SCORED = f"""{_OBSERVED}, {_rule_nodes(4, 'ox')},
+  os AS (SELECT {_KEYS}, floor(score * 1e6 + 0.5) / 1e6 AS score FROM ({_PATHS})),
+  cut AS (SELECT {r4('quantile_cont(score, 0.05E0)')} AS threshold FROM os),
+  spread AS (SELECT """ + ", ".join(f"avg(x[{i}]) AS m{i}, stddev_pop(x[{i}]) + 1e-9 AS s{i}" for i in (1, 2, 3, 4)) + """ FROM ox),
+  far AS (SELECT o.*, s.score, c.threshold, """ + ", ".join(f"abs((o.x[{i}] - m{i}) / s{i}) AS z{i}" for i in (1, 2, 3, 4)) + f""" FROM ox o JOIN os s USING ({_KEYS}), cut c, spread
+    QUALIFY row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY collected_at DESC, o_key DESC, o_line DESC, supplier DESC) = 1)"""
+_REASON = "CASE WHEN z1 >= greatest(z2, z3, z4) THEN '{log_ratio}' WHEN z2 >= greatest(z3, z4) THEN '{delta_pct}' WHEN z3 >= z4 THEN '{gap_hours}' ELSE '{status_bad}' END".format(**{k: v.replace("'", "''") for k, v in texts.REASONS.items()})
+
+
+@query("anomaly_explain", f"SELECT product_id, 'ML_ANOMALY' AS type, CASE WHEN score < threshold - 0.05E0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, {printed(texts.ANOMALY, 'score', _REASON)} AS detail FROM far WHERE score < threshold", before=_SCORED)
+def _(spark, d):
+    """What is said of the unusual latest prices, with scores of trees by rule."""
+    scored = _rule_scores(spark, d).withColumn("score", rounded(F.col("score"), 6))
+    threshold = math.floor(exact_quantiles(scored, "score", [isolation.CONTAMINATION])[0] * 1e4 + 0.5) / 1e4
+    found = anomaly.explain_scores(scored, anomaly.statistics(scored), spark.range(1).select(F.lit(threshold).alias("threshold")), TIES)
+    return found.select("product_id", F.explode("anomalies").alias("a")).select("product_id", "a.*")
+
+
+@query("sort_multi_key", "SELECT product_id, collected_at, o_key, o_line, CAST(row_number() OVER (PARTITION BY product_id ORDER BY status DESC NULLS FIRST, competitor_price NULLS LAST, collected_at DESC, o_key, o_line) AS INTEGER) AS place FROM competitor_prices")
+def _(spark, d):
+    """The order of a product's observed prices: by state, then price with missing ones last, then the latest first."""
+    order = [F.col("status").desc_nulls_first(), F.col("competitor_price").asc_nulls_last(), F.col("collected_at").desc(), "o_key", "o_line"]
+    place = F.row_number().over(Window.partitionBy("product_id").orderBy(*order))
+    return retail.competitor_prices(spark, d).select("product_id", "collected_at", "o_key", "o_line", place.alias("place"))
+
+
+@query("to_datetime", """SELECT date_trunc('hour', strptime(strftime(ts, '%d/%m/%Y %H:%M:%S'), '%d/%m/%Y %H:%M:%S')) AS hour, count(*) AS n FROM events GROUP BY ALL""")
+def _(spark, d):
+    """Texts read as times, by hour."""
+    written = F.date_format(F.col("timestamp"), "dd/MM/yyyy HH:mm:ss")
+    hour = F.date_trunc("hour", F.to_timestamp(written, "dd/MM/yyyy HH:mm:ss"))
+    return retail.event_sales(spark, d).groupBy(hour.cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query("strftime", """SELECT strftime(ts, '%Y%m%d_%H%M%S') AS stamp, count(*) AS n FROM events GROUP BY ALL""")
+def _(spark, d):
+    """Time stamps as artifacts carry them."""
+    return retail.event_sales(spark, d).groupBy(F.date_format("timestamp", "yyyyMMdd_HHmmss").alias("stamp")).agg(F.count("*").alias("n"))
+
+
 def _demand_models(spark, d, trees: int = boosting.DEMAND_TREES):
     rows = features.training_features(weekly_sales(retail.sales(spark, d)))
     return boosting.ensembles(boosting.fit(rows, features.DEMAND_FEATURES, "qty", trees))
@@ -539,6 +579,32 @@ def _(spark, d):
     return boosting.fit(features.training_features(weekly_sales(retail.sales(spark, d))), features.DEMAND_FEATURES, "qty", boosting.DEMAND_TREES)
 
 
+_LAGS = [f"lag_{i}" for i in (1, 2, 3, 4)]
+_FIRST = """fx AS (SELECT [lag_1, lag_2, lag_3, lag_4] AS x, CAST(qty AS DOUBLE) AS y FROM trained),
+  total AS (SELECT count(*) AS rows FROM fx),
+  sorted AS (SELECT f, x[f + 1] AS v, row_number() OVER (PARTITION BY f ORDER BY x[f + 1]) - 1 AS r FROM fx, (SELECT CAST(unnest(range(4)) AS INTEGER) AS f)),
+  edges AS (SELECT DISTINCT f, v AS edge FROM sorted, total, (SELECT unnest(range(1, 64)) AS k) WHERE r = CAST(floor(k / 64.0E0 * (rows - 1)) AS BIGINT)),
+  guess AS (SELECT y AS first_guess FROM (SELECT y, row_number() OVER (ORDER BY y) - 1 AS r FROM fx), total WHERE r = CAST(floor(0.5E0 * (rows - 1)) AS BIGINT)),
+  level0 AS (SELECT x, y <= first_guess AS low, 0 AS node FROM fx, guess)""" + "".join(
+    f""",
+  split{k} AS (SELECT node, f, edge FROM (
+    SELECT *, s * s / n + (sa - s) * (sa - s) / (na - n) - sa * sa / na AS gain FROM (
+      SELECT node, f, edge, CAST(n AS DOUBLE) AS n, CAST(na AS DOUBLE) AS na, 0.5E0 * n - d AS s, 0.5E0 * na - da AS sa FROM (
+        SELECT node, f, edge, count(*) FILTER (x[f + 1] <= edge) AS n, count(*) FILTER (low AND x[f + 1] <= edge) AS d, count(*) AS na, count(*) FILTER (low) AS da FROM level{k}, edges GROUP BY node, f, edge)
+      WHERE n > 0 AND n < na)) WHERE gain > 1e-12 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, edge) = 1),
+  level{k + 1} AS (SELECT x, low, 2 * node + 1 + CASE WHEN x[f + 1] > edge THEN 1 ELSE 0 END AS node FROM level{k} LEFT JOIN split{k} USING (node))"""
+    for k in range(boosting.DEPTH)
+)
+
+
+@query("quantile_gbr_first_tree", " UNION ALL ".join(f"SELECT node, f AS feature, edge AS threshold FROM split{k}" for k in range(boosting.DEPTH)), before=_FIRST)
+def _(spark, d):
+    """The splits of a median's first tree over the four lags, whose bins are whole numbers."""
+    model = boosting.fit(features.training_features(weekly_sales(retail.sales(spark, d))), _LAGS, "qty", 1, alphas=(0.5,))
+    nodes = model.filter("tree = 0").select(F.posexplode(F.arrays_zip("feature", "threshold")).alias("node", "split"))
+    return nodes.select("node", "split.*").filter(F.col("threshold") < float("inf"))
+
+
 @query("demand_predict")
 def _(spark, d):
     return demand_cascade(retail.products(spark, d), weekly_sales(retail.sales(spark, d)), _baseline(spark, d), _demand_models(spark, d))
