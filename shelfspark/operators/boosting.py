@@ -2,7 +2,7 @@
 
 Each tree of depth 3 is fitted to the gradient of the quantile loss on binned features; its leaves are the quantiles of
 the residuals (Friedman 2001). All rows are fitted, by tasks that each hold one part of them as bin numbers and run
-together in one barrier stage. For each level of the trees of all quantiles, a task counts its rows by node, feature, bin
+together in one barrier stage (raw values go to a temporary file of the task). For each level of the trees of all quantiles, a task counts its rows by node, feature, bin
 and side of the guess; the first task adds the counts up, and all find the same split. Leaf values come from counts of
 residuals, first in coarse ranges, then in fine ones within the range that holds the quantile. What is exchanged are whole
 numbers and bounds, so the trees are the same however rows are dealt, and its size depends on bins and leaves alone. Spark's
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import secrets
 import socket
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ NODES, LEAVES = 2**DEPTH - 1, 2**DEPTH
 RANGES = 1024
 #: Tasks of a fit, at most: the first receives what all others send, some 100 KB for each level.
 TASKS = 64
+#: Rows that are worked on at once, in a fit and in scoring.
+CHUNK, SCORED = 1 << 15, 1 << 13
 MODEL = "alpha double, tree int, feature array<int>, threshold array<double>, value array<double>"
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -96,16 +99,50 @@ def _received(link: socket.socket, size: int) -> bytes:
     return bytes(out)
 
 
+class Spool:
+    """A column of numbers in a temporary file of its task: raw values are read in a few passes over slices, so they needn't
+    be held."""
+
+    def __init__(self) -> None:
+        self.file, self.number = tempfile.TemporaryFile(), 0
+
+    def append(self, values: np.ndarray) -> None:
+        self.file.write(np.ascontiguousarray(values, dtype=np.float64).data)
+        self.number += len(values)
+
+    def __len__(self) -> int:
+        return self.number
+
+    def __getitem__(self, rows: slice) -> np.ndarray:
+        start, stop, _ = rows.indices(self.number)
+        self.file.seek(8 * start)
+        return np.frombuffer(self.file.read(8 * (stop - start)), dtype=np.float64)
+
+
+def _slices(n: int) -> list[slice]:
+    return [slice(at, at + CHUNK) for at in range(0, n, CHUNK)]
+
+
 @dataclass
 class Part:
     """Values in groups 0 .. groups - 1, all of them between `low` and `high` (which hold for the values of all tasks)."""
 
-    values: np.ndarray
+    values: np.ndarray | Spool
     group: np.ndarray | int
     groups: int
     low: float
     high: float
 
+    def ranges(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Slice by slice the values, the key of their group and range, and their place in that range."""
+        scale = RANGES / (self.high - self.low) if self.high > self.low else 0.0
+        for rows in _slices(len(self.values)):
+            values = self.values[rows]
+            x = (values - self.low) * scale
+            coarse = np.minimum(x.astype(np.int64), RANGES - 1)
+            group = self.group if np.ndim(self.group) == 0 else self.group[rows].astype(np.int64)
+            yield values, group * RANGES + coarse, x - coarse
+
 
 def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: bool = False) -> np.ndarray:
     """Of each group of each part the values at `fractions` (groups, k) of its order, interpolated within a range of
@@ -113,14 +150,13 @@ def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: boo
     empty groups."""
     groups, k = fractions.shape
     low, high = (np.repeat([getattr(p, side) for p in parts], [p.groups for p in parts]) for side in ("low", "high"))
-    scaled, keys, before = [], [], 0
-    for p in parts:
-        x = (p.values - p.low) * (RANGES / (p.high - p.low) if p.high > p.low else 0.0)
-        coarse = np.minimum(x.astype(np.int64), RANGES - 1)
-        scaled.append(x - coarse)
-        keys.append((p.group + before) * RANGES + coarse)
-        before += p.groups
-    counts, _ = peers.total(sum(np.bincount(key, minlength=groups * RANGES) for key in keys).reshape(groups, RANGES))
+    first = np.concatenate(([0], np.cumsum([p.groups for p in parts])))
+    counts = np.zeros(groups * RANGES, dtype=np.int64)
+    for p, at in zip(parts, first, strict=False):
+        own = counts[at * RANGES : (at + p.groups) * RANGES]
+        for _, key, _ in p.ranges():
+            own += np.bincount(key, minlength=len(own))
+    counts, _ = peers.total(counts.reshape(groups, RANGES))
     ends = counts.cumsum(axis=1)
     number = ends[:, -1:]
     rank = fractions * np.maximum(number - 1, 0)
@@ -131,10 +167,22 @@ def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: boo
     mine = mine.reshape(groups, k)
     slot = np.full(groups * RANGES, -1, dtype=np.int64)
     slot[wanted] = np.arange(len(wanted))
-    own = [slot[key] for key in keys]
-    held = [np.flatnonzero(o >= 0) for o in own]
-    finer = np.concatenate([o[h] * RANGES + np.minimum((x[h] * RANGES).astype(np.int64), RANGES - 1) for o, h, x in zip(own, held, scaled, strict=True)])
-    counts, _ = peers.total(np.bincount(finer, minlength=len(wanted) * RANGES).reshape(len(wanted), RANGES))
+
+    def finer(p: Part, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Slice by slice the values in ranges that hold a quantile, and their finer range."""
+        known = slot[at * RANGES : (at + p.groups) * RANGES]
+        for values, key, x in p.ranges():
+            own = known[key]
+            held = np.flatnonzero(own >= 0)
+            yield values[held], own[held] * RANGES + np.minimum((x[held] * RANGES).astype(np.int64), RANGES - 1)
+
+    counts = np.zeros(len(wanted) * RANGES, dtype=np.int64)
+    for p, at in zip(parts, first, strict=False):
+        # The slots of a part lie side by side.
+        begin, end = np.searchsorted(wanted, [at * RANGES, (at + p.groups) * RANGES]) * RANGES
+        for _, key in finer(p, at):
+            counts[begin:end] += np.bincount(key - begin, minlength=end - begin)
+    counts, _ = peers.total(counts.reshape(len(wanted), RANGES))
     ends = counts.cumsum(axis=1)
     at = np.minimum((ends[mine] <= np.floor(rest)[:, :, None]).sum(axis=2), RANGES - 1)
     inside = rest - (ends[mine, at] - counts[mine, at])
@@ -143,15 +191,16 @@ def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: boo
     if exact:
         # The least and greatest value in each range that holds a quantile.
         order, name = np.unique(mine * RANGES + at, return_inverse=True)
-        place = np.searchsorted(order, finer)
-        among = np.flatnonzero(np.take(order, place, mode="clip") == finer)
-        values = np.concatenate([p.values[h] for p, h in zip(parts, held, strict=True)])[among]
         bounds = np.full((2, len(order)), -np.inf)
-        np.maximum.at(bounds[0], place[among], -values)
-        np.maximum.at(bounds[1], place[among], values)
+        for p, begin in zip(parts, first, strict=False):
+            for values, key in finer(p, begin):
+                place = np.searchsorted(order, key)
+                among = np.flatnonzero(np.take(order, place, mode="clip") == key)
+                np.maximum.at(bounds[0], place[among], -values[among])
+                np.maximum.at(bounds[1], place[among], values[among])
         _, bounds = peers.total(np.zeros(0), bounds.ravel())
-        first, last = (x[name.reshape(groups, k)] for x in (-bounds[: len(order)], bounds[len(order) :]))
-        out = np.where(first == last, first, np.clip(out, first, last))
+        least, most = (x[name.reshape(groups, k)] for x in (-bounds[: len(order)], bounds[len(order) :]))
+        out = np.where(least == most, least, np.clip(out, least, most))
     return np.where(number > 0, out, np.nan)
 
 
@@ -169,50 +218,82 @@ def _splits(counts: np.ndarray, alpha: float, usable: np.ndarray) -> tuple[np.nd
     return gain[np.arange(len(at)), at] > 1e-12, at // BINS, at % BINS
 
 
-def grow(x: np.ndarray, y: np.ndarray, alphas: tuple[float, ...], trees: int, peers: Peers, rate: float = RATE) -> list[tuple[float, list[Tree]]]:
+def _counts(key: np.ndarray, codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """For each feature the rows by key and bin."""
+    cell = np.empty(len(key), dtype=np.int64)
+    for own in codes:
+        yield np.bincount(np.add(key, own, out=cell), minlength=size)
+
+
+def grow(columns: list[np.ndarray] | list[Spool], y: np.ndarray | Spool, alphas: tuple[float, ...], trees: int, peers: Peers, rate: float = RATE) -> list[tuple[float, list[Tree]]]:
     """For each quantile the first guess, and of each tree its features, thresholds (go right above) and leaf values, already
-    times `rate`. `x` (rows, features) and `y` are this task's rows."""
-    n, width = x.shape
-    everything = np.concatenate((x, y[:, None]), axis=1)
-    most = np.stack((-everything, everything)).max(axis=1) if n else np.full((2, width + 1), -np.inf)
+    times `rate`. `columns` (the features) and `y` are this task's rows. What is held of a row are a byte for each feature,
+    and for each quantile its residual and a byte for its node; all else is worked out slice by slice."""
+    n, width, sizes = len(y), len(columns), _slices(len(y))
+    most = np.full((2, width + 1), -np.inf)
+    for rows in sizes:
+        for j, column in enumerate([*columns, y]):
+            values = column[rows]
+            most[:, j] = np.maximum(most[:, j], (-values.min(), values.max()))
     count, most = peers.total(np.array([n]), most.ravel())
     if not count[0]:
         return []
     low, high = -most[: width + 1], most[width + 1 :]
     cuts = np.tile(np.arange(1, BINS) / BINS, (width, 1))
-    edges = [np.unique(e) for e in quantiles(peers, [Part(x[:, j], 0, 1, low[j], high[j]) for j in range(width)], cuts, exact=True)]
-    codes = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)]).astype(np.uint8)
+    edges = [np.unique(e) for e in quantiles(peers, [Part(c, 0, 1, low[j], high[j]) for j, c in enumerate(columns)], cuts, exact=True)]
+    codes = np.empty((width, n), dtype=np.uint8)
+    for rows in sizes:
+        for j, e in enumerate(edges):
+            codes[j, rows] = np.searchsorted(e, columns[j][rows], side="left")
     usable = np.arange(BINS)[None, :] < np.array([len(e) for e in edges])[:, None]
     starts = quantiles(peers, [Part(y, 0, 1, low[-1], high[-1])], np.array([alphas]), exact=True)[0]
-    rest = [y - s for s in starts]
+    rest, node = np.empty((len(alphas), n)), np.empty((len(alphas), n), dtype=np.uint8)
+    for rows in sizes:
+        rest[:, rows] = y[rows] - starts[:, None]
     found: list[tuple[float, list[Tree]]] = [(float(s), []) for s in starts]
+    both = np.arange(2 ** len(alphas))
     for _ in range(trees):
-        sides = [(r <= 0).astype(np.int64) for r in rest]
-        node = [np.zeros(n, dtype=np.int64) for _ in alphas]
+        node[:] = 0
         feature = np.zeros((len(alphas), NODES), dtype=np.int32)
         cut = np.full((len(alphas), NODES), BINS, dtype=np.int64)
-        bounds = np.array([[-r.min(), r.max()] if n else [-np.inf] * 2 for r in rest])
+        bounds = np.full((len(alphas), 2), -np.inf)
         for level in range(DEPTH):
             first, wide = 2**level - 1, 2**level
             counts = np.zeros((len(alphas), width, wide * 2 * BINS), dtype=np.int64)
-            for a in range(len(alphas)):
-                key = ((node[a] - first) * 2 + sides[a]) * BINS
-                for j in range(width):
-                    counts[a, j] = np.bincount(key + codes[j], minlength=wide * 2 * BINS)
+            for rows in sizes:
+                if level == 0:
+                    bounds = np.maximum(bounds, np.stack((-rest[:, rows].min(axis=1), rest[:, rows].max(axis=1)), axis=1))
+                    # All rows are at the root, so the sides of all guesses are counted at once.
+                    sides = ((rest[:, rows] <= 0) << np.arange(len(alphas))[:, None]).sum(axis=0) * BINS
+                    for j, c in enumerate(_counts(sides, codes[:, rows], len(both) * BINS)):
+                        split_by_side = c.reshape(-1, BINS)
+                        for a in range(len(alphas)):
+                            above = both >> a & 1 == 0
+                            counts[a, j] += np.concatenate((split_by_side[above].sum(axis=0), split_by_side[~above].sum(axis=0)))
+                    continue
+                for a in range(len(alphas)):
+                    key = ((node[a, rows].astype(np.int64) - first) * 2 + (rest[a, rows] <= 0)) * BINS
+                    for j, c in enumerate(_counts(key, codes[:, rows], wide * 2 * BINS)):
+                        counts[a, j] += c
             counts, most = peers.total(counts, bounds.ravel() if level == 0 else None)
             if level == 0:
                 bounds = most.reshape(-1, 2)
             for a, alpha in enumerate(alphas):
                 split, f, b = _splits(counts[a].reshape(width, wide, 2, BINS).transpose(1, 2, 0, 3), alpha, usable)
-                right = np.zeros(n, dtype=bool)
-                for k in np.flatnonzero(split):
-                    feature[a, first + k], cut[a, first + k] = f[k], b[k]
-                    right |= (codes[f[k]] > b[k]) & (node[a] == first + k)
-                node[a] = 2 * node[a] + 1 + right
-        parts = [Part(rest[a], node[a] - NODES, LEAVES, -bounds[a, 0], bounds[a, 1]) for a in range(len(alphas))]
+                split = np.flatnonzero(split)
+                feature[a, first + split], cut[a, first + split] = f[split], b[split]
+                for rows in sizes:
+                    at = node[a, rows]
+                    right = np.zeros(len(at), dtype=bool)
+                    for k in split:
+                        right |= (codes[f[k], rows] > b[k]) & (at == first + k)
+                    node[a, rows] = 2 * at + 1 + right
+        node -= NODES
+        parts = [Part(rest[a], node[a], LEAVES, -bounds[a, 0], bounds[a, 1]) for a in range(len(alphas))]
         value = rate * np.nan_to_num(quantiles(peers, parts, np.repeat(alphas, LEAVES)[:, None])[:, 0]).reshape(len(alphas), LEAVES)
         for a in range(len(alphas)):
-            rest[a] -= value[a][node[a] - NODES]
+            for rows in sizes:
+                rest[a, rows] -= value[a][node[a, rows]]
             threshold = np.array([edges[f][c] if c < BINS else np.inf for f, c in zip(feature[a], cut[a], strict=True)])
             found[a][1].append((feature[a], threshold, value[a]))
     return found
@@ -220,7 +301,7 @@ def grow(x: np.ndarray, y: np.ndarray, alphas: tuple[float, ...], trees: int, pe
 
 def fit_trees(x: np.ndarray, y: np.ndarray, alpha: float, trees: int, rate: float = RATE) -> tuple[float, list[Tree]]:
     """One quantile, with all rows in one place."""
-    return grow(x, y, (alpha,), trees, Peers(), rate)[0]
+    return grow(list(x.T), y, (alpha,), trees, Peers(), rate)[0]
 
 
 def fit(rows: DataFrame, features: list[str], target: str, trees: int, key: tuple[str, ...] = ("product_id", "week"), alphas: tuple[float, ...] = ALPHAS, tasks: int | None = None) -> DataFrame:
@@ -230,10 +311,12 @@ def fit(rows: DataFrame, features: list[str], target: str, trees: int, key: tupl
     tasks = tasks or min(rows.sparkSession.sparkContext.defaultParallelism, TASKS)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]], axis=1) for b in batches]
-        held = np.concatenate(parts) if parts else np.zeros((0, len(features) + 1))
+        held = [Spool() for _ in range(len(features) + 1)]
+        for b in batches:
+            for spool, c in zip(held, b.columns[:-1], strict=True):
+                spool.append(c.to_numpy(zero_copy_only=False))
         peers = Peers.of(BarrierTaskContext.get())
-        found = grow(np.ascontiguousarray(held[:, :-1]), held[:, -1].copy(), alphas, trees, peers)
+        found = grow(held[:-1], held[-1], alphas, trees, peers)
         for link in peers.links:
             link.close()
         if peers.first:
@@ -259,15 +342,15 @@ class Ensemble:
         self.value = np.array([r["value"] for r in rows[1:]]).reshape(-1, NODES + 1)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        """A tree's seven questions are answered for a slice of rows at a time; the leaf follows from the answers' bits."""
         out = np.full(len(x), self.start)
-        trees = np.arange(len(self.feature))
-        for a in range(0, len(x), 1024):
-            part = x[a : a + 1024]
-            node = np.zeros((len(part), len(trees)), dtype=np.int64)
-            for _ in range(DEPTH):
-                f = self.feature[trees, node]
-                node = 2 * node + 1 + (np.take_along_axis(part, f, axis=1) > self.threshold[trees, node])
-            out[a : a + 1024] += self.value[trees, node - NODES].sum(axis=1)
+        for a in range(0, len(x), SCORED):
+            columns, held = np.ascontiguousarray(x[a : a + SCORED].T), out[a : a + SCORED]
+            for feature, threshold, value in zip(self.feature, self.threshold, self.value, strict=True):
+                q = [(columns[f] > t).view(np.uint8) for f, t in zip(feature, threshold, strict=True)]
+                second = q[1] ^ ((q[1] ^ q[2]) & q[0])
+                left, right = q[3] ^ ((q[3] ^ q[4]) & second), q[5] ^ ((q[5] ^ q[6]) & second)
+                held += value[4 * q[0] + 2 * second + (left ^ ((left ^ right) & q[0]))]
         return out
 
 

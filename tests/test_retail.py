@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -240,6 +241,24 @@ def test_trees_do_not_depend_on_how_rows_are_dealt(spark):
     assert boosting.fit(df.limit(0), ["a", "b", "c"], "y", 2).collect() == []
 
 
+def test_a_fit_holds_few_bytes_of_a_row():
+    rng = np.random.default_rng(4)
+    n = 400_000
+    held = [boosting.Spool() for _ in range(4)]
+    for _ in range(8):
+        for spool in held:
+            spool.append(rng.gamma(2, 9, n // 8))
+    x, y = np.stack([c[:] for c in held[:-1]], axis=1), held[-1][:]
+    assert len(held[0]) == n and (held[0][10:20] == x[10:20, 0]).all()
+    tracemalloc.start()
+    start, trees = boosting.fit_trees(x, y, 0.5, 2)
+    assert tracemalloc.get_traced_memory()[1] < 40 * n
+    tracemalloc.stop()
+    # Columns in files give the same trees.
+    [(again, others)] = boosting.grow(held[:-1], held[-1], (0.5,), 2, boosting.Peers())
+    assert start == again and all((u == v).all() for a, b in zip(trees, others, strict=True) for u, v in zip(a, b, strict=True))
+
+
 def test_quantiles_from_counts():
     rng = np.random.default_rng(3)
     for values in (rng.normal(0, 1, 999), rng.integers(0, 5, 700).astype(float), np.full(10, 4.0), np.append(rng.normal(0, 1, 500), 1e6)):
