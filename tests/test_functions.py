@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.functions.selection import exact_quantiles
+from shelfspark.functions.selection import exact_quantiles, exact_quantiles_of
 from shelfspark.functions.semantics import nearest
 from shelfspark.functions.texts import say
 from shelfspark.plans import config
@@ -59,6 +59,21 @@ def test_quantiles_are_exact(spark, few):
     assert exact_quantiles(df.limit(0), "x", [0.5]) == [None]
 
 
+def test_quantiles_of_several_columns_come_from_the_same_scans(spark):
+    rng = np.random.default_rng(6)
+    parts = {"a": rng.normal(0, 1, 5000), "b": rng.integers(-2, 3, 5000).astype(float), "c": np.append(rng.exponential(1e-9, 4998), (math.inf, -math.inf))}
+    df = spark.createDataFrame([tuple(map(float, r)) + (None,) for r in zip(*parts.values(), strict=True)], "a double, b double, c double, d double")
+    got = exact_quantiles_of(df, {"a": [0.1, 0.5], "b": [0.3], "c": [0.25, 0.0, 1.0], "d": [0.5]}, few=10)
+    for c, fractions in (("a", [0.1, 0.5]), ("b", [0.3]), ("c", [0.25])):
+        ordered = np.sort(parts[c])
+        for f, q in zip(fractions, got[c], strict=False):
+            at = f * 4999
+            low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+            assert q == low + (high - low) * (at - math.floor(at))
+    assert got["c"][1:] == [-math.inf, math.inf]
+    assert got["d"] == [None]
+
+
 def test_env_file(tmp_path):
     (tmp_path / ".env").write_text("# folders\nDATA_DIR=/d  # the data\nexport ARTIFACTS_DIR=\"/a b/\\\"x\\\"\"\nMODELS_DIR='/m # no comment'\nnonsense\n\nREPORTS_DIR =\n")
     base = str(tmp_path)
