@@ -18,6 +18,8 @@ from shelfspark.functions.selection import exact_quantiles
 
 TREES, SAMPLE, DEPTH, CONTAMINATION, SEED = 400, 256, 8, 0.05, 42
 NODES = 2 ** (DEPTH + 1) - 1
+#: Rows that walk through a tree at once.
+SCORED = 1 << 13
 MODEL = "tree int, feature array<int>, threshold array<double>, path array<double>, sampled int"
 
 
@@ -68,24 +70,34 @@ def fit(rows: DataFrame, features: list[str], key: list[str], trees: int = TREES
 
 
 class Forest:
+    """All trees as arrays. Leaves above the greatest depth are led to its leftmost node, so every walk has equal length."""
+
     def __init__(self, rows: list):
         rows = sorted(rows, key=lambda r: r["tree"])
         self.feature = np.array([r["feature"] for r in rows], dtype=np.int64)
         self.threshold = np.array([r["threshold"] for r in rows])
         self.path = np.array([r["path"] for r in rows])
+        for k in range(NODES // 2):
+            self.path[:, 2 * k + 1] = np.where(np.isfinite(self.threshold[:, k]), self.path[:, 2 * k + 1], self.path[:, k])
         self.norm = float(np.mean([average_path(r["sampled"]) for r in rows])) or 1.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """-2^(-E[path] / c): near -1 for outliers."""
-        out, trees = np.empty(len(x)), np.arange(len(self.feature))
-        for a in range(0, len(x), 512):
-            part = x[a : a + 512]
-            node = np.zeros((len(part), len(trees)), dtype=np.int64)
-            for _ in range(DEPTH):
-                cut = self.threshold[trees, node]
-                value = np.take_along_axis(part, self.feature[trees, node], axis=1)
-                node = np.where(np.isfinite(cut), 2 * node + 1 + (value >= cut), node)
-            out[a : a + 512] = -(2.0 ** (-self.path[trees, node].mean(axis=1) / self.norm))
+        out = np.empty(len(x))
+        for a in range(0, len(x), SCORED):
+            part = np.ascontiguousarray(x[a : a + SCORED].T)
+            n, flat, row = part.shape[1], part.ravel(), np.arange(part.shape[1])
+            total = np.zeros(n)
+            for feature, threshold, path in zip(self.feature * n, self.threshold, self.path, strict=True):
+                node = np.zeros(n, dtype=np.int64)
+                for _ in range(DEPTH):
+                    value = flat.take(feature.take(node) + row)
+                    value = value >= threshold.take(node)
+                    node *= 2
+                    node += 1
+                    node += value
+                total += path.take(node)
+            out[a : a + n] = -(2.0 ** (-(total / len(self.path)) / self.norm))
         return out
 
 

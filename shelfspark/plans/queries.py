@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import texts
-from shelfspark.functions.selection import exact_quantiles
+from shelfspark.functions.selection import exact_quantiles, exact_quantiles_of
 from shelfspark.functions.semantics import argmax_first, argmin_first, latest_per_group, nearest, rounded
 from shelfspark.operators import anomaly, boosting, features, isolation, optimize, rules
 from shelfspark.operators.weekly import competitor_week_median, promo_weeks, weekly_sales, weekly_sales_price
@@ -452,8 +452,10 @@ def _(spark, d):
 _STEPS, _TREES = 9, 12
 
 
-def _cuts(rows: DataFrame, columns: list[str]) -> list[list[float]]:
-    return [[math.floor(q * 1e6 + 0.5) / 1e6 for q in exact_quantiles(rows, c, [k / 10 for k in range(1, _STEPS + 1)])] for c in columns]
+def _cuts(rows: DataFrame, columns: list[str], medians: tuple[str, ...] = ()) -> tuple[list[list[float]], list[float]]:
+    """The rounded tenths of each column, and the medians of others, all in the same scans."""
+    found = exact_quantiles_of(rows, {c: [k / 10 for k in range(1, _STEPS + 1)] for c in columns} | {c: [0.5] for c in medians})
+    return [[math.floor(q * 1e6 + 0.5) / 1e6 for q in found[c]] for c in columns], [found[c][0] for c in medians]
 
 
 def _rule_nodes(width: int, rows: str) -> str:
@@ -485,8 +487,8 @@ _X = "[CAST(product_id AS DOUBLE), lag_1, lag_2, lag_3, lag_4, roll_mean_4, roll
 )
 def _(spark, d):
     rows = features.training_features(weekly_sales(retail.sales(spark, d)))
-    cuts = _cuts(rows, features.DEMAND_FEATURES)
-    trees = [{"tree": -1, "value": exact_quantiles(rows, "qty", [0.5])}]
+    cuts, middle = _cuts(rows, features.DEMAND_FEATURES, ("qty",))
+    trees = [{"tree": -1, "value": middle}]
     for t in range(_TREES):
         f = [(t + 3 * k) % 7 for k in range(boosting.NODES)]
         trees.append({"tree": t, "feature": f, "threshold": [cuts[f[k]][(5 * t + 7 * k) % _STEPS] for k in range(boosting.NODES)], "value": [_leaf(t, k) for k in range(8)]})
@@ -500,7 +502,7 @@ _PATHS = f"SELECT {_KEYS}, -power(2.0E0, -avg(3 + (t * 8 + k) * 29 % 17 / 4.0E0)
 
 
 def _rule_forest(rows: DataFrame) -> isolation.Forest:
-    cuts, trees = _cuts(rows, anomaly.FEATURES), []
+    (cuts, _), trees = _cuts(rows, anomaly.FEATURES), []
     for t in range(_TREES):
         f, threshold, path = np.zeros(isolation.NODES, dtype=int), np.full(isolation.NODES, np.inf), np.zeros(isolation.NODES)
         for k in range(7):
@@ -511,10 +513,15 @@ def _rule_forest(rows: DataFrame) -> isolation.Forest:
     return isolation.Forest(trees)
 
 
-def _rule_scores(spark, d) -> DataFrame:
+def _rule_forest_rows(spark, d) -> tuple[DataFrame, isolation.Forest]:
     rows = anomaly.training_dataset(retail.competitor_prices(spark, d), retail.products(spark, d), TIES)
     rows = rows.withColumns({c: rounded(F.col(c)) for c in ("log_ratio", "delta_pct")})
-    return isolation.score(rows, anomaly.FEATURES, _rule_forest(rows), "score")
+    return rows, _rule_forest(rows)
+
+
+def _rule_scores(spark, d) -> DataFrame:
+    rows, forest = _rule_forest_rows(spark, d)
+    return isolation.score(rows, anomaly.FEATURES, forest, "score")
 
 
 @query("iforest_score", f"SELECT {_KEYS}, {r4('score')} AS score FROM ({_PATHS})", before=f"{_OBSERVED}, {_rule_nodes(4, 'ox')}")
@@ -541,9 +548,13 @@ _REASON = "CASE WHEN z1 >= greatest(z2, z3, z4) THEN '{log_ratio}' WHEN z2 >= gr
 @query("anomaly_explain", f"SELECT product_id, 'ML_ANOMALY' AS type, CASE WHEN score < threshold - 0.05E0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, {printed(texts.ANOMALY, 'score', _REASON)} AS detail FROM far WHERE score < threshold", before=_SCORED)
 def _(spark, d):
     """What is said of the unusual latest prices, with scores of trees by rule."""
-    scored = _rule_scores(spark, d).withColumn("score", rounded(F.col("score"), 6))
-    threshold = math.floor(exact_quantiles(scored, "score", [isolation.CONTAMINATION])[0] * 1e4 + 0.5) / 1e4
-    found = anomaly.explain_scores(scored, anomaly.statistics(scored), spark.range(1).select(F.lit(threshold).alias("threshold")), TIES)
+    rows, forest = _rule_forest_rows(spark, d)
+    scores = isolation.score(rows, anomaly.FEATURES, forest, "score").select(rounded(F.col("score"), 6).alias("score"))
+    threshold = math.floor(exact_quantiles(scores, "score", [isolation.CONTAMINATION])[0] * 1e4 + 0.5) / 1e4
+    # Only the latest row of each competitor is explained, so only these are scored again.
+    latest = isolation.score(latest_per_group(rows, ["product_id", "competitor_id"], TIES), anomaly.FEATURES, forest, "score")
+    latest = latest.withColumn("score", rounded(F.col("score"), 6))
+    found = anomaly.explain_scores(latest, anomaly.statistics(rows), spark.range(1).select(F.lit(threshold).alias("threshold")), TIES)
     return found.select("product_id", F.explode("anomalies").alias("a")).select("product_id", "a.*")
 
 
@@ -641,7 +652,9 @@ def _(spark, d):
     z = anomaly.scaled(rows, stats)
     model = isolation.forest(isolation.fit(z, columns, ["product_id", "competitor_id", *TIES]))
     offset = exact_quantiles(isolation.score(z, columns, model), "raw_score", [isolation.CONTAMINATION])[0]
-    served = anomaly.scaled(anomaly.serving_rows(prices, products, TIES), stats).drop(*stats.columns)
+    # Only the latest row of each competitor is explained, so only these are scored.
+    latest = latest_per_group(anomaly.serving_rows(prices, products, TIES), ["product_id", "competitor_id"], TIES)
+    served = anomaly.scaled(latest, stats).drop(*stats.columns)
     scored = isolation.score(served, columns, model).withColumn("score", F.col("raw_score") - F.lit(offset))
     threshold = spark.range(1).select(F.lit(0.0).alias("threshold"))
     return anomaly.explain_scores(scored, stats, threshold, TIES)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import anomaly, boosting, features, isolation, optimize, rules
 from shelfspark.operators.weekly import competitor_week_median, promo_weeks, weekly_sales, weekly_sales_price
+from shelfspark.plans import queries
+from shelfspark.sources import retail
 
 SALES = "timestamp timestamp, product_id long, qty long, unit_price double"
 PRODUCTS = "product_id long, cost_price double, min_margin double, min_price double, current_price double, threshold_min int, threshold_max int, current_stock int"
@@ -203,6 +205,31 @@ def test_forest_isolates_outliers(spark):
     assert 0.03 < scored.filter("score < 0").count() / 1005 < 0.07
 
 
+def test_forest_walks_equal_a_plain_walk():
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (9000, 3)).round(1)
+    grown = [isolation.grow(x[rng.integers(0, 9000, 256)], t) for t in range(20)]
+    model = isolation.Forest([{"tree": t, "feature": f, "threshold": h, "path": p, "sampled": 256} for t, (f, h, p) in enumerate(grown)])
+    got, norm = model.score(x), float(isolation.average_path(256))
+    for i in range(0, 9000, 500):
+        paths = []
+        for f, h, p in grown:
+            k = 0
+            while np.isfinite(h[k]):
+                k = 2 * k + 1 + int(x[i, f[k]] >= h[k])
+            paths.append(p[k])
+        assert got[i] == pytest.approx(-(2.0 ** (-np.mean(paths) / norm)), rel=1e-12)
+
+
+def test_only_latest_prices_are_scored_to_be_explained(spark, monkeypatch):
+    rows, score = [], isolation.score
+    monkeypatch.setattr(isolation, "score", lambda df, *more: rows.append(df.count()) or score(df, *more))
+    d = "/root/testdata/sf0.001"
+    queries.QUERIES["anomaly_detect_ml"](spark, d)
+    prices = retail.competitor_prices(spark, d)
+    assert rows[-1] == prices.select("product_id", "competitor_id").distinct().count() < prices.count()
+
+
 def test_explained_scores(spark):
     stats = spark.createDataFrame([(0.0, 0.0, 10.0, 0.0, 1.0, 1.0, 5.0, 0.0)], ", ".join(f"{c}_mean double" for c in anomaly.FEATURES) + ", " + ", ".join(f"{c}_std double" for c in anomaly.FEATURES))
     rows = [(1, 1, day(0), -1.0, 0.0, 0.0, 12.0, 0), (1, 1, day(1), -0.01, 0.0, 3.0, 12.0, 0), (1, 2, day(0), -0.2, 0.0, 3.0, 12.0, 1), (2, 1, day(0), 0.4, 0.0, 0.0, 10.0, 0)]
