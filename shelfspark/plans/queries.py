@@ -263,14 +263,16 @@ FROM (
   SELECT *, CASE WHEN after < threshold_min THEN 'STOCKOUT' WHEN current_stock > threshold_max + p50 * 4 THEN 'OVERSTOCK' ELSE 'OK' END AS risk,
     CASE WHEN after < threshold_min THEN least(0.95E0, 0.50E0 + (threshold_min - after) / greatest(1.0E0, CAST(threshold_min AS DOUBLE)))
       WHEN current_stock > threshold_max + p50 * 4 THEN least(0.90E0, 0.45E0 + (CAST(current_stock AS DOUBLE) - threshold_max) / greatest(1.0E0, CAST(threshold_max AS DOUBLE))) ELSE 0.10E0 END AS probability
-  FROM (SELECT *, current_stock - p90 * (lead_time_days / 7.0E0) AS after FROM (SELECT r.*, coalesce(p50, 0.0E0) AS p50, coalesce(p90, 0.0E0) AS p90 FROM restock r LEFT JOIN baseline USING (product_id))))"""
+  FROM (SELECT *, current_stock - p90 * (lead_time_days / 7.0E0) AS after FROM (SELECT r.*, coalesce({r4('p50')}, 0.0E0) AS p50, coalesce({r4('p90')}, 0.0E0) AS p90 FROM restock r LEFT JOIN baseline USING (product_id))))"""
 
 
 @query("stock_risk", _RISK)
 def stock_risk(spark, d):
     """Flagship: sales to weekly demand to baseline, with the restock rules to a risk for each product."""
     products = retail.products(spark, d)
-    out = rules.stock_risk(products, _baseline(spark, d), rules.restock_rules(products, retail.product_suppliers(spark, d)))
+    # Engines differ in the last bit of percentiles, which decides a tie of the probability's rounding, so they are rounded first.
+    demand = _baseline(spark, d).withColumns({c: rounded(F.col(c)) for c in ("p50", "p90")})
+    out = rules.stock_risk(products, demand, rules.restock_rules(products, retail.product_suppliers(spark, d)))
     return out.withColumns({c: rounded(F.col(c)) for c in ("probability", "demand_weekly_p50", "demand_weekly_p90")})
 
 

@@ -309,3 +309,13 @@ def test_a_product_without_rule_gets_the_default_answer(spark):
     asked = spark.createDataFrame([(1,), (2,)], "product_id long")
     got = {r.product_id: (r.risk, r.probability, r.current_stock, r.lead_time_days) for r in rules.stock_risk(asked, demand, known).collect()}
     assert got[1][0] == "STOCKOUT" and got[2] == ("OK", 0.0, 0, rules.DEFAULT_LEAD_DAYS)
+
+
+def test_a_tie_of_the_risk_is_rounded_up(spark, tmp_path):
+    d, units = f"file://{tmp_path}", [2, 9, 11, 38, 43, 47, 47, 49]  # the 90 % percentile is 47.6
+    items = [(i, 1, 17119, 77, float(q), 10.0 * q, 0.0, "N", "O", dt.datetime(2024, 1, 1) + dt.timedelta(weeks=i)) for i, q in enumerate(units)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(17119, "b", "t", 100.0, 32)], "p_partkey long, p_brand string, p_type string, p_retailprice double, p_size int").write.parquet(f"{d}/part.parquet")
+    [got] = queries.QUERIES["stock_risk"](spark, d).collect()
+    # 0.5 + (32 - (153 - 47.6 * 19 / 7)) / 32 is 0.75625 exactly.
+    assert (got.risk, got.demand_weekly_p90, got.lead_time_days, got.probability) == ("STOCKOUT", 47.6, 19, 0.7563)
