@@ -2,8 +2,9 @@
 
 Each tree of depth 3 is fitted to the gradient of the quantile loss on binned features; its leaves are the quantiles of
 the residuals (Friedman 2001). All rows are fitted, by tasks that each hold one part of them as bin numbers and run
-together in one barrier stage (raw values go to a temporary file of the task). For each level of the trees of all quantiles, a task counts its rows by node, feature, bin
-and side of the guess; the first task adds the counts up, and all find the same split. Leaf values come from counts of
+together in one barrier stage (raw values go to a temporary file of the task). For each level of the trees of all
+quantiles, a task counts its rows by node, feature, bin and side of the guess; the first task adds the counts up, and all
+find the same split. Leaf values come from counts of
 residuals, first in coarse ranges, then in fine ones within the range that holds the quantile. What is exchanged are whole
 numbers and bounds, so the trees are the same however rows are dealt, and its size depends on bins and leaves alone. Spark's
 own exchange between barrier tasks takes a second each time, so it passes on only where the first task can be reached.
