@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 #: Rows that are few enough to be fetched as distinct values with counts.
 FEW = 10_000
-#: Ranges of the first round for each unit of the logarithm, and of a later one.
-RANGES = 4096
+#: Ranges of the first round for each unit of the logarithm, few enough that a task adds up most of its rows, and of a later
+#: round.
+FIRST, RANGES = 256, 4096
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -26,12 +27,12 @@ def _counted(rows: DataFrame) -> DataFrame:
     return found.withColumn("upto", F.sum("n").over(Window.partitionBy("slot").orderBy("place")))
 
 
-def exact_quantiles_of(df: DataFrame, wanted: dict[str, list[float]], few: int = FEW) -> dict[str, list[float | None]]:
+def exact_quantiles_of(df: DataFrame, wanted: dict[str, list[float]], few: int = FEW, persisted: bool = False) -> dict[str, list[float | None]]:
     """The quantiles of several columns at once, linear between neighbours; null and NaN count as missing, and without a value
-    they are None."""
+    they are None. The columns are persisted meanwhile, unless `df` already is."""
     spark, names = df.sparkSession, list(wanted)
     wide = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(names)])
-    held = [wide.persist(StorageLevel.MEMORY_AND_DISK)]
+    held = [] if persisted else [wide.persist(StorageLevel.MEMORY_AND_DISK)]
     try:
         totals = wide.agg(*[F.count(c).alias(c) for c in wide.columns]).first()
         places = {i: [f * (totals[i] - 1) for f in wanted[c]] for i, c in enumerate(names) if totals[i]}
@@ -41,7 +42,7 @@ def exact_quantiles_of(df: DataFrame, wanted: dict[str, list[float]], few: int =
         rows = wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"x{i}").alias("x")) for i in range(len(names))])).alias("r")).select("r.*").filter("x IS NOT NULL")
         # The logarithm of a double lies between -745 and 710, or is infinite; 0 has none and is a range of its own.
         size = F.coalesce(F.least(F.log(F.abs("x")), F.lit(800.0)) + F.lit(800.0), F.lit(0.0))
-        rows = rows.withColumn("place", F.floor(F.signum("x") * size * RANGES))
+        rows = rows.withColumn("place", F.floor(F.signum("x") * size * FIRST))
         while sought:
             asked = spark.createDataFrame(list(sought), "slot int, rank long")
             got = _counted(rows).join(F.broadcast(asked), "slot").filter("rank < upto AND rank >= upto - n").collect()
@@ -79,7 +80,7 @@ def exact_quantiles_of(df: DataFrame, wanted: dict[str, list[float]], few: int =
             frame.unpersist()
 
 
-def exact_quantiles(df: DataFrame, value: str | Column, fractions: list[float], few: int = FEW) -> list[float | None]:
+def exact_quantiles(df: DataFrame, value: str | Column, fractions: list[float], few: int = FEW, persisted: bool = False) -> list[float | None]:
     """The quantiles of one column."""
     column = F.col(value) if isinstance(value, str) else value
-    return exact_quantiles_of(df.select(column.alias("x")), {"x": fractions}, few)["x"]
+    return exact_quantiles_of(df.select(column.alias("x")), {"x": fractions}, few, persisted)["x"]

@@ -70,7 +70,8 @@ def fit(rows: DataFrame, features: list[str], key: list[str], trees: int = TREES
 
 
 class Forest:
-    """All trees as arrays. Leaves above the greatest depth are led to its leftmost node, so every walk has equal length."""
+    """All trees as arrays. Leaves above the greatest depth of these trees are led to its leftmost node, so every walk has
+    equal length."""
 
     def __init__(self, rows: list):
         rows = sorted(rows, key=lambda r: r["tree"])
@@ -79,6 +80,8 @@ class Forest:
         self.path = np.array([r["path"] for r in rows])
         for k in range(NODES // 2):
             self.path[:, 2 * k + 1] = np.where(np.isfinite(self.threshold[:, k]), self.path[:, 2 * k + 1], self.path[:, k])
+        inner = np.flatnonzero(np.isfinite(self.threshold).any(axis=0))
+        self.depth = int(inner[-1] + 1).bit_length() if len(inner) else 0
         self.norm = float(np.mean([average_path(r["sampled"]) for r in rows])) or 1.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -90,7 +93,7 @@ class Forest:
             total = np.zeros(n)
             for feature, threshold, path in zip(self.feature * n, self.threshold, self.path, strict=True):
                 node = np.zeros(n, dtype=np.int64)
-                for _ in range(DEPTH):
+                for _ in range(self.depth):
                     value = flat.take(feature.take(node) + row)
                     value = value >= threshold.take(node)
                     node *= 2

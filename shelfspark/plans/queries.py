@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -454,9 +456,9 @@ def _(spark, d):
 _STEPS, _TREES = 9, 12
 
 
-def _cuts(rows: DataFrame, columns: list[str], medians: tuple[str, ...] = ()) -> tuple[list[list[float]], list[float]]:
+def _cuts(rows: DataFrame, columns: list[str], medians: tuple[str, ...] = (), persisted: bool = False) -> tuple[list[list[float]], list[float]]:
     """The rounded tenths of each column, and the medians of others, all in the same scans."""
-    found = exact_quantiles_of(rows, {c: [k / 10 for k in range(1, _STEPS + 1)] for c in columns} | {c: [0.5] for c in medians})
+    found = exact_quantiles_of(rows, {c: [k / 10 for k in range(1, _STEPS + 1)] for c in columns} | {c: [0.5] for c in medians}, persisted=persisted)
     return [[math.floor(q * 1e6 + 0.5) / 1e6 for q in found[c]] for c in columns], [found[c][0] for c in medians]
 
 
@@ -503,8 +505,8 @@ _KEYS = "product_id, competitor_id, collected_at, o_key, o_line, supplier"
 _PATHS = f"SELECT {_KEYS}, -power(2.0E0, -avg(3 + (t * 8 + k) * 29 % 17 / 4.0E0) / {float(isolation.average_path(256))!r}) AS score FROM ({_walk('ox', _KEYS, '>=')}) GROUP BY {_KEYS}"
 
 
-def _rule_forest(rows: DataFrame) -> isolation.Forest:
-    (cuts, _), trees = _cuts(rows, anomaly.FEATURES), []
+def _rule_forest(rows: DataFrame, persisted: bool = False) -> isolation.Forest:
+    (cuts, _), trees = _cuts(rows, anomaly.FEATURES, persisted=persisted), []
     for t in range(_TREES):
         f, threshold, path = np.zeros(isolation.NODES, dtype=int), np.full(isolation.NODES, np.inf), np.zeros(isolation.NODES)
         for k in range(7):
@@ -515,15 +517,24 @@ def _rule_forest(rows: DataFrame) -> isolation.Forest:
     return isolation.Forest(trees)
 
 
-def _rule_forest_rows(spark, d) -> tuple[DataFrame, isolation.Forest]:
+def _rule_rows(spark, d) -> DataFrame:
     rows = anomaly.training_dataset(retail.competitor_prices(spark, d), retail.products(spark, d), TIES)
-    rows = rows.withColumns({c: rounded(F.col(c)) for c in ("log_ratio", "delta_pct")})
-    return rows, _rule_forest(rows)
+    return rows.withColumns({c: rounded(F.col(c)) for c in ("log_ratio", "delta_pct")})
+
+
+@contextmanager
+def _held(rows: DataFrame) -> Iterator[DataFrame]:
+    """The rows, worked out once for all jobs of the block."""
+    own = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield own
+    finally:
+        own.unpersist()
 
 
 def _rule_scores(spark, d) -> DataFrame:
-    rows, forest = _rule_forest_rows(spark, d)
-    return isolation.score(rows, anomaly.FEATURES, forest, "score")
+    rows = _rule_rows(spark, d)
+    return isolation.score(rows, anomaly.FEATURES, _rule_forest(rows), "score")
 
 
 @query("iforest_score", f"SELECT {_KEYS}, {r4('score')} AS score FROM ({_PATHS})", before=f"{_OBSERVED}, {_rule_nodes(4, 'ox')}")
@@ -533,9 +544,11 @@ def _(spark, d):
 
 @query("score_quantile", f"SELECT {r4('quantile_cont(score, 0.05E0)')} AS threshold, count(*) FILTER (score < (SELECT quantile_cont(score, 0.05E0) - 1e-9 FROM ({_PATHS}))) AS n_below FROM ({_PATHS})", before=f"{_OBSERVED}, {_rule_nodes(4, 'ox')}")
 def _(spark, d):
-    scored = _rule_scores(spark, d).select("score")
-    threshold = exact_quantiles(scored, "score", [isolation.CONTAMINATION])[0]
-    return scored.agg(rounded(F.lit(threshold)).alias("threshold"), F.count_if(F.col("score") < F.lit(threshold - 1e-9)).alias("n_below"))
+    with _held(_rule_rows(spark, d).select(*anomaly.FEATURES)) as rows:
+        with _held(isolation.score(rows, anomaly.FEATURES, _rule_forest(rows, persisted=True), "score").select("score")) as scored:
+            threshold = exact_quantiles(scored, "score", [isolation.CONTAMINATION], persisted=True)[0]
+            below = scored.filter(F.col("score") < F.lit(threshold - 1e-9)).count()
+    return spark.range(1).select(rounded(F.lit(threshold)).alias("threshold"), F.lit(below).cast("bigint").alias("n_below"))
 
 
 _SCORED = f"""{_OBSERVED}, {_rule_nodes(4, 'ox')},
@@ -550,7 +563,8 @@ _REASON = "CASE WHEN z1 >= greatest(z2, z3, z4) THEN '{log_ratio}' WHEN z2 >= gr
 @query("anomaly_explain", f"SELECT product_id, 'ML_ANOMALY' AS type, CASE WHEN score < threshold - 0.05E0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, {printed(texts.ANOMALY, 'score', _REASON)} AS detail FROM far WHERE score < threshold", before=_SCORED)
 def _(spark, d):
     """What is said of the unusual latest prices, with scores of trees by rule."""
-    rows, forest = _rule_forest_rows(spark, d)
+    rows = _rule_rows(spark, d)
+    forest = _rule_forest(rows)
     scores = isolation.score(rows, anomaly.FEATURES, forest, "score").select(rounded(F.col("score"), 6).alias("score"))
     threshold = math.floor(exact_quantiles(scores, "score", [isolation.CONTAMINATION])[0] * 1e4 + 0.5) / 1e4
     # Only the latest row of each competitor is explained, so only these are scored again.

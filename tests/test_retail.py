@@ -230,6 +230,30 @@ def test_only_latest_prices_are_scored_to_be_explained(spark, monkeypatch):
     assert rows[-1] == prices.select("product_id", "competitor_id").distinct().count() < prices.count()
 
 
+@pytest.mark.parametrize("name", ["score_quantile"])
+def test_rows_to_score_are_worked_out_once(spark, monkeypatch, name):
+    held, score, quantiles = [], isolation.score, queries.exact_quantiles_of
+    monkeypatch.setattr(isolation, "score", lambda df, *more: held.append(df.storageLevel.useMemory) or score(df, *more))
+    monkeypatch.setattr(queries, "exact_quantiles_of", lambda df, *more, **how: held.append(df.storageLevel.useMemory) or quantiles(df, *more, **how))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    # The cuts, then the scores; last of all come the latest rows, which are few.
+    assert held[:2] == [True, True]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_walks_are_as_long_as_the_trees_are_deep():
+    cuts = {0: 0.5, 1: 0.2, 5: 0.7}
+    threshold = np.array([cuts.get(k, np.inf) for k in range(isolation.NODES)])
+    tree = {"tree": 0, "feature": np.zeros(isolation.NODES, dtype=int), "threshold": threshold, "path": np.arange(isolation.NODES, dtype=float), "sampled": 256}
+    forest = isolation.Forest([tree])
+    assert forest.depth == 3
+    leaves = np.array([3, 4, 2 * 5 + 1, 2 * 5 + 2, 6])  # nodes of 0.1, 0.3, 0.6 and 0.8 by cuts at 0, 1, 2 and 5
+    forest = isolation.Forest([tree | {"threshold": np.where(np.arange(isolation.NODES) == 2, 0.9, threshold)}])
+    assert forest.score(np.array([[0.1], [0.3], [0.6], [0.8], [0.95]])) == pytest.approx(-(2.0 ** (-leaves / isolation.average_path(256))))
+    assert isolation.Forest([tree | {"threshold": np.full(isolation.NODES, np.inf)}]).depth == 0
+
+
 def test_explained_scores(spark):
     stats = spark.createDataFrame([(0.0, 0.0, 10.0, 0.0, 1.0, 1.0, 5.0, 0.0)], ", ".join(f"{c}_mean double" for c in anomaly.FEATURES) + ", " + ", ".join(f"{c}_std double" for c in anomaly.FEATURES))
     rows = [(1, 1, day(0), -1.0, 0.0, 0.0, 12.0, 0), (1, 1, day(1), -0.01, 0.0, 3.0, 12.0, 0), (1, 2, day(0), -0.2, 0.0, 3.0, 12.0, 1), (2, 1, day(0), 0.4, 0.0, 0.0, 10.0, 0)]
