@@ -564,13 +564,16 @@ _REASON = "CASE WHEN z1 >= greatest(z2, z3, z4) THEN '{log_ratio}' WHEN z2 >= gr
 def _(spark, d):
     """What is said of the unusual latest prices, with scores of trees by rule."""
     rows = _rule_rows(spark, d)
-    forest = _rule_forest(rows)
-    scores = isolation.score(rows, anomaly.FEATURES, forest, "score").select(rounded(F.col("score"), 6).alias("score"))
-    threshold = math.floor(exact_quantiles(scores, "score", [isolation.CONTAMINATION])[0] * 1e4 + 0.5) / 1e4
+    with _held(rows.select(*anomaly.FEATURES)) as own:
+        forest = _rule_forest(own, persisted=True)
+        scores = isolation.score(own, anomaly.FEATURES, forest, "score").select(rounded(F.col("score"), 6).alias("score"))
+        threshold = math.floor(exact_quantiles(scores, "score", [isolation.CONTAMINATION])[0] * 1e4 + 0.5) / 1e4
+        found = anomaly.statistics(own)
+        stats = spark.createDataFrame(found.collect(), found.schema)
     # Only the latest row of each competitor is explained, so only these are scored again.
     latest = isolation.score(latest_per_group(rows, ["product_id", "competitor_id"], TIES), anomaly.FEATURES, forest, "score")
     latest = latest.withColumn("score", rounded(F.col("score"), 6))
-    found = anomaly.explain_scores(latest, anomaly.statistics(rows), spark.range(1).select(F.lit(threshold).alias("threshold")), TIES)
+    found = anomaly.explain_scores(latest, stats, spark.range(1).select(F.lit(threshold).alias("threshold")), TIES)
     return found.select("product_id", F.explode("anomalies").alias("a")).select("product_id", "a.*")
 
 

@@ -230,7 +230,7 @@ def test_only_latest_prices_are_scored_to_be_explained(spark, monkeypatch):
     assert rows[-1] == prices.select("product_id", "competitor_id").distinct().count() < prices.count()
 
 
-@pytest.mark.parametrize("name", ["score_quantile"])
+@pytest.mark.parametrize("name", ["score_quantile", "anomaly_explain"])
 def test_rows_to_score_are_worked_out_once(spark, monkeypatch, name):
     held, score, quantiles = [], isolation.score, queries.exact_quantiles_of
     monkeypatch.setattr(isolation, "score", lambda df, *more: held.append(df.storageLevel.useMemory) or score(df, *more))
