@@ -3,8 +3,8 @@
 Each tree of depth 3 is fitted to the gradient of the quantile loss on binned features; its leaves are the quantiles of
 the residuals (Friedman 2001). All rows are fitted, by tasks that each hold one part of them as bin numbers and run
 together in one barrier stage (raw values go to a temporary file of the task). For each level of the trees of all
-quantiles, a task counts its rows by node, feature, bin and side of the guess; the first task adds the counts up, and all
-find the same split. Leaf values come from counts of
+quantiles, a task counts its rows by node, feature, bin and side of the guess (once for all quantiles, by their
+combinations); the first task adds the counts up, and all find the same split. Leaf values come from counts of
 residuals, first in coarse ranges, then in fine ones within the range that holds the quantile. What is exchanged are whole
 numbers and bounds, so the trees are the same however rows are dealt, and its size depends on bins and leaves alone. Spark's
 own exchange between barrier tasks takes a second each time, so it passes on only where the first task can be reached.
@@ -36,6 +36,8 @@ NODES, LEAVES = 2**DEPTH - 1, 2**DEPTH
 RANGES = 1024
 #: Tasks of a fit, at most: the first receives what all others send, some 100 KB for each level.
 TASKS = 64
+#: Quantiles whose nodes and sides are counted in one go; at the last level 3 have 8^3 combinations.
+JOINT = 3
 #: Rows that are worked on at once, in a fit and in scoring.
 CHUNK, SCORED = 1 << 15, 1 << 13
 MODEL = "alpha double, tree int, feature array<int>, threshold array<double>, value array<double>"
@@ -135,14 +137,14 @@ class Part:
     high: float
 
     def ranges(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Slice by slice the values, the key of their group and range, and their place in that range."""
+        """Slice by slice the values, the key of their group and range, and their place on the scale of ranges."""
         scale = RANGES / (self.high - self.low) if self.high > self.low else 0.0
         for rows in _slices(len(self.values)):
             values = self.values[rows]
             x = (values - self.low) * scale
             coarse = np.minimum(x.astype(np.int64), RANGES - 1)
             group = self.group if np.ndim(self.group) == 0 else self.group[rows].astype(np.int64)
-            yield values, group * RANGES + coarse, x - coarse
+            yield values, group * RANGES + coarse, x
 
 
 def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: bool = False) -> np.ndarray:
@@ -175,7 +177,8 @@ def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: boo
         for values, key, x in p.ranges():
             own = known[key]
             held = np.flatnonzero(own >= 0)
-            yield values[held], own[held] * RANGES + np.minimum((x[held] * RANGES).astype(np.int64), RANGES - 1)
+            inside = x[held] - key[held] % RANGES
+            yield values[held], own[held] * RANGES + np.minimum((inside * RANGES).astype(np.int64), RANGES - 1)
 
     counts = np.zeros(len(wanted) * RANGES, dtype=np.int64)
     for p, at in zip(parts, first, strict=False):
@@ -219,11 +222,28 @@ def _splits(counts: np.ndarray, alpha: float, usable: np.ndarray) -> tuple[np.nd
     return gain[np.arange(len(at)), at] > 1e-12, at // BINS, at % BINS
 
 
-def _counts(key: np.ndarray, codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """For each feature the rows by key and bin."""
-    cell = np.empty(len(key), dtype=np.int64)
-    for own in codes:
-        yield np.bincount(np.add(key, own, out=cell), minlength=size)
+def _counts(sides: np.ndarray, nodes: np.ndarray, wide: int, codes: np.ndarray, sums: list[np.ndarray]) -> None:
+    """Add the rows of a slice to `sums`: for each JOINT quantiles, by feature, by the node and side of each of them, and by
+    bin. A row is counted once for all of these quantiles; _apart tells them apart."""
+    cell = np.empty(sides.shape[1], dtype=np.int64)
+    for g, own in enumerate(sums):
+        key = np.zeros(sides.shape[1], dtype=np.int64)
+        for side, node in zip(sides[g * JOINT : (g + 1) * JOINT], nodes[g * JOINT : (g + 1) * JOINT], strict=True):
+            key *= 2 * wide
+            key += 2 * node + side
+        key *= BINS
+        for j, code in enumerate(codes):
+            own[j] += np.bincount(np.add(key, code, out=cell), minlength=own.shape[1])
+
+
+def _apart(sums: list[np.ndarray], quantiles: int, wide: int) -> np.ndarray:
+    """The counts of each quantile by feature, and by node, side and bin."""
+    out = []
+    for g, own in enumerate(sums):
+        joint = min(JOINT, quantiles - g * JOINT)
+        by = own.reshape(len(own), *[2 * wide] * joint, BINS)
+        out += [by.sum(axis=tuple(1 + o for o in range(joint) if o != a)).reshape(len(own), -1) for a in range(joint)]
+    return np.stack(out)
 
 
 def grow(columns: list[np.ndarray] | list[Spool], y: np.ndarray | Spool, alphas: tuple[float, ...], trees: int, peers: Peers, rate: float = RATE) -> list[tuple[float, list[Tree]]]:
@@ -252,7 +272,7 @@ def grow(columns: list[np.ndarray] | list[Spool], y: np.ndarray | Spool, alphas:
     for rows in sizes:
         rest[:, rows] = y[rows] - starts[:, None]
     found: list[tuple[float, list[Tree]]] = [(float(s), []) for s in starts]
-    both = np.arange(2 ** len(alphas))
+    joint = [min(JOINT, len(alphas) - at) for at in range(0, len(alphas), JOINT)]
     for _ in range(trees):
         node[:] = 0
         feature = np.zeros((len(alphas), NODES), dtype=np.int32)
@@ -260,22 +280,12 @@ def grow(columns: list[np.ndarray] | list[Spool], y: np.ndarray | Spool, alphas:
         bounds = np.full((len(alphas), 2), -np.inf)
         for level in range(DEPTH):
             first, wide = 2**level - 1, 2**level
-            counts = np.zeros((len(alphas), width, wide * 2 * BINS), dtype=np.int64)
+            sums = [np.zeros((width, (2 * wide) ** k * BINS), dtype=np.int64) for k in joint]
             for rows in sizes:
                 if level == 0:
                     bounds = np.maximum(bounds, np.stack((-rest[:, rows].min(axis=1), rest[:, rows].max(axis=1)), axis=1))
-                    # All rows are at the root, so the sides of all guesses are counted at once.
-                    sides = ((rest[:, rows] <= 0) << np.arange(len(alphas))[:, None]).sum(axis=0) * BINS
-                    for j, c in enumerate(_counts(sides, codes[:, rows], len(both) * BINS)):
-                        split_by_side = c.reshape(-1, BINS)
-                        for a in range(len(alphas)):
-                            above = both >> a & 1 == 0
-                            counts[a, j] += np.concatenate((split_by_side[above].sum(axis=0), split_by_side[~above].sum(axis=0)))
-                    continue
-                for a in range(len(alphas)):
-                    key = ((node[a, rows].astype(np.int64) - first) * 2 + (rest[a, rows] <= 0)) * BINS
-                    for j, c in enumerate(_counts(key, codes[:, rows], wide * 2 * BINS)):
-                        counts[a, j] += c
+                _counts(rest[:, rows] <= 0, node[:, rows], wide, codes[:, rows], sums)
+            counts = _apart(sums, len(alphas), wide)
             counts, most = peers.total(counts, bounds.ravel() if level == 0 else None)
             if level == 0:
                 bounds = most.reshape(-1, 2)
@@ -287,9 +297,8 @@ def grow(columns: list[np.ndarray] | list[Spool], y: np.ndarray | Spool, alphas:
                     at = node[a, rows]
                     right = np.zeros(len(at), dtype=bool)
                     for k in split:
-                        right |= (codes[f[k], rows] > b[k]) & (at == first + k)
-                    node[a, rows] = 2 * at + 1 + right
-        node -= NODES
+                        right |= (codes[f[k], rows] > b[k]) & (at == k)
+                    node[a, rows] = 2 * at + right
         parts = [Part(rest[a], node[a], LEAVES, -bounds[a, 0], bounds[a, 1]) for a in range(len(alphas))]
         value = rate * np.nan_to_num(quantiles(peers, parts, np.repeat(alphas, LEAVES)[:, None])[:, 0]).reshape(len(alphas), LEAVES)
         for a in range(len(alphas)):

@@ -310,6 +310,18 @@ def test_a_fit_holds_few_bytes_of_a_row():
     assert start == again and all((u == v).all() for a, b in zip(trees, others, strict=True) for u, v in zip(a, b, strict=True))
 
 
+def test_quantiles_that_are_counted_together_have_trees_of_their_own():
+    rng = np.random.default_rng(5)
+    x = np.stack((rng.integers(0, 90, 70_000), rng.integers(0, 3, 70_000), rng.gamma(2, 9, 70_000)), axis=1).astype(float)
+    y = x[:, 0] + x[:, 1] * rng.gamma(2, 9, 70_000)
+    alphas = (0.1, 0.3, 0.5, 0.8, 0.9)
+    assert boosting.JOINT < len(alphas) and boosting.CHUNK < len(y)
+    together = boosting.grow(list(x.T), y, alphas, 4, boosting.Peers())
+    for alpha, (start, trees) in zip(alphas, together, strict=True):
+        alone, others = boosting.fit_trees(x, y, alpha, 4)
+        assert start == alone and all((u == v).all() for a, b in zip(trees, others, strict=True) for u, v in zip(a, b, strict=True))
+
+
 def test_quantiles_from_counts():
     rng = np.random.default_rng(3)
     for values in (rng.normal(0, 1, 999), rng.integers(0, 5, 700).astype(float), np.full(10, 4.0), np.append(rng.normal(0, 1, 500), 1e6)):
