@@ -4,10 +4,12 @@ Each tree of depth 3 is fitted to the gradient of the quantile loss on binned fe
 the residuals (Friedman 2001). All rows are fitted, by tasks that each hold one part of them as bin numbers and run
 together in one barrier stage (raw values go to a temporary file of the task). For each level of the trees of all
 quantiles, a task counts its rows by node, feature, bin and side of the guess (once for all quantiles, by their
-combinations); the first task adds the counts up, and all find the same split. Leaf values come from counts of
-residuals, first in coarse ranges, then in fine ones within the range that holds the quantile. What is exchanged are whole
-numbers and bounds, so the trees are the same however rows are dealt, and its size depends on bins and leaves alone. Spark's
-own exchange between barrier tasks takes a second each time, so it passes on only where the first task can be reached.
+combinations); the first task adds the counts up, and all find the same split. The root's counts are kept from tree to tree,
+and rows whose side has changed move in them; of two nodes with one parent only the smaller is counted, the other is what
+remains of the parent. Leaf values come from counts of residuals, first in coarse ranges, then in fine ones within the range
+that holds the quantile. What is exchanged are whole numbers and bounds, so the trees are the same however rows are dealt, and
+its size depends on bins and leaves alone. Spark's own exchange between barrier tasks takes a second each time, so it passes
+on only where the first task can be reached.
 
 A lost task makes Spark run the stage again, from the same input and with the same result. A barrier stage needs as many
 free cores as it has tasks, so a fit takes at most TASKS of them, and dynamic allocation has to be off (as Spark demands).
@@ -36,10 +38,14 @@ NODES, LEAVES = 2**DEPTH - 1, 2**DEPTH
 RANGES = 1024
 #: Tasks of a fit, at most: the first receives what all others send, some 100 KB for each level.
 TASKS = 64
-#: Quantiles whose nodes and sides are counted in one go; at the last level 3 have 8^3 combinations.
+#: Quantiles whose nodes and sides are counted in one go; at the last level 3 have 5^3 combinations.
 JOINT = 3
+#: The share of a slice's rows up to which they are picked out to be counted.
+PICKED = 0.6
+#: The share of values up to which those near the quantiles are picked out to be counted in finer ranges.
+NEAR = 0.3
 #: Rows that are worked on at once, in a fit and in scoring.
-CHUNK, SCORED = 1 << 15, 1 << 13
+CHUNK, SCORED = 1 << 15, 1 << 14
 MODEL = "alpha double, tree int, feature array<int>, threshold array<double>, value array<double>"
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -136,15 +142,33 @@ class Part:
     low: float
     high: float
 
-    def ranges(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Slice by slice the values, the key of their group and range, and their place on the scale of ranges."""
-        scale = RANGES / (self.high - self.low) if self.high > self.low else 0.0
+    def placed(self, values: np.ndarray, group: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The key of each value's group and range, and its place on the scale of ranges."""
+        x = values - self.low
+        x *= self.scale
+        kind = np.uint16 if self.groups * RANGES <= 1 << 16 else np.int64
+        key = np.minimum(x.astype(kind), kind(RANGES - 1))
+        if np.ndim(group):
+            key += group.astype(kind) * kind(RANGES)
+        elif group:
+            key += kind(group * RANGES)
+        return key, x
+
+    @property
+    def scale(self) -> float:
+        return RANGES / (self.high - self.low) if self.high > self.low else 0.0
+
+    def slices(self, ranges: slice | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | int]]:
+        """Slice by slice the values and their group; with `ranges`, only those in or next to these."""
+        near = None
+        if ranges and self.scale:
+            near = self.low + (ranges.start - 1) / self.scale, self.low + (ranges.stop + 1) / self.scale
         for rows in _slices(len(self.values)):
-            values = self.values[rows]
-            x = (values - self.low) * scale
-            coarse = np.minimum(x.astype(np.int64), RANGES - 1)
-            group = self.group if np.ndim(self.group) == 0 else self.group[rows].astype(np.int64)
-            yield values, group * RANGES + coarse, x
+            values, group = self.values[rows], self.group if np.ndim(self.group) == 0 else self.group[rows]
+            if near:
+                close = np.flatnonzero((values >= near[0]) & (values <= near[1]))
+                values, group = values[close], group if np.ndim(group) == 0 else group[close]
+            yield values, group
 
 
 def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: bool = False) -> np.ndarray:
@@ -157,14 +181,14 @@ def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: boo
     counts = np.zeros(groups * RANGES, dtype=np.int64)
     for p, at in zip(parts, first, strict=False):
         own = counts[at * RANGES : (at + p.groups) * RANGES]
-        for _, key, _ in p.ranges():
-            own += np.bincount(key, minlength=len(own))
-    counts, _ = peers.total(counts.reshape(groups, RANGES))
-    ends = counts.cumsum(axis=1)
+        for values, group in p.slices():
+            own += np.bincount(p.placed(values, group)[0], minlength=len(own))
+    counted, _ = peers.total(counts.reshape(groups, RANGES))
+    ends = counted.cumsum(axis=1)
     number = ends[:, -1:]
     rank = fractions * np.maximum(number - 1, 0)
     picked = np.minimum((ends[:, None, :] <= np.floor(rank)[:, :, None]).sum(axis=2), RANGES - 1)
-    rest = rank - np.take_along_axis(ends - counts, picked, axis=1)
+    rest = rank - np.take_along_axis(ends - counted, picked, axis=1)
     # Ranges that hold a quantile are counted once more, in finer ones. Several quantiles of a group may share one.
     wanted, mine = np.unique(np.arange(groups)[:, None] * RANGES + picked, return_inverse=True)
     mine = mine.reshape(groups, k)
@@ -174,11 +198,16 @@ def quantiles(peers: Peers, parts: list[Part], fractions: np.ndarray, exact: boo
     def finer(p: Part, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Slice by slice the values in ranges that hold a quantile, and their finer range."""
         known = slot[at * RANGES : (at + p.groups) * RANGES]
-        for values, key, x in p.ranges():
-            own = known[key]
-            held = np.flatnonzero(own >= 0)
-            inside = x[held] - key[held] % RANGES
-            yield values[held], own[held] * RANGES + np.minimum((inside * RANGES).astype(np.int64), RANGES - 1)
+        looked = known >= 0
+        ranges = np.flatnonzero(looked) % RANGES
+        ranges = slice(ranges.min(), ranges.max() + 1)
+        few = counted[at : at + p.groups, ranges].sum() < NEAR * number[at : at + p.groups].sum()
+        for values, group in p.slices(ranges if few else None):
+            key, x = p.placed(values, group)
+            held = np.flatnonzero(looked.take(key, mode="clip"))
+            key = key[held]
+            inside = x[held] - key % RANGES
+            yield values[held], known[key] * RANGES + np.minimum((inside * RANGES).astype(np.int64), RANGES - 1)
 
     counts = np.zeros(len(wanted) * RANGES, dtype=np.int64)
     for p, at in zip(parts, first, strict=False):
@@ -222,30 +251,90 @@ def _splits(counts: np.ndarray, alpha: float, usable: np.ndarray) -> tuple[np.nd
     return gain[np.arange(len(at)), at] > 1e-12, at // BINS, at % BINS
 
 
-def _counts(sides: np.ndarray, nodes: np.ndarray, wide: int, codes: np.ndarray, sums: list[np.ndarray]) -> None:
-    """Add the rows of a slice to `sums`: for each JOINT quantiles, by feature, by the node and side of each of them, and by
-    bin. A row is counted once for all of these quantiles; _apart tells them apart."""
-    cell = np.empty(sides.shape[1], dtype=np.int64)
-    for g, own in enumerate(sums):
-        key = np.zeros(sides.shape[1], dtype=np.int64)
-        for side, node in zip(sides[g * JOINT : (g + 1) * JOINT], nodes[g * JOINT : (g + 1) * JOINT], strict=True):
-            key *= 2 * wide
-            key += 2 * node + side
-        key *= BINS
-        for j, code in enumerate(codes):
+def _joined(kinds: np.ndarray, each: int) -> list[np.ndarray]:
+    """For each JOINT quantiles one number that tells which of `each` kinds a row is in all of them."""
+    out = []
+    for at in range(0, len(kinds), JOINT):
+        key = kinds[at].astype(np.uint16)
+        for kind in kinds[at + 1 : at + JOINT]:
+            key *= np.uint16(each)
+            key += kind
+        out.append(key)
+    return out
+
+
+def _counts(keys: list[np.ndarray], codes: np.ndarray, sums: list[np.ndarray], all_rows: bool = False) -> None:
+    """Add the rows of a slice to `sums`: for each JOINT quantiles, by feature, by key and by bin. A row is counted once for
+    all of these quantiles; _apart tells them apart. Rows with key 0 count for none of them, unless with `all_rows`, so few
+    others are picked out."""
+    for key, own in zip(keys, sums, strict=True):
+        mine = codes
+        if not all_rows:
+            picked = np.flatnonzero(key != 0)
+            if len(picked) < PICKED * len(key):
+                key, mine = key[picked], codes.take(picked, axis=1, mode="clip")
+        key = key * np.uint16(BINS)
+        cell = np.empty_like(key)
+        for j, code in enumerate(mine):
             own[j] += np.bincount(np.add(key, code, out=cell), minlength=own.shape[1])
 
 
-def _apart(sums: list[np.ndarray], quantiles: int, wide: int) -> np.ndarray:
-    """The counts of each quantile by feature, and by node, side and bin."""
+def _moved(before: list[np.ndarray], after: list[np.ndarray], codes: np.ndarray, sums: list[np.ndarray]) -> None:
+    """Move the rows of a slice whose key has changed in `sums`."""
+    for old, new, own in zip(before, after, sums, strict=True):
+        if len(picked := np.flatnonzero(old != new)):
+            mine = codes.take(picked, axis=1, mode="clip") + np.arange(len(codes))[:, None] * own.shape[1]
+            for key, sign in ((new, 1), (old, -1)):
+                own += sign * np.bincount((mine + key[picked] * np.int64(BINS)).ravel(), minlength=own.size).reshape(own.shape)
+
+
+def _apart(sums: list[np.ndarray], quantiles: int, each: int) -> np.ndarray:
+    """The counts of each quantile by feature, kind and bin."""
     out = []
     for g, own in enumerate(sums):
         joint = min(JOINT, quantiles - g * JOINT)
-        by = own.reshape(len(own), *[2 * wide] * joint, BINS)
-        out += [by.sum(axis=tuple(1 + o for o in range(joint) if o != a)).reshape(len(own), -1) for a in range(joint)]
+        by = own.reshape(len(own), *[each] * joint, BINS)
+        out += [by.sum(axis=tuple(1 + o for o in range(joint) if o != a)) for a in range(joint)]
     return np.stack(out)
 
 
+def _bounds(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each row of `values` the least, negated, and the greatest, with those so far."""
+    return np.maximum(bounds, np.stack((-values.min(axis=1), values.max(axis=1)), axis=1))
+
+
+def _descend(state: np.ndarray, codes: np.ndarray, splits: list[list[tuple[int, int] | None]], level: int) -> None:
+    """Move the rows of a slice to the children of their nodes; after the last level the state is the leaf alone. All nodes
+    are asked of all rows, and the answer of a row's own node is picked by the way to it, a level at a time."""
+    none = np.zeros(state.shape[1], dtype=bool)
+    for own, asked in zip(state, splits, strict=True):
+        right = [codes[s[0]] > s[1] if s else none for s in asked]
+        for back in range(1, level + 1):
+            way = (own & (1 << back)) != 0
+            right = [x ^ ((x ^ y) & way) if x is not y else x for x, y in zip(right[::2], right[1::2], strict=True)]
+        if level < DEPTH - 1:
+            own += (own & 254) + (right[0].view(np.uint8) << 1)
+        else:
+            own &= 254
+            own += right[0]
+
+
+def _smaller(state: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """Of each row of a slice 1 + twice the parent + the side where it is in the smaller child of its parent, otherwise 0."""
+    out = np.empty_like(state)
+    for own, kinds, child in zip(out, state, less, strict=True):
+        # Twice the parent + the child, in each of these the side.
+        place = kinds >> 1
+        held = np.zeros(len(kinds), dtype=bool)
+        for k, c in enumerate(child):
+            held |= place == 2 * k + int(c)
+        place &= 254
+        place += kinds & 1
+        place += 1
+        np.multiply(place, held, out=own)
+    return out
+
+
 def grow(columns: list[np.ndarray] | list[Spool], y: np.ndarray | Spool, alphas: tuple[float, ...], trees: int, peers: Peers, rate: float = RATE) -> list[tuple[float, list[Tree]]]:
     """For each quantile the first guess, and of each tree its features, thresholds (go right above) and leaf values, already
     times `rate`. `columns` (the features) and `y` are this task's rows. What is held of a row are a byte for each feature,
@@ -268,44 +357,64 @@ def grow(columns: list[np.ndarray] | list[Spool], y: np.ndarray | Spool, alphas:
             codes[j, rows] = np.searchsorted(e, columns[j][rows], side="left")
     usable = np.arange(BINS)[None, :] < np.array([len(e) for e in edges])[:, None]
     starts = quantiles(peers, [Part(y, 0, 1, low[-1], high[-1])], np.array([alphas]), exact=True)[0]
-    rest, node = np.empty((len(alphas), n)), np.empty((len(alphas), n), dtype=np.uint8)
+    # A feature with one code never splits.
+    counted = np.flatnonzero([len(e) > 1 or not any(len(o) > 1 for o in edges) for e in edges])
+    if len(counted) < width:
+        codes, edges, usable = codes[counted], [edges[j] for j in counted], usable[counted]
+    joint = [min(JOINT, len(alphas) - at) for at in range(0, len(alphas), JOINT)]
+    # The state of a row is its node, doubled, and 1 if it isn't above the guess; at the end of a tree it is the leaf alone.
+    rest, state = np.empty((len(alphas), n)), np.empty((len(alphas), n), dtype=np.uint8)
+    bounds, root = np.full((len(alphas), 2), -np.inf), [np.zeros((len(codes), 2**k * BINS), dtype=np.int64) for k in joint]
     for rows in sizes:
-        rest[:, rows] = y[rows] - starts[:, None]
+        np.subtract(y[rows], starts[:, None], out=rest[:, rows])
+        bounds = _bounds(bounds, rest[:, rows])
+        state[:, rows] = rest[:, rows] <= 0
+        _counts(_joined(state[:, rows], 2), codes[:, rows], root, all_rows=True)
     found: list[tuple[float, list[Tree]]] = [(float(s), []) for s in starts]
-    joint = [min(JOINT, len(alphas) - at) for at in range(0, len(alphas), JOINT)]
-    for _ in range(trees):
-        node[:] = 0
+    for t in range(trees):
         feature = np.zeros((len(alphas), NODES), dtype=np.int32)
         cut = np.full((len(alphas), NODES), BINS, dtype=np.int64)
-        bounds = np.full((len(alphas), 2), -np.inf)
+        counts, most = peers.total(_apart(root, len(alphas), 2)[:, :, None], bounds.ravel())
+        bounds = most.reshape(-1, 2)
         for level in range(DEPTH):
             first, wide = 2**level - 1, 2**level
-            sums = [np.zeros((width, (2 * wide) ** k * BINS), dtype=np.int64) for k in joint]
-            for rows in sizes:
-                if level == 0:
-                    bounds = np.maximum(bounds, np.stack((-rest[:, rows].min(axis=1), rest[:, rows].max(axis=1)), axis=1))
-                _counts(rest[:, rows] <= 0, node[:, rows], wide, codes[:, rows], sums)
-            counts = _apart(sums, len(alphas), wide)
-            counts, most = peers.total(counts, bounds.ravel() if level == 0 else None)
-            if level == 0:
-                bounds = most.reshape(-1, 2)
+            splits, less = [], np.zeros((len(alphas), wide), dtype=np.uint8)
             for a, alpha in enumerate(alphas):
-                split, f, b = _splits(counts[a].reshape(width, wide, 2, BINS).transpose(1, 2, 0, 3), alpha, usable)
+                split, f, b = _splits(counts[a].transpose(1, 2, 0, 3), alpha, usable)
                 split = np.flatnonzero(split)
                 feature[a, first + split], cut[a, first + split] = f[split], b[split]
-                for rows in sizes:
-                    at = node[a, rows]
-                    right = np.zeros(len(at), dtype=bool)
-                    for k in split:
-                        right |= (codes[f[k], rows] > b[k]) & (at == k)
-                    node[a, rows] = 2 * at + right
-        parts = [Part(rest[a], node[a], LEAVES, -bounds[a, 0], bounds[a, 1]) for a in range(len(alphas))]
+                # Python's numbers: numpy's would make bytes be compared as wide integers.
+                splits.append([(int(f[k]), int(b[k])) if k in split else None for k in range(wide)])
+                # The child with fewer rows; without a split that is the right one, which has none.
+                for k in range(wide):
+                    left = counts[a, f[k], k, :, : b[k] + 1].sum() if k in split else np.inf
+                    less[a, k] = left > counts[a, f[k], k].sum() - left
+            last = level == DEPTH - 1
+            each = 2 * wide + 1
+            sums = [] if last else [np.zeros((len(codes), each**k * BINS), dtype=np.int64) for k in joint]
+            for rows in sizes:
+                own = codes[:, rows]
+                _descend(state[:, rows], own, splits, level)
+                if not last:
+                    _counts(_joined(_smaller(state[:, rows], less), each), own, sums)
+            if not last:
+                found_less, _ = peers.total(_apart(sums, len(alphas), each)[:, :, 1:])
+                found_less = found_less.reshape(len(alphas), len(codes), wide, 2, BINS)
+                others, right = counts - found_less, less[:, None, :, None, None] == 1
+                counts = np.stack((np.where(right, others, found_less), np.where(right, found_less, others)), axis=3).reshape(len(alphas), len(codes), 2 * wide, 2, BINS)
+        parts = [Part(rest[a], state[a], LEAVES, -bounds[a, 0], bounds[a, 1]) for a in range(len(alphas))]
         value = rate * np.nan_to_num(quantiles(peers, parts, np.repeat(alphas, LEAVES)[:, None])[:, 0]).reshape(len(alphas), LEAVES)
+        bounds = np.full((len(alphas), 2), -np.inf)
+        for rows in sizes if t < trees - 1 else []:
+            held, before = rest[:, rows], _joined(rest[:, rows] <= 0, 2)
+            for a in range(len(alphas)):
+                held[a] -= value[a].take(state[a, rows], mode="clip")
+            bounds = _bounds(bounds, held)
+            state[:, rows] = held <= 0
+            _moved(before, _joined(state[:, rows], 2), codes[:, rows], root)
         for a in range(len(alphas)):
-            for rows in sizes:
-                rest[a, rows] -= value[a][node[a, rows]]
             threshold = np.array([edges[f][c] if c < BINS else np.inf for f, c in zip(feature[a], cut[a], strict=True)])
-            found[a][1].append((feature[a], threshold, value[a]))
+            found[a][1].append((np.where(cut[a] < BINS, counted[feature[a]], 0).astype(np.int32), threshold, value[a]))
     return found
 
 
@@ -351,16 +460,27 @@ class Ensemble:
         self.threshold = np.array([r["threshold"] for r in rows[1:]]).reshape(-1, NODES)
         self.value = np.array([r["value"] for r in rows[1:]]).reshape(-1, NODES + 1)
 
+        # x > cuts[i] is the same as code > i, where the code is the number of cuts below x.
+        self.cuts = {int(f): np.unique(self.threshold[self.feature == f]) for f in np.unique(self.feature)}
+        self.kind = np.uint8 if max(map(len, self.cuts.values()), default=0) < 1 << 8 else np.uint32
+        self.asked = [[(int(f), int(np.searchsorted(self.cuts[f], t))) for f, t in zip(*tree, strict=True)] for tree in zip(self.feature, self.threshold, strict=True)]
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """A tree's seven questions are answered for a slice of rows at a time; the leaf follows from the answers' bits."""
+        """A tree's seven questions are answered for a slice of rows at a time, by codes of a byte; the leaf follows from the
+        answers' bits."""
         out = np.full(len(x), self.start)
         for a in range(0, len(x), SCORED):
-            columns, held = np.ascontiguousarray(x[a : a + SCORED].T), out[a : a + SCORED]
-            for feature, threshold, value in zip(self.feature, self.threshold, self.value, strict=True):
-                q = [(columns[f] > t).view(np.uint8) for f, t in zip(feature, threshold, strict=True)]
+            held = out[a : a + SCORED]
+            codes = {f: np.searchsorted(cuts, np.ascontiguousarray(x[a : a + SCORED, f])).astype(self.kind) for f, cuts in self.cuts.items()}
+            for asked, value in zip(self.asked, self.value, strict=True):
+                q = [codes[f] > i for f, i in asked]
                 second = q[1] ^ ((q[1] ^ q[2]) & q[0])
                 left, right = q[3] ^ ((q[3] ^ q[4]) & second), q[5] ^ ((q[5] ^ q[6]) & second)
-                held += value[4 * q[0] + 2 * second + (left ^ ((left ^ right) & q[0]))]
+                leaf = q[0].view(np.uint8) << 1
+                leaf += second.view(np.uint8)
+                leaf <<= 1
+                leaf += (left ^ ((left ^ right) & q[0])).view(np.uint8)
+                held += value.take(leaf, mode="clip")
         return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.texts import NO_SALES, SHORT_HISTORY
-from shelfspark.operators.weekly import competitor_week_median, promo_weeks, weekly_sales_price
+from shelfspark.operators.weekly import by_product, middle, weekly_sales_price
 
 LAGS = ["lag_1", "lag_2", "lag_3", "lag_4"]
 DEMAND_FEATURES = ["product_id", *LAGS, "roll_mean_4", "roll_std_4"]
@@ -37,22 +37,27 @@ def training_features(weekly: DataFrame) -> DataFrame:
     return lag_features(weekly).withColumns({"roll_mean_4": mean, "roll_std_4": F.coalesce(std, F.lit(0.0))})
 
 
+def _last_four(sold: str) -> list[Column]:
+    """Aggregates of a product's last rows, which are numbered n: its last four quantities, its last week, and their number."""
+    lags = [F.max(F.when(F.col(sold) & (F.col("n") == i), F.col("qty").cast("double"))).alias(f"lag_{i}") for i in range(1, 5)]
+    return [*lags, F.max(F.when(F.col(sold), F.col("week"))).alias("last_week"), F.count(sold).cast("int").alias("last_weeks")]
+
+
 def serving_features(weekly: DataFrame) -> DataFrame:
     """One row a product with its last four weeks as lags, roll_mean_4, the population deviation (ddof 0), last_week and
     n_weeks; products with fewer than four weeks have null lags."""
     w = Window.partitionBy("product_id").orderBy(F.col("week").desc())
     last = weekly.withColumn("n", F.row_number().over(w)).filter("n <= 4")
-    wide = last.groupBy("product_id").agg(*[F.max(F.when(F.col("n") == i, F.col("qty").cast("double"))).alias(f"lag_{i}") for i in range(1, 5)], F.max("week").alias("last_week"), F.count("*").cast("int").alias("last_weeks"))
+    wide = last.withColumn("sold", F.lit(True)).groupBy("product_id").agg(*_last_four("sold"))
     mean, std = _mean_and_std(0)
     return wide.withColumns({"roll_mean_4": mean, "roll_std_4": std})
 
 
 def price_dataset(sales: DataFrame, competitor_prices: DataFrame, promotions: DataFrame) -> DataFrame:
     """Training rows of the price model: a missing competitor median is the week's own price, a missing flag is 0."""
-    weekly = weekly_sales_price(sales)
-    joined = weekly.join(competitor_week_median(competitor_prices), ["product_id", "week"], "left").join(promo_weeks(promotions), ["product_id", "week"], "left")
-    filled = joined.withColumns({"promo_flag": F.coalesce("promo_flag", F.lit(0)), "comp_median": F.coalesce("comp_median", "price_week")})
-    return training_features(filled).withColumn("weekofyear", F.weekofyear("week"))
+    rows = by_product(weekly_sales_price(sales), competitor_prices, promotions).withColumn("middle", middle("price", "product_id", "week"))
+    weeks = rows.groupBy("product_id", "week").agg(F.max("qty").alias("qty"), F.max("price_week").alias("price_week"), F.coalesce(F.avg("middle"), F.max("price_week")).alias("comp_median"), F.coalesce(F.max("promo_flag"), F.lit(0)).alias("promo_flag"), F.max("sold").alias("sold"))
+    return training_features(weeks.filter("sold").drop("sold")).withColumn("weekofyear", F.weekofyear("week"))
 
 
 def promo_dataset(sales: DataFrame, competitor_prices: DataFrame, promotions: DataFrame) -> DataFrame:
@@ -64,8 +69,12 @@ def serving_context(weekly: DataFrame, products: DataFrame, competitor_prices: D
     """Of each product serving_features with, for its last week with sales, the competitor median (else the current price)
     and the promotion flag (else 0), and that week's number in the year. Products without sales have a null week, those
     with fewer than four weeks last_weeks below 4; their lags are null."""
-    last = products.join(serving_features(weekly).withColumnRenamed("last_week", "week"), "product_id", "left")
-    joined = last.join(competitor_week_median(competitor_prices), ["product_id", "week"], "left").join(promo_weeks(promotions), ["product_id", "week"], "left")
+    w = Window.partitionBy("product_id").orderBy(F.col("sold").desc_nulls_last(), F.col("week").desc())
+    rows = by_product(weekly.select("product_id", "week", "qty"), competitor_prices, promotions).withColumns({"n": F.row_number().over(w), "last": F.first("week").over(w), "any": F.first("sold").over(w)})
+    near = rows.filter("any and if(sold, n <= 4, week = last)").withColumn("middle", middle("price", "product_id"))
+    last = near.groupBy("product_id").agg(*_last_four("sold"), F.avg("middle").alias("comp_median"), F.max("promo_flag").alias("promo_flag"))
+    mean, std = _mean_and_std(0)
+    joined = products.join(last.withColumns({"roll_mean_4": mean, "roll_std_4": std}).withColumnRenamed("last_week", "week"), "product_id", "left")
     return joined.withColumns({"comp_median": F.coalesce("comp_median", "current_price"), "promo_flag": F.coalesce("promo_flag", F.lit(0)), "weekofyear": F.weekofyear("week")})
 
 

@@ -355,3 +355,68 @@ def test_a_tie_of_the_risk_is_rounded_up(spark, tmp_path):
     [got] = queries.QUERIES["stock_risk"](spark, d).collect()
     # 0.5 + (32 - (153 - 47.6 * 19 / 7)) / 32 is 0.75625 exactly.
     assert (got.risk, got.demand_weekly_p90, got.lead_time_days, got.probability) == ("STOCKOUT", 47.6, 19, 0.7563)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_inputs_are_dealt_by_product_once(spark):
+    """Weeks of sales by product and week, and all inputs by product; serving has the products besides."""
+    days = [(p, d, c) for p in (1, 2, 3) for d in range(0, 70, 5) for c in range(p * (d % 4))]
+    prices = spark.createDataFrame([(p, c, None if (p + d + c) % 6 == 0 else float((7 * d + 5 * c) % 23), day(d), "OK") for p, d, c in days], PRICES)
+    sales = weeks(spark, {1: 9, 2: 5, 3: 3})
+    promos = spark.createDataFrame([(p, day(7 * p).date(), day(40).date()) for p in (1, 1, 2, 4)], "product_id long, start_date date, end_date date")
+    data = features.price_dataset(sales, prices, promos)
+    products = spark.createDataFrame([(p, 4.0) for p in (1, 2, 3, 4)], "product_id long, current_price double")
+    served = features.serving_context(weekly_sales(sales), products, prices, promos)
+    assert exchanges(data) == 2
+    assert exchanges(served) <= 3
+    week = F.date_trunc("week", "collected_at").cast("date").alias("week")
+    medians = {(r.product_id, r.week): r.m for r in prices.groupBy("product_id", week).agg(F.median("competitor_price").alias("m")).collect()}
+    assert {(r.product_id, r.week): r.comp_median for r in competitor_week_median(prices).collect()} == medians
+    flags = {(r.product_id, r.week) for r in promo_weeks(promos).collect()}
+    either = lambda x, other: other if x is None else x
+    rows = data.collect()
+    assert len(rows) == 6
+    assert all((r.comp_median, r.promo_flag) == (either(medians.get((r.product_id, r.week)), r.price_week), int((r.product_id, r.week) in flags)) for r in rows)
+    rows = {r.product_id: r for r in served.collect()}
+    assert {p: r.last_weeks for p, r in rows.items()} == {1: 4, 2: 4, 3: 3, 4: None}
+    assert [rows[p].week for p in (1, 2, 3, 4)] == [day(56).date(), day(28).date(), day(14).date(), None]
+    assert all((r.comp_median, r.promo_flag) == (either(medians.get((p, r.week)), 4.0), int((p, r.week) in flags)) for p, r in rows.items())
+    assert [rows[2][c] for c in features.LAGS] == [5.0, 4.0, 3.0, 2.0]
+
+
+def test_a_tree_counts_a_part_of_the_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, width = 40_000, 8
+    x = rng.integers(0, 60, (n, width)).astype(float)
+    y = x[:, 0] + 9 * (x[:, 1] > 40) + rng.normal(0, 5, n)
+    seen, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda values, **k: seen.append(len(values)) or plain(values, **k))
+    number = []
+    for trees in (1, 6):
+        seen.clear()
+        boosting.fit_trees(x, y, 0.5, trees)
+        number.append(sum(seen))
+    # Three levels of all rows would be 24 n for the features alone.
+    assert number[1] - number[0] < 5 * 12 * n
+
+
+def test_scores_by_codes_are_those_of_the_thresholds():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 40, (3000, 4)).astype(float)
+    x[:5] = np.array([np.inf, -np.inf, 0.0, 12.0, 1e300])[:, None]
+    for values in (rng.integers(0, 40, 280).astype(float), rng.uniform(0, 40, 4000)):
+        thresholds = np.resize(values, (len(values) // 7, 7))
+        thresholds[::3, 2] = np.inf
+        chosen, value = rng.integers(0, 4, thresholds.shape), rng.normal(0, 1, (len(thresholds), 8))
+        model = boosting.Ensemble([{"tree": -1, "value": [3.0]}, *[{"tree": t, "feature": chosen[t].tolist(), "threshold": thresholds[t].tolist(), "value": value[t].tolist()} for t in range(len(value))]])
+        want = np.full(len(x), 3.0)
+        for f, t, v in zip(chosen, thresholds, value, strict=True):
+            at = np.zeros(len(x), dtype=int)
+            for _ in range(3):
+                at = 2 * at + 1 + (x[np.arange(len(x)), f[at]] > t[at])
+            want += v[at - 7]
+        assert (model.predict(x) == want).all()
+        assert model.kind == (np.uint8 if len(values) < 1000 else np.uint32)
