@@ -45,7 +45,7 @@ PICKED = 0.6
 #: The share of values up to which those near the quantiles are picked out to be counted in finer ranges.
 NEAR = 0.3
 #: Rows that are worked on at once, in a fit and in scoring.
-CHUNK, SCORED = 1 << 15, 1 << 14
+CHUNK, SCORED = 1 << 16, 1 << 14
 MODEL = "alpha double, tree int, feature array<int>, threshold array<double>, value array<double>"
 Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 

@@ -76,22 +76,25 @@ def optimise_price(context: DataFrame, demand: Demand) -> DataFrame:
 
 
 def promo_candidates(context: DataFrame) -> DataFrame:
-    """The discounts whose price isn't below the least price; the flag is 1 for each of them, for 0 too."""
-    rows = context.select("*", F.posexplode(F.array(*map(F.lit, DISCOUNTS))).alias("candidate", "discount"))
-    rows = rows.withColumn("promo_price", F.col("current_price") * (F.lit(1.0) - F.col("discount")))
-    return rows.filter(F.col("promo_price") >= F.col("min_price")).withColumn("promo_flag", F.lit(1))
+    """The discounts whose price isn't below the least price; the flag is 1 for each of them, for 0 too. A product without any
+    has one row, whose candidate is null."""
+    price = lambda discount: F.col("current_price") * (F.lit(1.0) - F.lit(discount))
+    tried = [F.struct(F.lit(i).alias("candidate"), F.lit(d).alias("discount"), price(d).alias("promo_price")) for i, d in enumerate(DISCOUNTS)]
+    feasible = F.filter(F.array(*tried), lambda c: c["promo_price"] >= F.col("min_price"))
+    rows = context.withColumn("tried", F.explode_outer(feasible))
+    return rows.select(*context.columns, "tried.*").withColumn("promo_flag", F.lit(1))
 
 
 def optimise_promo(context: DataFrame, demand: Demand) -> DataFrame:
     """The discount that sells most (if stock is above its limit) or earns most. Products without a feasible one keep their
     price; for them demand_weekly is null and estimated_margin_week is 0. Products without sales, or with a feasible discount
     but too few weeks of sales, have the error, and null in all else."""
-    context = _with_error(context, "promo")
-    rows = demand(promo_candidates(context)).withColumn("margin", (F.col("promo_price") - F.col("cost_price")) * F.col("q50"))
+    rows = demand(promo_candidates(_with_error(context, "promo"))).withColumn("margin", (F.col("promo_price") - F.col("cost_price")) * F.col("q50"))
     over = F.col("current_stock") > F.col("threshold_max")
     rows = rows.withColumn("score", F.when(over, F.col("q50")).otherwise(F.col("margin")))
-    best = rows.groupBy("product_id").agg(argmax_first(F.struct("discount", "promo_price", "q10", "q50", "q90", "margin"), F.col("score"), F.col("candidate")).alias("b"))
-    out = context.select("product_id", "current_price", "min_price", over.alias("over"), "error").join(best, "product_id", "left")
+    tried = F.when(F.col("candidate").isNotNull(), F.struct("discount", "promo_price", "q10", "q50", "q90", "margin"))
+    kept = {"current_price": F.col("current_price"), "min_price": F.col("min_price"), "over": over, "error": F.col("error")}
+    out = rows.groupBy("product_id").agg(argmax_first(tried, F.col("score"), F.col("candidate")).alias("b"), *[F.first(c).alias(k) for k, c in kept.items()])
     none = F.col("b").isNull()
     error = F.when(~none | (F.col("error") == NO_SALES), F.col("error"))
     price = F.coalesce("b.promo_price", "current_price")

@@ -420,3 +420,20 @@ def test_scores_by_codes_are_those_of_the_thresholds():
             want += v[at - 7]
         assert (model.predict(x) == want).all()
         assert model.kind == (np.uint8 if len(values) < 1000 else np.uint32)
+
+
+def test_promotions_are_chosen_with_one_look_at_the_products(spark):
+    """Products 1 and 2 have a feasible discount (2 is overstocked), 3 has none, 4 has one without sales, 5 neither."""
+    rows = [(1, 7.0, 9.0, 10.0, 5, 40), (2, 7.0, 8.0, 10.0, 50, 40), (3, 7.0, 11.0, 10.0, 5, 40), (4, 7.0, 9.0, 10.0, 5, 40), (5, 7.0, 11.0, 10.0, 5, 40)]
+    context = spark.createDataFrame(rows, "product_id long, cost_price double, min_price double, current_price double, current_stock int, threshold_max int")
+    context = context.withColumns({"week": F.when(F.col("product_id") < 4, F.lit("2025-01-06").cast("date")), "last_weeks": F.lit(4), "promo_flag": F.lit(0)})
+    sold = F.lit(60.0) - 5 * F.col("promo_price")
+    demand = lambda r: r.withColumns({"q10": sold - 1, "q50": sold, "q90": sold + F.col("promo_flag")})
+    out = optimize.optimise_promo(context, demand)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    got = {r.product_id: r for r in out.collect()}
+    assert [(got[p].recommended_discount, got[p].promo_price, got[p].should_promote) for p in (1, 2, 3)] == [(0.05, 9.5, True), (0.2, 8.0, True), (0.0, 10.0, False)]
+    assert (got[1].estimated_margin_week, got[2].estimated_margin_week, got[3].estimated_margin_week) == (31.25, 20.0, 0.0)
+    assert (got[1].demand_weekly.p10, got[2].demand_weekly.p90, got[3].demand_weekly) == (11.5, 21.0, None)
+    assert got[3].explanation == optimize.PROMO_NONE and got[3].interval.asDict() == {"low": 10.0, "high": 10.0}
+    assert [(got[p].error, got[p].promo_price) for p in (4, 5)] == [(optimize.NO_SALES, None)] * 2
